@@ -22,7 +22,13 @@ def parse_object_literal(c: Column | str, schema: T.StructType) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
         c = F.regexp_replace(c, rf": {word}(?=[,}}])", f": {json_word}")
-    return F.from_json(c, schema, _OPTIONS)
+    return or_null(F.from_json(c, schema, _OPTIONS), schema)
+
+
+def or_null(parsed: Column, schema: T.StructType) -> Column:
+    """A struct without any value counts as unreadable."""
+    filled = F.coalesce(*[parsed[f.name].cast("string") for f in schema.fields])
+    return F.when(filled.isNotNull(), parsed)
 
 
 def unreadable(raw: Column | str, parsed: Column | str) -> Column:

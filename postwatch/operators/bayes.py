@@ -1,12 +1,13 @@
-"""Naive Bayes over boolean word features, as tables.
+"""Naive Bayes over boolean word features.
 
-The model is two tables, ``base`` with one row and ``weights`` with one row per vocabulary token, so
+A model is a number, ``bias``, and a table ``weights(token, gap)`` with one row per vocabulary token, so
 neither training nor prediction is bound by the driver. Training is one grouped count; prediction is one
 join and one sum per post.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,43 +15,44 @@ from pyspark.sql import functions as F
 
 from postwatch.functions.lookup import salted_join
 from postwatch.functions.text import word_tokenize
-from postwatch.operators.vocabulary import token_rows
 
 SMOOTHING = 0.5  # fixed value: expected-likelihood estimate
 
 
 @dataclass
 class BayesModel:
-    """``base(bias)``: log odds of class 1 for a post without known words; ``weights(token, gap)``:
-    what a present word adds."""
+    """``bias`` is the log odds of class 1 for a post without known words; a present word adds its gap."""
 
-    base: DataFrame
+    bias: float
     weights: DataFrame
+    evidence: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        self.base.write.mode("overwrite").parquet(f"{path}/base")
         self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        bias = self.weights.sparkSession.createDataFrame([(self.bias,)], "bias DOUBLE")
+        bias.write.mode("overwrite").parquet(f"{path}/base")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> BayesModel:
-        return BayesModel(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/weights"))
-
-    def persist(self) -> BayesModel:
-        self.base, self.weights = self.base.persist(), self.weights.persist()
-        return self
+        return BayesModel(spark.read.parquet(f"{path}/base").first()["bias"], spark.read.parquet(f"{path}/weights"))
 
     def unpersist(self) -> None:
-        self.base.unpersist()
-        self.weights.unpersist()
+        """Release the counts kept since training (not needed for a loaded model)."""
+        if self.evidence is not None:
+            self.evidence.unpersist()
 
 
 def token_evidence(posts: DataFrame, label_col: str = "irrelevant",
-                   text_col: str = "full_text_preprocessed", by: list[str] | None = None) -> DataFrame:
-    """``(by, token, c0, c1)``: posts of each class that hold the token."""
+                   text_col: str = "full_text_preprocessed") -> DataFrame:
+    """``(token, c0, c1)``: posts of each class that hold the token.
+
+    Each post also counts once under the null token, which gives the class sizes in the same pass.
+    """
     y = F.col(label_col)
+    words = F.array_append(F.array_distinct(word_tokenize(text_col)), F.lit(None).cast("string"))
     return (
-        token_rows(posts, *(by or []), label_col, text_col=text_col, distinct=True)
-        .groupBy(*(by or []), "token")
+        posts.select(label_col, F.explode(words).alias("token"))
+        .groupBy("token")
         .agg(F.count_if(y == 0).alias("c0"), F.count_if(y == 1).alias("c1"))
     )
 
@@ -80,16 +82,16 @@ def class_sizes(posts: DataFrame, label_col: str, by: list[str] | None = None) -
 
 def fit_bayes(posts: DataFrame, label_col: str = "irrelevant",
               text_col: str = "full_text_preprocessed") -> BayesModel:
-    """Train on rows labelled 0 or 1."""
-    sizes = class_sizes(posts, label_col).first()
-    return _model(token_evidence(posts, label_col, text_col), sizes["n0"], sizes["n1"])
-
-
-def _model(evidence: DataFrame, n0: int, n1: int) -> BayesModel:
-    scored = log_weights(evidence.withColumn("n0", F.lit(n0)).withColumn("n1", F.lit(n1)))
-    prior = F.log(F.lit((n1 + SMOOTHING) / (n0 + SMOOTHING)))
-    base = scored.agg((prior + F.coalesce(F.sum("absent"), F.lit(0.0))).alias("bias"))
-    return BayesModel(base, scored.select("token", (F.col("present") - F.col("absent")).alias("gap")))
+    """Train on rows labelled 0 or 1. The texts are read once; their counts are kept until released."""
+    evidence = token_evidence(posts, label_col, text_col).persist()
+    sizes = evidence.where(F.col("token").isNull()).first()
+    n0, n1 = (sizes["c0"], sizes["c1"]) if sizes else (0, 0)
+    known = evidence.where(F.col("token").isNotNull())
+    scored = log_weights(known.withColumns({"n0": F.lit(n0), "n1": F.lit(n1)}))
+    absent = scored.agg(F.sum("absent").alias("s")).first()["s"] or 0.0
+    bias = math.log((n1 + SMOOTHING) / (n0 + SMOOTHING)) + absent
+    weights = scored.select("token", (F.col("present") - F.col("absent")).alias("gap"))
+    return BayesModel(bias, weights, evidence)
 
 
 def log_odds(posts: DataFrame, model: BayesModel, id_col: str = "id_str",
@@ -102,8 +104,7 @@ def log_odds(posts: DataFrame, model: BayesModel, id_col: str = "id_str",
     gained = salted_join(tokens, model.weights, "token", id_col, "left").groupBy(id_col).agg(
         F.coalesce(F.sum("gap"), F.lit(0.0)).alias("_gain")
     )
-    bias = model.base.first()["bias"]
-    return gained.select(id_col, (F.col("_gain") + F.lit(bias)).alias("log_odds"))
+    return gained.select(id_col, (F.col("_gain") + F.lit(model.bias)).alias("log_odds"))
 
 
 def predict_bayes(posts: DataFrame, model: BayesModel, id_col: str = "id_str",

@@ -15,7 +15,7 @@ from postwatch.operators.matching import trigger_gate
 from postwatch.operators.models import build_model, model_parameters
 from postwatch.operators.pooling import dense_features
 from postwatch.operators.splits import SEED, stratified_folds
-from postwatch.operators.stats import balanced_accuracy, cv_summary
+from postwatch.operators.stats import balanced_accuracy, confusion_matrix, cv_summary, score_of_counts
 from postwatch.operators.vocabulary import token_rows
 
 
@@ -27,6 +27,11 @@ class Classifier:
     model: object
     embedding: DataFrame | None = None
 
+    def release(self) -> None:
+        """Drop what training kept in memory."""
+        if isinstance(self.model, BayesModel):
+            self.model.unpersist()
+
     def predict(self, posts: DataFrame, id_col: str = "id_str") -> DataFrame:
         """Labels for posts with a trigger; without any such post the result is empty."""
         gated = trigger_gate(posts)
@@ -58,9 +63,9 @@ def fit(train: DataFrame, model_type: str, params: dict | None = None, embedding
 
 
 def evaluate(classifier: Classifier, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(predictions, balanced accuracy), on posts with a trigger."""
+    """(predictions, confusion counts with balanced accuracy), on posts with a trigger."""
     scored = classifier.predict(labelled)
-    return scored, balanced_accuracy(scored)
+    return scored, score_of_counts(confusion_matrix(scored))
 
 
 def cross_validate(posts: DataFrame, model_type: str, params: dict | None = None,

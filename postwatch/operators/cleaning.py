@@ -27,19 +27,14 @@ def lemma_forms(lexicon: DataFrame, depth: int = 2) -> DataFrame:
     shortest known form one rule away, else (up to ``depth``) more rules away. Irregular forms keep
     their listed lemma.
     """
+    rules = F.array(*[F.struct(F.lit(s).alias("suffix"), F.lit(b).alias("base")) for s, b in NOUN_SUFFIXES.items()])
     irregular = lexicon.where("token <> lemma").select("token", F.col("lemma").alias("value"), F.lit(-1).alias("steps"))
-    nouns = lexicon.select(F.col("lemma").alias("token")).distinct()
-    level = nouns.select("token", F.col("token").alias("value"), F.lit(0).alias("steps"))
+    level = lexicon.select(F.col("lemma").alias("token"), F.col("lemma").alias("value"), F.lit(0).alias("steps"))
     levels = [irregular, level]
-    for step in range(depth):
-        grown = [
-            level.where(F.endswith("token", F.lit(base))).select(
-                F.concat(F.expr(f"substring(token, 1, length(token) - {len(base)})"), F.lit(suffix)).alias("token"),
-                "value", F.lit(step + 1).alias("steps"),
-            )
-            for suffix, base in NOUN_SUFFIXES.items()
-        ]
-        level = reduce(DataFrame.unionByName, grown).distinct()
+    for step in range(1, depth + 1):
+        grown = level.select("token", "value", F.explode(rules).alias("r")).where(F.endswith("token", "r.base"))
+        stem = F.left("token", F.length("token") - F.length("r.base"))
+        level = grown.select(F.concat(stem, "r.suffix").alias("token"), "value", F.lit(step).alias("steps"))
         levels.append(level)
     # A known noun and the forms one rule away compete together; the shortest wins.
     forms = reduce(DataFrame.unionByName, levels)

@@ -154,7 +154,8 @@ def user_struct(user: Column | str, data_type: T.DataType | None = None) -> Colu
     """The five kept fields of a user object given as a struct, JSON text or Python-literal text."""
     parsed = F.col(user) if isinstance(user, str) else user
     if not isinstance(data_type, T.StructType):
-        parsed = F.coalesce(F.from_json(parsed, USER), parse_object_literal(parsed, USER))
+        is_json = F.rlike(parsed, F.lit(r'^\s*\{\s*"'))
+        parsed = F.when(is_json, F.from_json(parsed, USER)).otherwise(parse_object_literal(parsed, USER))
     return F.struct(*[parsed[f.name].alias(f.name) for f in USER.fields])
 
 

@@ -58,6 +58,16 @@ def balanced_accuracy(scored: DataFrame, label_col: str = "irrelevant",
     return recalls.groupBy(*by).agg(F.avg("recall").alias("balanced_accuracy"))
 
 
+def score_of_counts(counts: DataFrame) -> DataFrame:
+    """Balanced accuracy from a confusion table, without another pass over the predictions."""
+    recalls = F.array_compact(F.array(
+        F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")),
+        F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")),
+    ))
+    total = F.aggregate(recalls, F.lit(0.0), lambda a, r: a + r)
+    return counts.withColumn("balanced_accuracy", F.try_divide(total, F.size(recalls)))
+
+
 def cv_summary(fold_scores: DataFrame, score_col: str = "balanced_accuracy") -> DataFrame:
     """Mean and sample standard deviation of the fold scores."""
     return fold_scores.agg(F.avg(score_col).alias("mean_score"), F.stddev_samp(score_col).alias("sd_score"))

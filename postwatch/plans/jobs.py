@@ -19,7 +19,9 @@ from postwatch.operators.matching import exclude_retweets, keyword_match, pair_s
 from postwatch.operators.models import is_known_model, list_models
 from postwatch.operators.spans import annotation_spans, token_table
 from postwatch.operators.splits import stratified_split
-from postwatch.operators.stats import confusion_matrix, label_stats, labelled_only, training_stats
+from postwatch.operators.stats import (
+    confusion_matrix, label_stats, labelled_only, score_of_counts, training_stats,
+)
 from postwatch.operators.tagger import train_tagger
 from postwatch.sources.posts import conform_columns
 from postwatch.sources.tables import RunKey, Tables
@@ -74,7 +76,11 @@ def preprocess(posts: DataFrame, keywords: DataFrame, lang: str, tools: TextTool
     """Keyword tags and cleaned text."""
     tools = tools or TextTools()
     tagged = keyword_match(posts, keywords)
-    return preprocess_text(tagged, lang, tools.lexicon, tools.translator, tools.translations)
+    ready = preprocess_text(tagged, lang, tools.lexicon, tools.translator, tools.translations)
+    if "full_text_translated" not in ready.columns:
+        # All languages share one stored layout.
+        ready = ready.withColumn("full_text_translated", F.lit(None).cast("string"))
+    return ready
 
 
 def preprocess_posts(tables: Tables, lang: str, tools: TextTools | None = None, labelled: DataFrame | None = None,
@@ -106,20 +112,28 @@ def train_classifier(tables: Tables, lang: str, model_type: str, params: dict |
     split = stratified_split(gated).persist()
     try:
         trial = fit(split.where(~F.col("is_test")), model_type, params, embedding)
-        scored, score = evaluate(trial, split.where("is_test"))
-        tables.save_confusion(confusion_matrix(scored), model_type, lang, lang)
-        score = score.first()["balanced_accuracy"]
+        _, counts = evaluate(trial, split.where("is_test"))
+        score = _store_counts(tables, counts, model_type, lang, lang)
+        trial.release()
         cv = None
         if cross_valid:
             cv = summarise_folds(cross_validate(gated, model_type, params, embedding))
         final = fit(split, model_type, params, embedding)
         save_classifier(final, tables.path("models"), lang)
+        final.release()
     finally:
         split.unpersist()
     stored = load_classifier(tables.spark, tables.path("models"), model_type, lang, embedding)
     return TrainingReport(training_stats(labelled), score, tables.read("confusion"), cv, stored)
 
 
+def _store_counts(tables: Tables, counts: DataFrame, model_type: str, lang: str, class_lang: str) -> float:
+    tables.save_confusion(counts, model_type, lang, class_lang)
+    stored = tables.read("confusion").where(
+        (F.col("model_type") == model_type) & (F.col("lang") == lang) & (F.col("class_lang") == class_lang))
+    return stored.first()["balanced_accuracy"]
+
+
 def model_exists(tables: Tables, model_type: str, lang: str) -> bool:
     folder = "base" if model_type == "bayes" else "metadata"
     path = f"{tables.path('models')}/{model_type}_{lang}/{folder}"
@@ -158,10 +172,10 @@ def test_classifier(tables: Tables, lang: str, class_lang: str, model_type: str,
     """Test a stored model on the labelled posts of another language: (summary, balanced accuracy)."""
     _check(tables, model_type, lang, class_lang)
     classifier = ensure_classifier(tables, class_lang, model_type)
-    scored, score = evaluate(classifier, tables.load_labelled(lang))
-    tables.save_confusion(confusion_matrix(scored), model_type, lang, class_lang)
     key = RunKey(model_type, lang, class_lang, test=True)
-    return _finish(tables, scored, key, tools or TextTools()), score.first()["balanced_accuracy"]
+    summary = _finish(tables, classifier.predict(tables.load_labelled(lang)), key, tools or TextTools())
+    counts = score_of_counts(confusion_matrix(tables.load_predictions(key)))
+    return summary, _store_counts(tables, counts, model_type, lang, class_lang)
 
 
 test_classifier.__test__ = False  # a job, not a test case

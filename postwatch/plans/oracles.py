@@ -201,7 +201,7 @@ _DEDUPED = "lang, 'term' AS kind, keyword, arg_max(keyword_type, pos) AS keyword
 
 _QUERIES = {
     "read_post_file": "SELECT id_str, full_text, lang, source FROM docs",
-    "read_post_dir": "SELECT id_str, full_text, lang FROM docs",
+    "read_post_dir": "SELECT id_str, full_text, CASE WHEN lang <> 'en' THEN lang END AS lang FROM docs",
     "read_keyword_sheets": """SELECT displacement_type AS type, count(*) AS n, count(EN) AS n_en, count(FR) AS n_fr, count(ES) AS n_es,
         max(pos) AS last_pos FROM sheet GROUP BY 1 UNION ALL SELECT keyword_type, count(*), count(EN), count(FR), count(ES), max(pos) FROM sheet GROUP BY 1""",
     "read_annotations": f"SELECT full_text, {_TAGS} AS tags, {_WORDS} AS words, rfind FROM anno",
@@ -326,7 +326,8 @@ _QUERIES = {
         CAST(b.b + coalesce(g.gain, 0) >= 0 AS INT) AS predicted_irrelevant FROM folds f JOIN fbias b USING (fold) LEFT JOIN (
         SELECT id_str, sum(present - absent) AS gain FROM folds JOIN words USING (id_str) JOIN fodds USING (fold, token) GROUP BY id_str
         ) g USING (id_str)""",
-    "evaluate": "SELECT tp, fp, fn, tn FROM confusion",
+    "evaluate": """SELECT tp, fp, fn, tn, (SELECT round(avg(recall), 4) FROM (
+        SELECT y, avg(CAST(y = p AS INT)) AS recall FROM hscored GROUP BY y)) AS balanced_accuracy FROM confusion""",
     "train_classifier": """SELECT tp, fp, fn, tn, (SELECT round(avg(recall), 4) FROM (
         SELECT y, avg(CAST(y = p AS INT)) AS recall FROM hscored GROUP BY y)) AS score FROM confusion""",
     "test_classifier": """SELECT t.id_str, 'test' AS split, CAST(t.y AS DOUBLE) AS irrelevant, CAST(s >= 0 AS INT) AS predicted_irrelevant

@@ -141,7 +141,7 @@ def read_keyword_sheets(spark, sf):
 def read_annotations(spark, sf):
     path = scratch_path(spark, "annotations")
     fx.annotations(spark, sf).select(*spans.ANNOTATION_COLUMNS).write.options(
-        header=True, quote='"', escape='"', quoteAll=True, emptyValue="",
+        header=True, quote='"', escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     rows = sheets.read_annotations(spark, path)
     return rows.select("full_text", F.col("NER-Tags").alias("tags"), F.col("NER-Words").alias("words"), "rfind")
@@ -709,12 +709,10 @@ def dense_features(spark, sf):
 
 @query
 def verified_feature(spark, sf):
-    v = _vectors(spark, sf).withColumn("verified", F.col("irrelevant") == 1.0)
-    from pyspark.ml.feature import VectorAssembler
-
-    wide = VectorAssembler(inputCols=["features", "flag"], outputCol="x").transform(
-        v.withColumn("flag", F.col("verified").cast("double")))
-    return _components(wide.withColumn("a", vector_to_array("x")), "a")
+    p = fx.posts(spark, sf).select("id_str", F.lower("full_text").alias("full_text_preprocessed"),
+                                   (F.length("full_text") > 500).alias("verified"))
+    built = pooling.dense_features(p, fx.embedding(spark, sf), verified_col="verified")
+    return _components(built.withColumn("a", vector_to_array("features")), "a")
 
 
 @query
@@ -782,8 +780,8 @@ def cross_validate(spark, sf):
 def evaluate(spark, sf):
     split = splits.stratified_split(_training(spark, sf))
     model = classify.fit(split.where(~F.col("is_test")), "bayes")
-    scored = model.predict(split.where("is_test"))
-    return stats.confusion_matrix(scored)
+    _, counts = classify.evaluate(model, split.where("is_test"))
+    return _rounded(counts, "balanced_accuracy")
 
 
 @query
@@ -798,7 +796,8 @@ def _trained(spark, sf, name: str) -> tuple[Tables, object]:
     tables = _tables(spark, name)
     stems = fx.keywords(spark).withColumn("lang", F.lit("en")).withColumn("keyword_type", F.col("kind"))
     tables.write_keywords(stems.unionByName(stems.withColumn("lang", F.lit("fr"))))
-    tables.save_labelled(fx.ready(spark, stats.labelled_only(_full_posts(spark, sf))), "en")
+    ready = fx.ready(spark, stats.labelled_only(_full_posts(spark, sf)))
+    tables.save_labelled(ready.withColumn("full_text_translated", F.lit(None).cast("string")), "en")
     return tables, jobs.train_classifier(tables, "en", "bayes")
 
 

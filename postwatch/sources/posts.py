@@ -25,7 +25,8 @@ def detect_layout(spark: SparkSession, path: str) -> tuple[str, tuple[str, ...]]
     """(delimiter, column names) from the header line: ``;`` if it has one, else ``,``."""
     header = _header(spark, path)
     sep = RAW_SEPARATOR if RAW_SEPARATOR in header else ","
-    return sep, tuple(next(csv.reader([header], delimiter=sep), []))
+    names = next(csv.reader([header], delimiter=sep), [])
+    return sep, tuple(name.lstrip(_BOM) for name in names)
 
 
 def _read(spark: SparkSession, paths: list[str], sep: str, columns: tuple[str, ...]) -> DataFrame:
@@ -101,7 +102,7 @@ def write_raw_csv(posts: DataFrame, path: str, sep: str = RAW_SEPARATOR) -> None
     first, *rest = flat.columns
     (
         flat.toDF(_BOM + first, *rest).write.mode("overwrite")
-        .options(header=True, sep=sep, quote='"', escape='"', quoteAll=True, emptyValue="", nullValue=None,
-                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8")
+        .options(header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                 ignoreTrailingWhiteSpace=False, encoding="UTF-8")
         .csv(path)
     )
