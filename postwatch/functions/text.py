@@ -20,7 +20,7 @@ WHITESPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 # selector, skin tones, flags, tag sequences and keycaps).
 EMOJI = (
     r"[0-9#*]\x{FE0F}?\x{20E3}"
-    r"|[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}\x{1F7F0}"
+    r"|(?=[\x{203C}-\x{10FFFF}])[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}\x{1F7F0}"
     r"\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{1F004}\x{1F0CF}\x{1F170}\x{1F171}\x{1F17E}\x{1F17F}"
     r"\x{1F18E}\x{1F191}-\x{1F19A}\x{1F201}\x{1F202}\x{1F21A}\x{1F22F}\x{1F232}-\x{1F23A}\x{1F250}"
     r"\x{1F251}\x{E0062}-\x{E007F}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21A9}\x{21AA}"
@@ -55,12 +55,19 @@ STOP_WORDS = (
 FUSED_WORDS = {"cannot": "can not", "gimme": "gim me", "gonna": "gon na",
                "gotta": "got ta", "lemme": "lem me", "wanna": "wan na"}
 
+# Single characters are one table look-up per character in a Java pattern, ranges are not; so the hot
+# patterns list them, and the rare wide spaces are turned into plain ones first.
+_WIDE_SPACES = "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_NARROW_SPACE = r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0]+"
+_ALNUM = string.digits + string.ascii_letters
+_MAYBE_EMOJI = r"[\x{203C}-\x{10FFFF}]"
 _SQUEEZE = r"(\S)\1{3,}"
-_NOISE = r"@[A-Za-z0-9]*|[^0-9A-Za-z @]+"
-_NOISE_ACCENTS = r"@[A-Za-z0-9]*|[^0-9A-Za-z\p{L} @]+"
+_NOISE = f"[^{_ALNUM} @]+|@[{_ALNUM}]*"
+_NOISE_ACCENTS = rf"[^{_ALNUM}\p{{L}} @]+|@[{_ALNUM}]*"
 # A scheme can only start after a character that is itself removed or a space, hence the look-behind;
 # with the possessive quantifier it keeps the scan linear on long words.
-_URL = r"|(?<![0-9A-Za-z])[\p{L}\p{N}_]++://[^ ]+"
+_URL = rf"|(?<![{_ALNUM}])[\p{{L}}\p{{N}}_]++://[^ ]+"
+_URL_ACCENTS = rf"|(?<![{_ALNUM}\p{{L}}])[\p{{L}}\p{{N}}_]++://[^ ]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -72,14 +79,18 @@ def null_text(c: Column | str) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
+def _narrow(c: Column | str) -> Column:
+    return F.translate(null_text(c), _WIDE_SPACES, " " * len(_WIDE_SPACES))
+
+
 def fold_spaces(c: Column | str) -> Column:
     """Every white-space run becomes one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(null_text(c), WHITESPACE, " "))
+    return F.trim(F.regexp_replace(_narrow(c), _NARROW_SPACE, " "))
 
 
 def split_tokens(c: Column | str) -> Column:
     """White-space tokens of a text; never null, never an empty token."""
-    return F.array_remove(F.split(null_text(c), WHITESPACE), "")
+    return F.array_remove(F.split(_narrow(c), _NARROW_SPACE), "")
 
 
 def join_tokens(tokens: Column | str) -> Column:
@@ -87,7 +98,9 @@ def join_tokens(tokens: Column | str) -> Column:
 
 
 def strip_emoji(c: Column | str) -> Column:
-    return F.regexp_replace(null_text(c), EMOJI, "")
+    """Remove emoji. One look for any character from U+203C up spares most texts the long pattern."""
+    c = null_text(c)
+    return F.when(F.rlike(c, F.lit(_MAYBE_EMOJI)), F.regexp_replace(c, EMOJI, "")).otherwise(c)
 
 
 def squeeze_repeats(c: Column | str) -> Column:
@@ -103,7 +116,7 @@ def strip_noise(c: Column | str, keep_accents: bool = False) -> Column:
     """
     c = null_text(c)
     base = _NOISE_ACCENTS if keep_accents else _NOISE
-    url = _URL.replace("0-9A-Za-z]", r"0-9A-Za-z\p{L}]") if keep_accents else _URL
+    url = _URL_ACCENTS if keep_accents else _URL
     return F.when(F.contains(c, F.lit("://")), F.regexp_replace(c, base + url, "")).otherwise(
         F.regexp_replace(c, base, "")
     )

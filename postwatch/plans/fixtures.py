@@ -43,8 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores (one small file) is spread over them.
+
+    Tables of cluster size have more splits than that and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(documents, "doc_id").select(
         F.col("doc_id").cast("string").alias("id_str"), F.col("text").alias("full_text"), "lang", "source"
     )
 
