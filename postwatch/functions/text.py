@@ -58,6 +58,7 @@ FUSED_WORDS = {"cannot": "can not", "gimme": "gim me", "gonna": "gon na",
 # Single characters are one table look-up per character in a Java pattern, ranges are not; so the hot
 # patterns list them, and the rare wide spaces are turned into plain ones first.
 _WIDE_SPACES = "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACES = set(" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0" + _WIDE_SPACES)
 _NARROW_SPACE = r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0]+"
 _ALNUM = string.digits + string.ascii_letters
 _MAYBE_EMOJI = r"[\x{203C}-\x{10FFFF}]"

@@ -92,15 +92,12 @@ def cross_validate(posts: DataFrame, model_type: str, params: dict | None = None
         folded.unpersist()
 
 
-def bayes_fold_predictions(posts: DataFrame, k: int = 5, label_col: str = "irrelevant",
-                           id_col: str = "id_str", seed: int = SEED) -> DataFrame:
+def bayes_fold_predictions(folded: DataFrame, label_col: str = "irrelevant", id_col: str = "id_str") -> DataFrame:
     """``(id, label, fold, predicted_irrelevant)`` with each fold scored by a model of the other folds.
 
     All folds are trained in one grouped count: a token's count in the other folds is its total minus
-    its count in the fold itself.
+    its count in the fold itself. ``folded`` is read several times, so callers keep it.
     """
-    narrow = posts.select(id_col, label_col, "full_text_preprocessed")
-    folded = stratified_folds(narrow, label_col, k, id_col, seed)
     y, fold = F.col(label_col), F.col("fold")
     sizes = {r["fold"]: (r["n0"], r["n1"]) for r in class_sizes(folded, label_col, ["fold"]).collect()}
     n0, n1 = sum(n for n, _ in sizes.values()), sum(n for _, n in sizes.values())
@@ -132,8 +129,14 @@ def bayes_fold_predictions(posts: DataFrame, k: int = 5, label_col: str = "irrel
 
 def cross_validate_bayes(posts: DataFrame, k: int = 5, label_col: str = "irrelevant",
                          id_col: str = "id_str", seed: int = SEED) -> DataFrame:
-    scored = bayes_fold_predictions(posts, k, label_col, id_col, seed)
-    return balanced_accuracy(scored, label_col, by=["fold"])
+    narrow = posts.select(id_col, label_col, "full_text_preprocessed")
+    folded = stratified_folds(narrow, label_col, k, id_col, seed).persist()
+    try:
+        scored = bayes_fold_predictions(folded, label_col, id_col)
+        rows = balanced_accuracy(scored, label_col, by=["fold"]).collect()
+        return posts.sparkSession.createDataFrame(rows, "fold INT, balanced_accuracy DOUBLE")
+    finally:
+        folded.unpersist()
 
 
 def summarise_folds(scores: DataFrame) -> DataFrame:

@@ -46,9 +46,16 @@ def unpivot_languages(sheet: DataFrame, ids: list[str], langs: list[str] | None
 
 
 def keyword_dedupe(words: DataFrame) -> DataFrame:
-    """One row per (lang, kind, keyword): the first position, the type of the last one."""
-    return words.groupBy("lang", "kind", "keyword").agg(
-        F.max_by("keyword_type", "pos").alias("keyword_type"), F.min("pos").alias("pos")
+    """One row per (lang, kind, keyword): the first position, the type of the last one.
+
+    Positions are reduced per type first: that step keeps numbers only, so it hashes without sorting,
+    and a keyword with very many rows is reduced before the shuffle.
+    """
+    per_type = words.groupBy("lang", "kind", "keyword", "keyword_type").agg(
+        F.min("pos").alias("_first"), F.max("pos").alias("_last")
+    )
+    return per_type.groupBy("lang", "kind", "keyword").agg(
+        F.max_by("keyword_type", "_last").alias("keyword_type"), F.min("_first").alias("pos")
     )
 
 

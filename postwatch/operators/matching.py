@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions.lookup import salted_join, small_rows
-from postwatch.functions.text import null_text, split_tokens
+from postwatch.functions.text import SPACES, null_text, split_tokens
 from postwatch.operators.keywords import KINDS
 
 MAX_LITERAL_KEYWORDS = 2_000
@@ -18,7 +20,7 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _words_of_kind(hits: str, kind: str) -> Column:
+def _words_of_kind(hits: Column | str, kind: str) -> Column:
     return F.transform(F.filter(hits, lambda k: k["kind"] == kind), lambda k: k["keyword"])
 
 
@@ -32,22 +34,29 @@ def _literal_entries(rows: list) -> Column:
 
 
 def keyword_match(posts: DataFrame, keywords: DataFrame, text_col: str = "full_text",
-                  ignore_case: bool = False, id_col: str = "id_str",
+                  ignore_case: bool = False, id_col: str = "id_str", triggered_only: bool = False,
                   max_literal: int = MAX_LITERAL_KEYWORDS) -> DataFrame:
     """Add the ordered hit lists ``trigger``, ``term`` and ``unit``.
 
     A keyword is hit by each token that contains its stem: in token order, then keyword order, repeats
     kept, the original keyword listed. ``keywords(kind, keyword, pos, stem)`` is the dictionary of one
     language. A dictionary of checked size is a literal in a single pass over each text without any
-    shuffle; a larger one goes through ``keyword_match_join``.
+    shuffle; a larger one goes through ``keyword_match_join``. ``triggered_only`` is the trigger gate as
+    a plain text filter in front: a stem in the text is a stem in one of its tokens.
     """
     wanted = keywords.select("kind", "stem", "keyword", "pos")
     rows = small_rows(wanted, max_literal)
     if rows is None:
-        return keyword_match_join(posts, keywords, text_col, ignore_case, id_col)
-    rows = sorted((r for r in rows if r["stem"]), key=lambda r: (r["pos"], r["keyword"]))
+        tagged = keyword_match_join(posts, keywords, text_col, ignore_case, id_col)
+        return trigger_gate(tagged) if triggered_only else tagged
+    # A stem with white space lies in no token.
+    rows = [r for r in rows if r["stem"] and not set(r["stem"]) & SPACES]
+    rows = sorted(rows, key=lambda r: (r["pos"], r["keyword"]))
     text = null_text(text_col)
     text = F.lower(text) if ignore_case else text
+    if triggered_only:
+        stems = [r["stem"] for r in rows if r["kind"] == "trigger"]
+        posts = posts.where(reduce(lambda a, s: a | F.contains(text, F.lit(s)), stems, F.lit(False)))
 
     # Only keywords that occur somewhere in the text are tried on its tokens.
     in_text = F.filter(_literal_entries(rows), lambda k: F.contains(text, k["stem"]))
@@ -151,7 +160,7 @@ def pair_search(posts: DataFrame, keywords: DataFrame, text_col: str = "full_tex
     rows = small_rows(wanted, max_literal)
     tokens = split_tokens(F.lower(null_text(text_col)))
     if rows is None:
-        matched = _words_by_join(posts, wanted, tokens, id_col)
+        matched, found = _words_by_join(posts, wanted, tokens, id_col), F.col("_found")
     else:
         entries = [
             F.struct(
@@ -161,21 +170,23 @@ def pair_search(posts: DataFrame, keywords: DataFrame, text_col: str = "full_tex
             )
             for r in sorted(rows, key=lambda r: (r["pos"], r["keyword"]))
         ]
-        found = _bind(
+        matched, found = posts, _bind(
             tokens,
             lambda ts: F.filter(
                 F.array(*entries), lambda k: F.forall(k["words"], lambda w: F.array_contains(ts, w))
             ),
         )
-        matched = posts.withColumn("_found", found)
-    for kind in ("trigger", "term"):
-        matched = matched.withColumn(f"_{kind}s", _words_of_kind("_found", kind))
-    matched = matched.drop("_found").where((F.size("_triggers") > 0) & (F.size("_terms") > 0))
     if distinct_posts:
-        return matched.withColumnsRenamed({"_triggers": "trigger_kw", "_terms": "term_kw"})
-    return (
-        matched.withColumn("trigger_kw", F.explode("_triggers"))
-        .withColumn("term_kw", F.explode("_terms"))
-        .withColumn("query", F.concat_ws(" ", "term_kw", "trigger_kw"))
-        .drop("_triggers", "_terms")
-    )
+        lists = _bind(found, lambda f: F.struct(
+            _words_of_kind(f, "trigger").alias("trigger_kw"), _words_of_kind(f, "term").alias("term_kw")))
+        both = lambda w: (F.size(w["trigger_kw"]) > 0) & (F.size(w["term_kw"]) > 0)
+        rows_of = F.filter(F.array(lists), both)
+    else:
+        rows_of = _bind(found, lambda f: F.flatten(F.transform(
+            _words_of_kind(f, "trigger"),
+            lambda trigger: F.transform(_words_of_kind(f, "term"), lambda term: F.struct(
+                trigger.alias("trigger_kw"), term.alias("term_kw"),
+                F.concat_ws(" ", term, trigger).alias("query"))),
+        )))
+    # One generator yields the rows, so the texts are searched once.
+    return matched.select("*", F.inline(rows_of)).drop("_found")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions.lookup import salted_join
 from postwatch.functions.text import word_tokenize
 
 
-def embedding_dim(embedding: DataFrame) -> int:
-    return embedding.select(F.size("vector")).first()[0]
+BLOCK_BYTES = 256 << 20  # largest part of the vectors that is broadcast at once
 
 
 def embedding_lookup(token_rows: DataFrame, embedding: DataFrame, id_col: str = "id_str") -> DataFrame:
@@ -22,32 +23,50 @@ def embedding_lookup(token_rows: DataFrame, embedding: DataFrame, id_col: str =
 
 
 def mean_pool(posts: DataFrame, embedding: DataFrame, tokens_col: str, out_col: str = "features",
-              id_col: str = "id_str", dim: int | None = None) -> DataFrame:
+              id_col: str = "id_str", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(id, features)``: mean vector of the known tokens, repeats counted; zeros if none is known.
 
-    Tokens of a post are counted where they are before the join. Sums are combined per task, so with a
-    broadcast dictionary one vector per post is shuffled.
+    The size of the vectors is checked first. They are broadcast in as many blocks as that takes (one,
+    if they are small): each block gives one partial sum per post, made where the post's tokens are. So
+    neither tokens nor vectors are shuffled, only one row per post and block, and a frequent token is
+    not a hot spot.
     """
-    dim = dim or embedding_dim(embedding)
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    tokens = posts.select(id_col, F.explode_outer(tokens_col).alias("token"))
-    known = salted_join(tokens, embedding.select("token", "vector"), "token", id_col, "left")
-    vector = array_to_vector(F.coalesce(F.col("vector").cast("array<double>"), zeros))
-    sums = known.groupBy(id_col).agg(
-        Summarizer.sum(vector).alias("_sum"), F.count("vector").alias("_known")
-    )
-    mean = F.transform(vector_to_array("_sum"), lambda x: x / F.greatest(F.col("_known"), F.lit(1)))
+    size = embedding.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    dim = size["dim"] or 0
+    blocks = max(1, math.ceil(size["n"] * dim * 4 / block_bytes))
+    partial = []
+    for block in range(blocks):
+        tokens, vectors = F.col(tokens_col), embedding.select("token", "vector")
+        if blocks > 1:
+            tokens = F.filter(tokens, lambda t: _block_of(t, blocks) == block)
+            vectors = vectors.where(_block_of(F.col("token"), blocks) == block)
+        rows = posts.select(id_col, F.explode_outer(tokens).alias("token"))
+        partial.append(rows.join(F.broadcast(vectors), "token", "left").select(id_col, "vector"))
+    sums = reduce(DataFrame.unionByName, [
+        p.groupBy(id_col).agg(F.count("vector").alias("_n"), *[
+            F.sum(F.get("vector", i)).alias(f"_s{i}") for i in range(dim)
+        ]) for p in partial
+    ])
+    if blocks > 1:
+        sums = sums.groupBy(id_col).agg(
+            F.sum("_n").alias("_n"), *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(dim)])
+    known = F.greatest(F.col("_n"), F.lit(1))
+    mean = F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) / known for i in range(dim)])
     return sums.select(id_col, mean.alias(out_col))
 
 
+def _block_of(token: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(blocks))
+
+
 def dense_features(posts: DataFrame, embedding: DataFrame, text_col: str = "full_text_preprocessed",
-                   id_col: str = "id_str", dim: int | None = None, verified_col: str | None = None) -> DataFrame:
+                   id_col: str = "id_str", verified_col: str | None = None) -> DataFrame:
     """Posts with a ``features`` vector, also for empty texts.
 
     ``verified_col`` appends the account's verified flag; it is off by default.
     """
     tokens = posts.select(id_col, word_tokenize(text_col).alias("_tokens"))
-    pooled = mean_pool(tokens, embedding, "_tokens", "_mean", id_col, dim)
+    pooled = mean_pool(tokens, embedding, "_tokens", "_mean", id_col)
     joined = posts.join(pooled, id_col)
     if verified_col is None:
         return joined.withColumn("features", array_to_vector("_mean")).drop("_mean")

@@ -71,8 +71,8 @@ def keywords(spark: SparkSession) -> DataFrame:
     return spark.sql(KEYWORDS)
 
 
-def tagged(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    return keyword_match(frame, keywords(spark))
+def tagged(spark: SparkSession, frame: DataFrame, triggered_only: bool = False) -> DataFrame:
+    return keyword_match(frame, keywords(spark), triggered_only=triggered_only)
 
 
 def ready(spark: SparkSession, frame: DataFrame) -> DataFrame:

@@ -51,14 +51,14 @@ def _ready(spark, sf) -> DataFrame:
 def _training(spark, sf) -> DataFrame:
     """Labelled posts with a trigger, cleaned."""
     marked = stats.labelled_only(fx.labelled(spark, sf))
-    gated = matching.trigger_gate(fx.tagged(spark, marked))
+    gated = fx.tagged(spark, marked, triggered_only=True)
     return cleaning.preprocess_text(gated, lexicon=spark.sql(fx.LEXICON))
 
 
 def _unlabelled(spark, sf) -> DataFrame:
     """Posts with a trigger that nobody labelled, cleaned."""
     open_posts = fx.labelled(spark, sf).where(F.col("irrelevant").isNull()).drop("irrelevant")
-    gated = matching.trigger_gate(fx.tagged(spark, open_posts))
+    gated = fx.tagged(spark, open_posts, triggered_only=True)
     return cleaning.preprocess_text(gated, lexicon=spark.sql(fx.LEXICON))
 
 
@@ -772,7 +772,8 @@ def fit(spark, sf):
 
 @query
 def cross_validate(spark, sf):
-    scored = classify.bayes_fold_predictions(_training(spark, sf))
+    narrow = _training(spark, sf).select("id_str", "irrelevant", "full_text_preprocessed")
+    scored = classify.bayes_fold_predictions(splits.stratified_folds(narrow).persist())
     return scored.select("id_str", "irrelevant", "fold", "predicted_irrelevant")
 
 
@@ -932,11 +933,14 @@ def preprocess_posts(spark, sf):
 
 @query
 def monitor_posts(spark, sf):
-    """Flagship: tag, gate, clean, train on the labelled posts, classify the others, extract."""
-    full = _full_posts(spark, sf)
-    lexicon = spark.sql(fx.LEXICON)
-    gated = matching.trigger_gate(fx.tagged(spark, full))
-    ready = cleaning.preprocess_text(gated, lexicon=lexicon)
+    """Flagship: tag, gate, clean, train on the labelled posts, classify the others, extract.
+
+    The cleaned posts are stored once in the shared folder and read for both training and prediction.
+    """
+    gated = fx.tagged(spark, _full_posts(spark, sf), triggered_only=True)
+    path = scratch_path(spark, "monitor")
+    save_posts(cleaning.preprocess_text(gated, lexicon=spark.sql(fx.LEXICON)), path)
+    ready = spark.read.parquet(path)
     model = classify.fit(stats.labelled_only(ready), "bayes")
     scored = model.predict(ready.where(F.col("irrelevant").isNull()).drop("irrelevant"))
     return _flat_summary(entities.extract_information(scored, "en", spark.sql(fx.GAZETTEER))).drop("full_text")

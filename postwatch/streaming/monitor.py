@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from postwatch.operators.bayes import BayesModel, predict_bayes
 from postwatch.operators.cleaning import preprocess_text
-from postwatch.operators.matching import keyword_match, trigger_gate
+from postwatch.operators.matching import keyword_match
 
 
 def read_post_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
@@ -30,7 +30,7 @@ def monitor_stream(posts: DataFrame, keywords: DataFrame, model: BayesModel, out
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        gated = trigger_gate(keyword_match(batch, keywords))
+        gated = keyword_match(batch, keywords, triggered_only=True)
         scored = predict_bayes(preprocess_text(gated, lexicon=lexicon), model)
         (
             scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
