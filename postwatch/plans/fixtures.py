@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from postwatch.functions.text import split_tokens
 from postwatch.operators.cleaning import preprocess_text
 from postwatch.operators.matching import keyword_match
+from postwatch.session import scratch_path
+from postwatch.sources.tables import Tables, save_posts
 
 # Stems that occur in the invented prose; keyword and stem differ on purpose.
 KEYWORDS = """SELECT * FROM (VALUES
@@ -81,14 +83,18 @@ def ready(spark: SparkSession, frame: DataFrame) -> DataFrame:
 
 
 def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word vectors: each lower-case token of the English documents takes one of the given vectors."""
+    """Word vectors, as a stored table: each lower-case token of the English documents takes one of the
+    given vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     n = vectors.count()
     tokens = posts(spark, sf_dir).where("lang = 'en'").select(
         F.explode(split_tokens(F.lower("full_text"))).alias("token")).distinct()
     slot = (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % n).alias("vec_id")
-    return tokens.select("token", slot).join(
+    vectors = tokens.select("token", slot).join(
         vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("token", "vector")
+    tables = Tables(spark, scratch_path(spark, "embedding"))
+    save_posts(vectors, tables.path("embedding"))
+    return tables.load_embedding()
 
 
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,11 +149,9 @@ def read_annotations(spark, sf):
 
 @query
 def load_embedding(spark, sf):
-    tables = _tables(spark, "embedding")
-    save_posts(fx.embedding(spark, sf), tables.path("embedding"))
-    loaded = tables.load_embedding()
-    return loaded.select("token", F.size("vector").cast("bigint").alias("dim"),
-                         F.round(F.get("vector", 0).cast("double"), 4).alias("first"))
+    return fx.embedding(spark, sf).select(
+        "token", F.size("vector").cast("bigint").alias("dim"),
+        F.round(F.get("vector", 0).cast("double"), 4).alias("first"))
 
 
 @query
