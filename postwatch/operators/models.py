@@ -91,10 +91,12 @@ def scale_gamma(data: DataFrame, features_col: str = "features") -> tuple[float,
 
 def _linear(params: dict, label: str, features: str) -> Estimator:
     loss = params.get("loss", "hinge")
+    options = {"labelCol": label, "featuresCol": features, "regParam": LINEAR_REG, "standardization": False,
+               "maxIter": params.get("max_iter", 100)}
     if loss == "hinge":
-        return LinearSVC(labelCol=label, featuresCol=features, regParam=LINEAR_REG, standardization=False)
+        return LinearSVC(**options)
     if loss in ("log", "log_loss"):
-        return LogisticRegression(labelCol=label, featuresCol=features, regParam=LINEAR_REG, standardization=False)
+        return LogisticRegression(**options)
     raise ValueError(f"loss {loss!r} is not supported (hinge, log)")
 
 
@@ -107,9 +109,10 @@ def _forest(params: dict, label: str, features: str) -> Estimator:
 class RbfSvm(Estimator):
     """Linear SVM on random Fourier features; the width follows from the training data."""
 
-    def __init__(self, label: str, features: str, components: int = 256, seed: int = 42):
+    def __init__(self, label: str, features: str, components: int = 256, seed: int = 42, max_iter: int = 100):
         super().__init__()
-        self.label, self.features, self.components, self.seed = label, features, components, seed
+        self.label, self.features = label, features
+        self.components, self.seed, self.max_iter = components, seed, max_iter
 
     def _fit(self, data: DataFrame) -> PipelineModel:
         gamma, dim = scale_gamma(data, self.features)
@@ -117,7 +120,8 @@ class RbfSvm(Estimator):
         stages = [
             RandomFourierFeatures(inputCol=self.features, outputCol="rbf_features", gamma=gamma, dim=dim,
                                   components=self.components, seed=self.seed),
-            LinearSVC(labelCol=self.label, featuresCol="rbf_features", regParam=1.0 / n, standardization=False),
+            LinearSVC(labelCol=self.label, featuresCol="rbf_features", regParam=1.0 / n, standardization=False,
+                      maxIter=self.max_iter),
         ]
         return Pipeline(stages=stages).fit(data)
 
@@ -128,7 +132,7 @@ def _svm(params: dict, label: str, features: str) -> Estimator:
         return LinearSVC(labelCol=label, featuresCol=features, regParam=LINEAR_REG, standardization=False)
     if kernel != "rbf":
         raise ValueError(f"kernel {kernel!r} is not supported (rbf, linear)")
-    return RbfSvm(label, features, params.get("components", 256), params.get("seed", 42))
+    return RbfSvm(label, features, params.get("components", 256), params.get("seed", 42), params.get("max_iter", 100))
 
 
 class BalancedAccuracy(MulticlassClassificationEvaluator):

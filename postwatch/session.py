@@ -34,12 +34,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="postwatch-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"the cluster must name a shared folder in {CHECKPOINT_CONF}")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="postwatch-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

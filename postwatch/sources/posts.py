@@ -13,6 +13,7 @@ from postwatch.schemas import RAW_COLUMNS, RAW_SEPARATOR, column_type
 
 _BOM = chr(0xFEFF)  # byte order mark
 _CORRUPT = "_corrupt_record"
+_NULL = chr(0)  # stands for a field without any text, so that a quoted empty text stays a text
 
 
 def _header(spark: SparkSession, path: str) -> str:
@@ -35,7 +36,7 @@ def _read(spark: SparkSession, paths: list[str], sep: str, columns: tuple[str, .
     return (
         spark.read.schema(schema)
         .options(header=True, sep=sep, multiLine=True, quote='"', escape='"', mode="PERMISSIVE",
-                 columnNameOfCorruptRecord=_CORRUPT, ignoreLeadingWhiteSpace=False,
+                 columnNameOfCorruptRecord=_CORRUPT, nullValue=_NULL, ignoreLeadingWhiteSpace=False,
                  ignoreTrailingWhiteSpace=False, encoding="UTF-8")
         .csv(paths)
     )

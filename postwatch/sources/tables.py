@@ -18,6 +18,7 @@ from postwatch.operators.stats import latest_date
 DATED = ["extraction_date", "lang"]
 RUN = ["split", "extraction_date", "model_type", "lang", "class_lang"]
 LIVE, TEST = "live", "test"
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def save_posts(posts: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -48,19 +49,15 @@ class RunKey:
             raise ValueError("a live run needs an extraction date")
 
     def columns(self) -> dict:
+        values = {name: F.lit(value) for name, value in self.partition().items()}
+        return {**values, "extraction_date": values["extraction_date"].cast("date")}
+
+    def partition(self) -> dict[str, str | None]:
         return {
-            "split": F.lit(TEST if self.test else LIVE),
-            "extraction_date": F.lit(self.date).cast("date"),
-            "model_type": F.lit(self.model_type), "lang": F.lit(self.lang), "class_lang": F.lit(self.class_lang),
+            "split": TEST if self.test else LIVE, "extraction_date": self.date,
+            "model_type": self.model_type, "lang": self.lang, "class_lang": self.class_lang,
         }
 
-    def condition(self):
-        wanted = F.lit(True)
-        for name, value in self.columns().items():
-            wanted = wanted & (F.col(name).isNull() if name == "extraction_date" and self.date is None
-                               else F.col(name) == value)
-        return wanted
-
 
 class Tables:
     """Typed access to the tables below ``root``."""
@@ -74,6 +71,11 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def read_partition(self, name: str, values: dict[str, str | None]) -> DataFrame:
+        """One partition. Only its folder is listed, and it has the columns it was written with."""
+        folder = "/".join(f"{k}={NULL_PARTITION if v is None else v}" for k, v in values.items())
+        return self.spark.read.option("basePath", self.path(name)).parquet(f"{self.path(name)}/{folder}")
+
     # keywords, embedding
 
     def write_keywords(self, keywords: DataFrame) -> None:
@@ -93,20 +95,20 @@ class Tables:
         write_raw(dated, self.path("raw"))
 
     def load_raw(self, lang: str, date: str) -> DataFrame:
-        return _of_day(self.read("raw"), lang, date)
+        return self.read_partition("raw", {"extraction_date": date, "lang": lang})
 
     def save_preprocessed(self, posts: DataFrame, date: str, lang: str) -> None:
         dated = posts.withColumn("extraction_date", F.lit(date).cast("date")).withColumn("lang", F.lit(lang))
         save_posts(dated, self.path("preprocessed"), DATED)
 
     def load_unlabelled(self, lang: str, date: str) -> DataFrame:
-        return _of_day(self.read("preprocessed"), lang, date)
+        return self.read_partition("preprocessed", {"extraction_date": date, "lang": lang})
 
     def save_labelled(self, posts: DataFrame, lang: str) -> None:
         save_posts(posts.withColumn("lang", F.lit(lang)), self.path("labelled"), ["lang"])
 
     def load_labelled(self, lang: str) -> DataFrame:
-        return self.read("labelled").where(F.col("lang") == lang)
+        return self.read_partition("labelled", {"lang": lang})
 
     # runs
 
@@ -114,7 +116,7 @@ class Tables:
         save_posts(rows.withColumns(key.columns()), self.path(name), RUN)
 
     def load_run(self, name: str, key: RunKey) -> DataFrame:
-        return self.read(name).where(key.condition())
+        return self.read_partition(name, key.partition())
 
     def save_predictions(self, scored: DataFrame, key: RunKey) -> None:
         self.save_run("predictions", scored, key)
@@ -139,10 +141,6 @@ class Tables:
         return newest_date(self.read("preprocessed"), lang)
 
 
-def _of_day(table: DataFrame, lang: str, date: str) -> DataFrame:
-    return table.where((F.col("lang") == lang) & (F.col("extraction_date") == F.lit(date).cast("date")))
-
-
 def newest_date(table: DataFrame, lang: str):
     """Newest extraction date of a language. Partition columns only: no data file is read."""
     found = latest_date(table.select("lang", "extraction_date").distinct().where(F.col("lang") == lang)).first()

@@ -105,6 +105,7 @@ def test_tagger_recovers_training_spans(spark, tmp_path):
 
     texts = [f"{n} people were displaced near town {n}" for n in range(2, 30)]
     rows = [(t, "['B-fig', 'B-unit', 'B-trig']", f"['{t.split()[0]}', 'people', 'displaced']", False) for t in texts]
+    rows += [(f"nothing much to see by people {n}", "['B-unit']", "['people']", False) for n in range(2, 30)]
     annotations = spark.createDataFrame(rows, "full_text STRING, `NER-Tags` STRING, `NER-Words` STRING, rfind BOOLEAN")
     train_entities(annotations, str(tmp_path / "tagger"), max_iter=30)
     model = load_tagger(str(tmp_path / "tagger"))

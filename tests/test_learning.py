@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from postwatch.operators import bayes, classify, models, pooling, splits, stats
@@ -116,13 +116,13 @@ def test_dense_features_with_flag(spark, embedding):
     assert {len(r["features"]) for r in pooling.dense_features(posts, embedding).collect()} == {2}
 
 
-def ring(spark, n=300):
+def ring(spark, n=200):
     rng = np.random.RandomState(0)
     x = rng.normal(size=(n, 2))
     y = ((x ** 2).sum(axis=1) > 1.2).astype(float)
     rows = [(str(i), x[i].tolist(), float(y[i])) for i in range(n)]
     frame = spark.createDataFrame(rows, "id_str STRING, v ARRAY<DOUBLE>, irrelevant DOUBLE")
-    return frame.select("id_str", array_to_vector("v").alias("features"), "irrelevant").persist()
+    return frame.select("id_str", array_to_vector("v").alias("features"), "irrelevant").coalesce(1).persist()
 
 
 def accuracy(df):
@@ -132,15 +132,19 @@ def accuracy(df):
 def test_families(spark, tmp_path):
     data = ring(spark)
     scores = {}
+    few = {"max_iter": 10}
     for family in ("linear", "svm", "randomforest"):
-        scores[family] = accuracy(models.build_model(family, models.model_parameters(family)).fit(data).transform(data))
+        params = {**models.model_parameters(family), **few}
+        scores[family] = accuracy(models.build_model(family, params).fit(data).transform(data))
     assert scores["svm"] > .9 > scores["linear"] and scores["randomforest"] > .7
-    fitted = models.build_model("svm").fit(data)
+    fitted = models.build_model("svm", few).fit(data)
     clf = classify.Classifier("svm", fitted)
     classify.save_classifier(clf, str(tmp_path), "en")
     again = classify.load_classifier(spark, str(tmp_path), "svm", "en").model.transform(data)
     assert again.select("id_str", "prediction").exceptAll(fitted.transform(data).select("id_str", "prediction")).count() == 0
-    assert accuracy(models.build_model("linear", {"loss": "log"}).fit(data).transform(data)) > .4
+    halves = data.withColumn("irrelevant", (F.get(vector_to_array("features"), 0) > 0).cast("double"))
+    for loss in ("log", "hinge"):
+        assert accuracy(models.build_model("linear", {"loss": loss, **few}).fit(halves).transform(halves)) > .9
 
 
 def test_gamma(spark):
@@ -154,7 +158,8 @@ def test_model_search_is_bounded(spark):
     search = models.build_model("tpot", {"population_size": 2})
     assert sum(len(g) for _, g in search.candidates()) == 2
     assert sum(len(g) for _, g in models.build_model("tpot").candidates()) <= 15
-    assert accuracy(search.fit(ring(spark)).transform(ring(spark))) > .4
+    search.candidates = lambda: [(models.RandomForestClassifier(labelCol="irrelevant", seed=1), [{}])]
+    assert accuracy(search.fit(ring(spark)).transform(ring(spark))) > .7
 
 
 def test_registry():
