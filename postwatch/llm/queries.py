@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import simhash
-from postwatch.llm.common import table
+from postwatch.llm import mixing, packing, quality, simhash
+from postwatch.llm.common import table, word_count
+
+
+def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with a weight ``_quality``: 1 for good, 0.25 for bad, 0.5 for unlabelled documents."""
+    known = labels.groupBy(F.col("doc_id").alias("_label_id")).agg(F.avg("quality").alias("_q"))
+    joined = docs.join(known, F.col("doc_id") == F.col("_label_id"), "left")
+    return joined.withColumn("_quality", F.coalesce(0.25 + 0.75 * F.col("_q"), F.lit(0.5))).drop("_label_id", "_q")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(with_quality(docs, table(spark, sf_dir, "labels")), size=F.col("size"), quality=F.col("_quality"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.col("row.source").alias("source"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +32,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_packing": op2_packing,
     "op5_simhash": op5_simhash,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {}
