@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import mixing, packing, quality, simhash
-from postwatch.llm.common import table, word_count
+from postwatch.llm import mixing, packing, pii, quality, simhash
+from postwatch.llm.common import small_batches, table, word_count
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -32,6 +32,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii.digest_column(pii.default_model(spark), F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,6 +47,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op5_simhash": op5_simhash,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
 }
 
