@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import mixing, packing, pii, quality, simhash
+from postwatch.llm import minhash, mixing, packing, pii, quality, simhash
 from postwatch.llm.common import small_batches, table, word_count
 
 
@@ -43,12 +43,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op5_simhash": op5_simhash,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}
