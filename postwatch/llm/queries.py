@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import minhash, mixing, packing, pii, quality, simhash
+from postwatch.llm import langid, minhash, mixing, packing, pii, quality, simhash, toxicity
 from postwatch.llm.common import small_batches, table, word_count
 
 
@@ -27,6 +27,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def id_slot(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = langid.train(docs, id_slot(4) != 2)
+    return langid.predict(docs, models).withColumn("held_out", F.coalesce(id_slot(4) == 2, F.lit(False)))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,6 +54,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), id_slot(5) != 0)
+    return toxicity.predict(docs, machine).withColumn("held_out", F.coalesce(id_slot(5) == 0, F.lit(False)))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -50,9 +67,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_langid": op3_langid,
     "op5_simhash": op5_simhash,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
 }
 
