@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import langid, minhash, mixing, packing, pii, quality, simhash, toxicity
+from postwatch.llm import langid, licenses, minhash, mixing, packing, pii, quality, sharding, simhash, toxicity
 from postwatch.llm.common import small_batches, table, word_count
 
 
@@ -38,11 +38,28 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, models).withColumn("held_out", F.coalesce(id_slot(4) == 2, F.lit(False)))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def document_path() -> Column:
+    """A stand-in for the folders of a crawl: source, then thousands and tens of the id; one name in ten is a licence file's."""
+    block, row = F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 10)
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("b"), block), F.concat(F.lit("r"), row), name)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), document_path().alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("key", "doc_id")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -68,7 +85,9 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_langid": op3_langid,
+    "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
+    "op6_licenses": op6_licenses,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
