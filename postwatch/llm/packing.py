@@ -184,8 +184,7 @@ def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, vocabula
         if short <= 1:
             break
         merge_round += 1
-        packed = _by_open(left.repartition(-(-short // MERGE), "sequence_id").sortWithinPartitions("sequence_id", "offset")
-                          .mapInArrow(merge(merge_round), SCHEMA))
+        packed = _by_open(left.coalesce(-(-short // MERGE)).mapInArrow(merge(merge_round), SCHEMA))
     out = left
     for part in done:
         out = out.unionByName(part)
