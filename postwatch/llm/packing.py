@@ -3,13 +3,14 @@
 Each partition keeps ``windows`` open windows. A piece goes to the open window it fits best. When none fits,
 the fullest is filled with the head of the piece, emitted, and the rest opens a new window. What is left open at
 the end of a partition is merged within it, and then, in rounds, across partitions, until at most one sequence
-is short. Memory per task: the open windows, one batch of texts and a bounded cache of word pieces.
+is short. Memory per task: the open windows and one batch of texts.
 """
 
 from __future__ import annotations
 
+import base64
 import os
-import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,34 +29,31 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, "
           "open boolean")
 
-#: A blank between two other characters always starts a new piece of the vocabulary's pre-tokeniser.
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SPECIAL = "<|endoftext|>"
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, with a bounded cache of what stands between safe blanks."""
+    """Texts to little-endian unsigned 32-bit ids of the vocabulary ``<path>.json``.
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 48):
+    The same vocabulary is there as ranks, which tiktoken encodes in a third of the time that the tokenizers library
+    takes. Texts with the special token's string, which is one id in the ``.json`` file and unknown to the ranks, go
+    to the tokenizers library; tests hold both against each other.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most, self.longest = Tokenizer.from_file(path), {}, most, longest
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_SAFE_CUT.split(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {}
-        known = self.cache
-        new = list({w for words in cut for w in words[1:] if w not in known})
-        found = dict(zip(new, self._plain([" " + w for w in new])))
-        heads = self._plain([words[0] for words in cut])
-        self.cache.update((w, ids) for w, ids in found.items() if len(w) <= self.longest)
-        found = found.get
-        return [head + b"".join([known.get(w) or found(w) for w in words[1:]]) for head, words in zip(heads, cut)]
+        with open(path.removesuffix(".json") + ".tiktoken") as file:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(str.split, file)}
+        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole = Tokenizer.from_file(path)
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+    def encode(self, text: str) -> bytes:
+        if _SPECIAL in text:
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.plain.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -154,10 +152,8 @@ def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, vocabula
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(length, windows, _first_id(0))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 200):
-                for doc_id, found in zip(ids[at:at + 200], encoder(vocabulary).encode(texts[at:at + 200])):
-                    packer.add(doc_id, found + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                packer.add(doc_id, encoder(vocabulary).encode(text) + end)
             yield packer.batch()
         packer.finish()
         yield packer.batch()
