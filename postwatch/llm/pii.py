@@ -1,8 +1,8 @@
 """Personal data in whole texts: fixed patterns, and what a linear-chain CRF over word shapes finds besides.
 
-The CRF is trained from a small labelled table on the driver. Texts are decoded in numpy batches. A word whose
-score for "outside" beats every other label by more than all transitions around it could give back is outside on the
-best path, so that Viterbi runs over the stretches between such words only, with the same result.
+The CRF is trained from a small labelled table on the driver. Texts are decoded in numpy batches. A word is
+left outside without a look where no stretch of other labels that holds it could gain over "outside" throughout;
+Viterbi runs over the words that remain, with the same result.
 """
 
 from __future__ import annotations
@@ -121,6 +121,18 @@ _SHAPE = ((re.compile("[^\\W\\d_A-Z]+"), "a"), (re.compile("[A-Z]+"), "A"), (re.
 _WORD = re.compile(r"\S+")
 
 
+class _Classes(dict):
+    """For str.translate: A-Z to A, digits to 9, other letters to a, the rest as it is."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "A" if "A" <= c <= "Z" else "9" if c.isdecimal() else "a" if c.isalnum() else c
+        return self[code]
+
+
+_CLASSES = _Classes()
+
+
 def word_features(word: str) -> list[str]:
     shape = word[:200]
     for pattern, mark in _SHAPE:
@@ -142,24 +154,39 @@ class Crf:
     emit: np.ndarray  # 3 x features x labels
     trans: np.ndarray  # label before x label
     cache: dict[str, int] = field(default_factory=dict, repr=False)
-    rows: list[np.ndarray] = field(default_factory=list, repr=False)
+    shapes: dict[str, int] = field(default_factory=dict, repr=False)
+    kinds: dict[tuple, int] = field(default_factory=dict, repr=False)
+    table: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "rows": []}
+        return {**self.__dict__, "cache": {}, "shapes": {}, "kinds": {}, "table": None}
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, and a table (id, place, label) of their scores; id 0 stands for the edge of a text."""
-        if len(self.cache) > 400_000 or not self.rows:
-            self.cache.clear()
-            self.rows[:] = [self._score(["edge"])]
-        for word in {w for w in words if w not in self.cache}:
-            self.cache[word] = len(self.rows)
-            self.rows.append(self._score(word_features(word)))
-        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words)), np.stack(self.rows)
+    def words(self, words: list[str], most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and a table (id, place, label) of their scores; id 0 stands for the edge of a text.
 
-    def _score(self, features: list[str]) -> np.ndarray:
-        known = [self.features[f] for f in features if f in self.features]
-        return self.emit[:, known].sum(1).astype(np.float32)
+        Words with the same learned features share an id. All features but the word itself follow from its shape, so
+        that a new word of a known shape costs two look-ups.
+        """
+        if len(self.cache) > most or not self.kinds:
+            self.cache.clear()
+            self.shapes.clear()
+            self.kinds = {(self.features["edge"],): 0}
+        shapes, features, cache = self.shapes, self.features, self.cache
+        for word in {w for w in words if w not in cache}:
+            if f"word={word.lower()[:24]}" in features or "at)" in word or "at]" in word or len(word) > 64:
+                cache[word] = self._kind(word_features(word))
+                continue
+            shape = word.translate(_CLASSES)
+            if shape not in shapes:
+                shapes[shape] = self._kind([f for f in word_features(shape) if not f.startswith("word=")])
+            cache[word] = shapes[shape]
+        if self.table is None or len(self.table) != len(self.kinds):
+            self.table = np.stack([self.emit[:, list(known)].sum(1) for known in self.kinds]).astype(np.float32)
+        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words)), self.table
+
+    def _kind(self, features: list[str]) -> int:
+        known = tuple(self.features[f] for f in features if f in self.features)
+        return self.kinds.setdefault(known, len(self.kinds))
 
     def emissions(self, words: list[str], starts: np.ndarray) -> np.ndarray:
         """Scores (word, label) of texts laid end to end, of which each begins at one of ``starts``."""
@@ -176,8 +203,14 @@ class Crf:
         if not len(words):
             return labels
         score = self.emissions(words, starts)
-        slack = 2 * (self.trans.max() - self.trans.min())
-        unsure = score[:, 0] - score[:, 1:].max(1) <= slack
+        # A stretch of k other labels gains at most the sum over its words of (best other score - outside score + step), plus ends.
+        over = self.trans - self.trans[0, 0]
+        step = over[1:, 1:].max()
+        ends = over[0, 1:].max() + over[1:, 0].max() - step
+        total = np.concatenate(([0], np.cumsum(score[:, 1:].max(1).astype(np.float64) - score[:, 0] + step)))
+        lowest = np.minimum.accumulate(total)[:-1]
+        highest = np.maximum.accumulate(total[::-1])[::-1][1:]
+        unsure = highest - lowest + ends >= -1e-3
         first = np.zeros(len(words) + 1, bool)
         first[starts] = True
         at = np.flatnonzero(unsure)
