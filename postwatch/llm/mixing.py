@@ -94,7 +94,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The columns of ``docs`` are kept; ``n_chars``, if there, follows the text.
     """
     mixed = mix(docs, **options)
-    copies = F.col("epochs") + (F.col("part") > 0).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(0)
     out = mixed.where(copies > 0).select("*", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_copy"))
     is_cut = (F.col("_copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
     text = F.when(is_cut, F.array_join(F.slice(word_array(F.col("row.text")), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
