@@ -206,7 +206,7 @@ class Crf:
         # A stretch of k other labels gains at most the sum over its words of (best other score - outside score + step), plus ends.
         over = self.trans - self.trans[0, 0]
         step = over[1:, 1:].max()
-        ends = over[0, 1:].max() + over[1:, 0].max() - step
+        ends = max(0, over[0, 1:].max()) + max(0, over[1:, 0].max()) - step  # none at the ends of a text
         total = np.concatenate(([0], np.cumsum(score[:, 1:].max(1).astype(np.float64) - score[:, 0] + step)))
         lowest = np.minimum.accumulate(total)[:-1]
         highest = np.maximum.accumulate(total[::-1])[::-1][1:]
