@@ -24,7 +24,7 @@ from postwatch.llm.simhash import spanning_forest
 
 WIDTH, PERMUTATIONS, SEED = 5, 128, 20240501
 BAND_ROWS, LIKENESS, CHUNK, SLICE_ROWS = 5, 0.8, 256, 20_000
-PARTITION_BYTES, MOST_PARTITIONS, SAMPLE = 32 << 20, 20_000, 32
+PARTITION_BYTES, MOST_PARTITIONS, SAMPLE = 8 << 20, 20_000, 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFF)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from postwatch.llm.common import small_batches, unit_interval
 
 #: Training reads at most about this many labelled texts of each class, drawn by a hash of the id; all texts are scored.
-MOST_TEXTS, SLOTS, TERMS, FACTORS, EPOCHS, SEED = 6000, 1 << 18, 4096, 8, 12, 11
+MOST_TEXTS, SLOTS, TERMS, FACTORS, EPOCHS, START, SEED = 6000, 1 << 18, 4096, 8, 12, 0.5, 11
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&|-_«»¡¿…"
 
 
@@ -63,7 +63,7 @@ class Machine:
 
 
 def fit(terms: list[np.ndarray], labels: np.ndarray, shift: float = 0.0, most: int = TERMS, factors: int = FACTORS,
-        epochs: int = EPOCHS, rate: float = 0.02, penalty: float = 1e-4, seed: int = SEED) -> Machine:
+        epochs: int = EPOCHS, rate: float = 0.02, penalty: float = 1e-5, start: float = START, seed: int = SEED) -> Machine:
     """Fit by Adam on the logarithmic loss. ``shift`` is added to the bias, for classes drawn at different rates."""
     n_pos, n_neg = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_pos or not n_neg:
@@ -82,6 +82,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, shift: float = 0.0, most: i
     none = len(chosen)  # a term that every text has keeps the sums simple; it has no weight
     rows = [np.append(found[found >= 0], none) for found in (lookup[t] for t in terms)]
     weights, vectors = np.zeros(none + 1), random.normal(0, 0.05, (none + 1, factors))
+    weights[:none] = start * np.log((p[chosen] + 1 / n_pos) / (q[chosen] + 1 / n_neg))  # training goes on from the odds of each term
     vectors[none] = 0
     params = [np.array([np.log(n_pos / n_neg)]), weights, vectors]
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in params]
