@@ -14,7 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LITERAL_ROWS = 20_000
-SALTS = 8
+MAX_BROADCAST_BYTES = 64 << 20
+KEY = "_row_key"
+
+
+def value_key(*cols: Column | str) -> Column:
+    """A key of what a row's result depends on. Look-ups are functions of the text alone, so rows with the same text share
+    one result, however often a post is stored and whatever its id."""
+    return F.sha2(F.to_json(F.struct(*cols)), 256)
+
+
+def one_value(dictionary: DataFrame) -> DataFrame:
+    """``(token, value)`` with one row per token: of several values the smallest counts."""
+    return dictionary.groupBy("token").agg(F.min("value").alias("value"))
 
 
 def small_rows(df: DataFrame, max_rows: int = MAX_LITERAL_ROWS) -> list | None:
@@ -35,43 +47,47 @@ def hashed_literal(pairs: dict[str, object], value_type: str = "string") -> Call
     return lambda key: F.try_element_at(F.get(table, (F.crc32(key) % F.lit(n)).cast("int")), key)
 
 
-def salted_join(facts: DataFrame, dictionary: DataFrame, key: str, spread_by: str,
-                how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(facts: DataFrame, dictionary: DataFrame, key: str, spread_by: str | None = None,
+                how: str = "inner", row_bytes: int = 128) -> DataFrame:
     """Join exploded tokens with a dictionary table of any size.
 
-    No broadcast hint: Spark broadcasts the dictionary if its size allows. Otherwise one frequent token
-    may hold a large share of all rows, so each key is spread over ``salts`` partitions; the dictionary
-    is repeated, which is cheap next to the corpus.
+    A dictionary whose counted rows stay below ``MAX_BROADCAST_BYTES`` is broadcast as it is. Otherwise one
+    frequent token may hold a large share of all rows: tokens are spread over salts, as many as there are cores,
+    at random but by the row's content, and the dictionary is repeated for each salt.
     """
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = dictionary.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    limit = MAX_BROADCAST_BYTES // row_bytes
+    if dictionary.limit(limit + 1).count() <= limit:
+        return facts.join(F.broadcast(dictionary), key, how)
+    salts = max(8, facts.sparkSession.sparkContext.defaultParallelism)
+    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by or KEY), F.lit(salts)).cast("int"))
+    repeated = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_facts.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
-def map_tokens(df: DataFrame, id_col: str, tokens_col: str, dictionary: DataFrame, out_col: str,
+def map_tokens(df: DataFrame, tokens_col: str, dictionary: DataFrame, out_col: str,
                keep_unknown: bool = True, max_rows: int = MAX_LITERAL_ROWS) -> DataFrame:
     """Replace each token of an array by its ``value`` in ``dictionary(token, value)``.
 
-    Order and length are kept. Unknown tokens stay, or become null with ``keep_unknown=False``.
-    ``id_col`` must identify rows; it is only used when the dictionary is too large for a literal.
+    Order and length are kept. Unknown tokens stay, or become null with ``keep_unknown=False``. A token listed
+    more than once takes its smallest value. Both ways give the same result for repeated rows and ids.
     """
-    rows = small_rows(dictionary.select("token", "value"), max_rows)
+    known = one_value(dictionary)
+    rows = small_rows(known, max_rows)
     if rows is not None:
         find = hashed_literal({r["token"]: r["value"] for r in rows})
         return df.withColumn(
             out_col,
             F.transform(tokens_col, lambda t: F.coalesce(find(t), t) if keep_unknown else find(t)),
         )
-    exploded = df.select(id_col, F.posexplode(tokens_col).alias("_pos", "token"))
-    joined = salted_join(exploded, dictionary.select("token", "value"), "token", id_col, "left")
+    keyed = df.withColumn(KEY, value_key(tokens_col))
+    exploded = keyed.select(KEY, F.posexplode(tokens_col).alias("_pos", "token"))
+    joined = salted_join(exploded, known, "token", how="left")
     value = F.coalesce("value", "token") if keep_unknown else F.col("value")
-    mapped = joined.groupBy(id_col).agg(
+    mapped = joined.groupBy(KEY).agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("_pos", value.alias("v")))), lambda s: s["v"]
-        ).alias(out_col)
+            F.sort_array(F.collect_set(F.struct("_pos", value.alias("v")))), lambda s: s["v"]
+        ).alias("_mapped")
     )
     empty = F.array().cast("array<string>")
-    keep = [c for c in df.columns if c != out_col]
-    return df.select(*keep).join(mapped, id_col, "left").withColumn(out_col, F.coalesce(out_col, empty))
+    joined = keyed.join(mapped, KEY, "left").withColumn(out_col, F.coalesce("_mapped", empty))
+    return joined.drop(KEY, "_mapped")

@@ -1,8 +1,8 @@
 """Naive Bayes over boolean word features.
 
-A model is a number, ``bias``, and a table ``weights(token, gap)`` with one row per vocabulary token, so
-neither training nor prediction is bound by the driver. Training is one grouped count; prediction is one
-join and one sum per post.
+A model is a number, ``bias``, and a table ``weights(token, gap)`` with one row per vocabulary token. Training is one
+grouped count. Prediction looks a model of checked size up row by row, and joins a larger one, so that no vocabulary is
+too large.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.functions.lookup import salted_join
+from postwatch.functions.lookup import KEY, salted_join, value_key
 from postwatch.functions.text import word_tokenize
 
 SMOOTHING = 0.5  # fixed value: expected-likelihood estimate
+MAX_LOCAL_WEIGHTS = 4_000_000  # tokens of a model that is broadcast; 16 bytes each
 
 
 @dataclass
@@ -94,21 +97,55 @@ def fit_bayes(posts: DataFrame, label_col: str = "irrelevant",
     return BayesModel(bias, weights, evidence)
 
 
-def log_odds(posts: DataFrame, model: BayesModel, id_col: str = "id_str",
-             text_col: str = "full_text_preprocessed") -> DataFrame:
-    """``(id, log_odds)`` for every post; unknown words have no effect.
+def weight_arrays(model: BayesModel, max_rows: int = MAX_LOCAL_WEIGHTS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted token hashes and their gaps if the model has at most ``max_rows`` tokens without equal hashes, else None."""
+    if model.weights.limit(max_rows + 1).count() > max_rows:
+        return None
+    table = model.weights.select(F.xxhash64("token").alias("h"), "gap").toArrow()
+    hashes = table["h"].to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    hashes, gaps = hashes[order], table["gap"].to_numpy()[order]
+    return None if (hashes[1:] == hashes[:-1]).any() else (hashes, gaps)
 
-    Each post's tokens stay together until the join, and one narrow row per post is shuffled after it.
-    """
-    tokens = posts.select(id_col, F.explode_outer(F.array_distinct(word_tokenize(text_col))).alias("token"))
-    gained = salted_join(tokens, model.weights, "token", id_col, "left").groupBy(id_col).agg(
-        F.coalesce(F.sum("gap"), F.lit(0.0)).alias("_gain")
-    )
-    return gained.select(id_col, (F.col("_gain") + F.lit(model.bias)).alias("log_odds"))
 
+def _local_log_odds(posts: DataFrame, arrays: tuple[np.ndarray, np.ndarray], bias: float, text_col: str) -> Column:
+    """Scores where the texts are: only hashes of the distinct tokens leave the JVM, and the model is broadcast."""
+    shared = posts.sparkSession.sparkContext.broadcast(arrays)
+
+    @F.pandas_udf("double")
+    def score(tokens: pd.Series) -> pd.Series:
+        hashes, gaps = shared.value
+        sizes = tokens.map(len).to_numpy(np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *tokens.tolist()]).astype(np.int64)
+        at = np.minimum(np.searchsorted(hashes, flat), max(len(hashes) - 1, 0))
+        gained = np.where(hashes[at] == flat, gaps[at], 0.0) if len(hashes) else np.zeros(len(flat))
+        return pd.Series([gained[e - n:e].sum() for e, n in zip(np.cumsum(sizes), sizes)], dtype=float)
+
+    words = F.array_distinct(word_tokenize(text_col))
+    return F.lit(bias) + score(F.transform(words, lambda t: F.xxhash64(t)))
 
-def predict_bayes(posts: DataFrame, model: BayesModel, id_col: str = "id_str",
-                  text_col: str = "full_text_preprocessed") -> DataFrame:
+
+def log_odds(posts: DataFrame, model: BayesModel, text_col: str = "full_text_preprocessed",
+             max_rows: int = MAX_LOCAL_WEIGHTS) -> DataFrame:
+    """Add ``log_odds`` to every post; unknown words have no effect.
+
+    Each row is scored by itself: repeated posts get the same score. A model of checked size is looked up row by row, without
+    a shuffle. A larger one is joined on the tokens of the distinct texts, and the scores come back by text.
+    """
+    arrays = weight_arrays(model, max_rows)
+    if arrays is not None:
+        return posts.withColumn("log_odds", _local_log_odds(posts, arrays, model.bias, text_col))
+    words = F.array_distinct(word_tokenize(text_col))
+    keyed = posts.withColumn(KEY, value_key(F.col(text_col).alias("t")))
+    texts = keyed.select(KEY, words.alias("_words")).groupBy(KEY).agg(F.first("_words").alias("_words"))
+    tokens = texts.select(KEY, F.explode_outer("_words").alias("token"))
+    gained = salted_join(tokens, model.weights, "token", how="left").groupBy(KEY).agg(
+        F.coalesce(F.sum("gap"), F.lit(0.0)).alias("_gain"))
+    return keyed.join(gained, KEY).withColumn("log_odds", F.col("_gain") + F.lit(model.bias)).drop(KEY, "_gain")
+
+
+def predict_bayes(posts: DataFrame, model: BayesModel, text_col: str = "full_text_preprocessed",
+                  max_rows: int = MAX_LOCAL_WEIGHTS) -> DataFrame:
     """Add ``log_odds`` and ``predicted_irrelevant``; a tie goes to class 1."""
-    scored = posts.join(log_odds(posts, model, id_col, text_col), id_col)
+    scored = log_odds(posts, model, text_col, max_rows)
     return scored.withColumn("predicted_irrelevant", (F.col("log_odds") >= 0).cast("int"))

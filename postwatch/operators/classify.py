@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwatch.functions.lookup import KEY, value_key
 from postwatch.operators.bayes import (
     SMOOTHING, BayesModel, class_sizes, fit_bayes, log_weights, predict_bayes,
 )
@@ -32,12 +33,12 @@ class Classifier:
         if isinstance(self.model, BayesModel):
             self.model.unpersist()
 
-    def predict(self, posts: DataFrame, id_col: str = "id_str") -> DataFrame:
+    def predict(self, posts: DataFrame) -> DataFrame:
         """Labels for posts with a trigger; without any such post the result is empty."""
         gated = trigger_gate(posts)
         if self.model_type == "bayes":
-            return predict_bayes(gated, self.model, id_col).drop("log_odds")
-        scored = self.model.transform(dense_features(gated, self.embedding, id_col=id_col))
+            return predict_bayes(gated, self.model).drop("log_odds")
+        scored = self.model.transform(dense_features(gated, self.embedding))
         return attach_prediction(scored, gated.columns)
 
 
@@ -54,7 +55,7 @@ def fit(train: DataFrame, model_type: str, params: dict | None = None, embedding
     if embedding is None:
         raise ValueError(f"model family {model_type!r} needs a word embedding")
     narrow = train.select(id_col, label_col, "full_text_preprocessed")
-    features = dense_features(narrow, embedding, id_col=id_col).persist()
+    features = dense_features(narrow, embedding).persist()
     try:
         params = model_parameters(model_type) if params is None else params
         return Classifier(model_type, build_model(model_type, params, label_col).fit(features), embedding)
@@ -77,7 +78,7 @@ def cross_validate(posts: DataFrame, model_type: str, params: dict | None = None
     if embedding is None:
         raise ValueError(f"model family {model_type!r} needs a word embedding")
     narrow = posts.select(id_col, label_col, "full_text_preprocessed")
-    folded = dense_features(stratified_folds(narrow, label_col, k, id_col, seed), embedding, id_col=id_col)
+    folded = dense_features(stratified_folds(narrow, label_col, k, id_col, seed), embedding)
     folded = folded.persist()
     try:
         params = model_parameters(model_type) if params is None else params
@@ -118,10 +119,13 @@ def bayes_fold_predictions(folded: DataFrame, label_col: str = "irrelevant", id_
         (F.log((F.max("n1") + SMOOTHING) / (F.max("n0") + SMOOTHING)) + F.sum("absent")).alias("_bias")
     )
     gaps = weights.select("fold", "token", (F.col("present") - F.col("absent")).alias("_gap"))
-    tokens = token_rows(folded, id_col, "fold", distinct=True)
-    gains = tokens.join(gaps, ["token", "fold"]).groupBy(id_col).agg(F.sum("_gap").alias("_gain"))
+    # A fold gives a text one score, however often the text is in it. Tokens are spread over the rows of
+    # their text, so that a frequent one is no hot key beyond what a join may split.
+    keyed = folded.withColumn(KEY, value_key(F.col("full_text_preprocessed").alias("t")))
+    tokens = token_rows(keyed, KEY, "fold", distinct=True).distinct()
+    gains = tokens.join(gaps, ["token", "fold"]).groupBy(KEY, "fold").agg(F.sum("_gap").alias("_gain"))
     return (
-        folded.select(id_col, label_col, "fold").join(gains, id_col, "left").join(F.broadcast(bias), "fold")
+        keyed.select(id_col, label_col, "fold", KEY).join(gains, [KEY, "fold"], "left").join(F.broadcast(bias), "fold")
         .select(id_col, label_col, "fold",
                 (F.col("_bias") + F.coalesce("_gain", F.lit(0.0)) >= 0).cast("int").alias("predicted_irrelevant"))
     )

@@ -46,10 +46,10 @@ def lemma_forms(lexicon: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def lemmatize(posts: DataFrame, tokens_col: str, lexicon: DataFrame, out_col: str,
-              id_col: str = "id_str", depth: int = 2, max_literal: int = MAX_LITERAL_ROWS) -> DataFrame:
+              depth: int = 2, max_literal: int = MAX_LITERAL_ROWS) -> DataFrame:
     """Noun lemma of each token; unknown tokens stay."""
     changed = lemma_forms(lexicon, depth).where("token <> value")
-    return map_tokens(posts, id_col, tokens_col, changed, out_col, max_rows=max_literal)
+    return map_tokens(posts, tokens_col, changed, out_col, max_rows=max_literal)
 
 
 def translate_with(posts: DataFrame, translate: Callable[[list[str]], list[str]],
@@ -81,18 +81,18 @@ def translate_with(posts: DataFrame, translate: Callable[[list[str]], list[str]]
 
 
 def translate_by_lexicon(posts: DataFrame, lexicon: DataFrame, lang: str, text_col: str,
-                         out_col: str = "full_text_translated", id_col: str = "id_str") -> DataFrame:
+                         out_col: str = "full_text_translated", max_literal: int = MAX_LITERAL_ROWS) -> DataFrame:
     """Token-by-token translation with ``lexicon(lang, token, translation)``; unknown tokens stay."""
     words = lexicon.where(F.col("lang") == lang).select("token", F.col("translation").alias("value"))
     tokens = posts.withColumn("_tokens", tx.split_tokens(text_col))
-    mapped = map_tokens(tokens, id_col, "_tokens", words, "_translated")
+    mapped = map_tokens(tokens, "_tokens", words, "_translated", max_rows=max_literal)
     return mapped.withColumn(out_col, tx.join_tokens("_translated")).drop("_tokens", "_translated")
 
 
 def preprocess_text(posts: DataFrame, language: str = "en", lexicon: DataFrame | None = None,
                     translator: Callable[[list[str]], list[str]] | None = None,
                     translations: DataFrame | None = None, text_col: str = "full_text",
-                    id_col: str = "id_str", keep_accents: bool = False,
+                    keep_accents: bool = False,
                     stop_words: list[str] | None = None) -> DataFrame:
     """Add ``full_text_preprocessed`` (and ``full_text_translated`` unless the language is English).
 
@@ -108,13 +108,13 @@ def preprocess_text(posts: DataFrame, language: str = "en", lexicon: DataFrame |
         if translator is not None:
             work = translate_with(work, translator, "_clean")
         elif translations is not None:
-            work = translate_by_lexicon(work, translations, language, "_clean", id_col=id_col)
+            work = translate_by_lexicon(work, translations, language, "_clean")
         else:
             raise ValueError(f"posts in {language!r} need a translator or a translation lexicon")
         work = work.withColumn("_tokens", tx.split_tokens(F.lower(tx.null_text("full_text_translated"))))
         work = work.drop("_clean")
     if lexicon is not None:
-        work = lemmatize(work, "_tokens", lexicon, "_tokens", id_col)
+        work = lemmatize(work, "_tokens", lexicon, "_tokens")
     kept = tx.remove_stopwords("_tokens", stop_words)
     cleaned = F.trim(tx.strip_punctuation(tx.join_tokens(kept)))
     return work.withColumn("full_text_preprocessed", cleaned).drop("_tokens")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postwatch.functions.literals import parse_object_literal
-from postwatch.functions.lookup import MAX_LITERAL_ROWS, salted_join, small_rows
+from postwatch.functions.lookup import KEY, MAX_LITERAL_ROWS, salted_join, small_rows, value_key
 from postwatch.functions.text import fold_spaces, null_text
 from postwatch.operators.tagger import tag_tokens
 from postwatch.schemas import USER
@@ -30,7 +32,6 @@ FIGURE_PATTERN = (r"(?i)\b(?:[0-9]+(?:[.,][0-9]+)*(?: (?:hundred|thousand|millio
                   r"|dozens|hundreds|thousands|millions)\b")
 TAG_COLUMNS = {"B-trig": "TRIGGER", "B-term": "TERM", "B-unit": "UNIT", "B-fig": "FIGURE"}
 LISTS = ["LOCATION", "DATE", "TRIGGER", "TERM", "UNIT", "FIGURE"]
-MAX_WORDS = 3
 
 _EDGES = r"(?<![^ ])[^\p{L}\p{N} ]+|[^\p{L}\p{N} ]+(?![^ ])"
 
@@ -52,43 +53,42 @@ def bare_words(text: Column | str) -> Column:
     return F.split(F.regexp_replace(fold_spaces(text), _EDGES, ""), " ")
 
 
-def _maximal(lengths: Column) -> Column:
+def _maximal(lengths: Column, longest: int) -> Column:
     """Match lengths per position, 0 where the match lies inside one that starts before it."""
-    return F.transform(lengths, lambda n, i: F.when(
-        (F.coalesce(F.get(lengths, i - 1), F.lit(0)) > n) | (F.coalesce(F.get(lengths, i - 2), F.lit(0)) > n + 1), 0
-    ).otherwise(n))
+    def covered(n, i):
+        return reduce(lambda a, d: a | (F.coalesce(F.get(lengths, i - d), F.lit(0)) - d >= n), range(1, longest), F.lit(False))
+
+    return F.transform(lengths, lambda n, i: F.when(covered(n, i), 0).otherwise(n))
 
 
 def extract_places(posts: DataFrame, gazetteer: DataFrame, text_col: str = "full_text",
-                   out_col: str = "LOCATION", id_col: str = "id_str",
-                   max_literal: int = MAX_LITERAL_ROWS) -> DataFrame:
-    """Add the ordered list of gazetteer names (one to three words) in each text.
+                   out_col: str = "LOCATION", max_literal: int = MAX_LITERAL_ROWS) -> DataFrame:
+    """Add the ordered list of gazetteer names, of any number of words, in each text.
 
-    At each word the longest name counts; a name inside another one does not. ``gazetteer(place)`` of
-    checked size is tested in place, a larger one is joined on the word sequences.
+    At each word the longest name counts; a name inside another one does not. White space in names counts as one
+    space. ``gazetteer(place)`` of checked size is tested in place, a larger one is joined on the word sequences.
     """
-    names = gazetteer.select("place").distinct()
+    names = gazetteer.select(fold_spaces("place").alias("place")).where("place <> ''").distinct()
     rows = small_rows(names, max_literal)
     if rows is None:
-        return _places_by_join(posts, names, text_col, out_col, id_col)
-    by_words: dict[int, list[str]] = {n: [] for n in range(1, MAX_WORDS + 1)}
+        return _places_by_join(posts, names, text_col, out_col)
+    by_words: dict[int, list[str]] = {}
     for r in rows:
-        if len(r["place"].split()) in by_words:
-            by_words[len(r["place"].split())].append(r["place"])
-    firsts = sorted({p.split()[0] for ps in by_words.values() for p in ps})
+        by_words.setdefault(len(r["place"].split(" ")), []).append(r["place"])
+    sizes = sorted(by_words)
+    firsts = sorted({p.split(" ")[0] for ps in by_words.values() for p in ps})
 
     def length_at(words, w, i):
-        grams = [F.concat_ws(" ", w, *[F.get(words, i + d) for d in range(1, n)]) for n in range(1, MAX_WORDS + 1)]
         longest = F.lit(0)
-        for n in range(1, MAX_WORDS + 1):
-            if by_words[n]:
-                longest = F.when(grams[n - 1].isin(by_words[n]), F.lit(n)).otherwise(longest)
+        for n in sizes:
+            gram = F.array_join(F.slice(words, i + 1, n), " ")
+            longest = F.when(gram.isin(by_words[n]), F.lit(n)).otherwise(longest)
         return F.when(w.isin(firsts), longest).otherwise(F.lit(0))
 
     def names_in(words):
         lengths = F.transform(words, lambda w, i: length_at(words, w, i))
         spots = F.get(F.transform(F.array(lengths), lambda ls: F.transform(
-            _maximal(ls), lambda n, i: F.struct(n.alias("n"), i.alias("i")))), 0)
+            _maximal(ls, sizes[-1]), lambda n, i: F.struct(n.alias("n"), i.alias("i")))), 0)
         return F.transform(
             F.filter(spots, lambda s: s["n"] > 0),
             lambda s: F.array_join(F.slice(words, s["i"] + 1, s["n"]), " "),
@@ -100,26 +100,26 @@ def extract_places(posts: DataFrame, gazetteer: DataFrame, text_col: str = "full
     return posts.withColumn(out_col, F.when(gate, found).otherwise(empty_list()))
 
 
-def _places_by_join(posts: DataFrame, names: DataFrame, text_col: str, out_col: str, id_col: str) -> DataFrame:
+def _places_by_join(posts: DataFrame, names: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    sized = names.withColumn("_n", F.size(F.split("place", " ")))
+    sizes = sorted(r[0] for r in sized.select("_n").distinct().collect())  # few: the lengths that names have
     words = F.array(bare_words(text_col))
     grams = F.get(F.transform(words, lambda ws: F.flatten(F.transform(ws, lambda w, i: F.array(*[
-        F.struct(i.alias("i"), F.lit(n).alias("n"),
-                 F.concat_ws(" ", w, *[F.get(ws, i + d) for d in range(1, n)]).alias("place"))
-        for n in range(1, MAX_WORDS + 1)
+        F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice(ws, i + 1, n), " ").alias("place")) for n in sizes
     ])))), 0)
-    rows = posts.select(id_col, F.inline(grams)).where("place <> ''")
-    sized = names.withColumn("n", F.size(F.split("place", " ")))
-    hits = salted_join(rows, sized.select("place", F.col("n").alias("_n")), "place", id_col).where("n = _n")
-    longest = hits.groupBy(id_col, "i").agg(F.max_by("place", "n").alias("place"), F.max("n").alias("n"))
-    per_post = longest.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "n", "place"))).alias("_hits"))
+    keyed = posts.withColumn(KEY, value_key(F.col(text_col).alias("t")))
+    rows = keyed.select(KEY, F.inline(grams)).where("place <> ''")
+    hits = salted_join(rows, sized, "place").where("n = _n")
+    longest = hits.groupBy(KEY, "i").agg(F.max_by("place", "n").alias("place"), F.max("n").alias("n"))
+    per_text = longest.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("i", "n", "place"))).alias("_hits"))
     kept = F.filter("_hits", lambda h: ~F.exists(
         "_hits", lambda o: (o["i"] < h["i"]) & (o["i"] + o["n"] >= h["i"] + h["n"])))
-    listed = per_post.select(id_col, F.transform(kept, lambda h: h["place"]).alias(out_col))
-    return posts.join(listed, id_col, "left").withColumn(out_col, F.coalesce(out_col, empty_list()))
+    listed = per_text.select(KEY, F.transform(kept, lambda h: h["place"]).alias("_places"))
+    joined = keyed.join(listed, KEY, "left").withColumn(out_col, F.coalesce("_places", empty_list()))
+    return joined.drop(KEY, "_places")
 
 
-def extract_tags(posts: DataFrame, tagger: PipelineModel | None = None, text_col: str = "full_text",
-                 id_col: str = "id_str") -> DataFrame:
+def extract_tags(posts: DataFrame, tagger: PipelineModel | None = None, text_col: str = "full_text") -> DataFrame:
     """Add ``TRIGGER``, ``TERM``, ``UNIT`` and ``FIGURE``.
 
     With a tagger these are its ``B-`` tokens; other labels are ignored. Without one they are the
@@ -130,10 +130,11 @@ def extract_tags(posts: DataFrame, tagger: PipelineModel | None = None, text_col
             "TRIGGER": F.col("trigger"), "TERM": F.col("term"), "UNIT": F.col("unit"),
             "FIGURE": extract_figures(text_col),
         })
-    tagged = tag_tokens(posts, tagger, id_col, text_col).where(F.col("tag").isin(list(TAG_COLUMNS)))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "token", "tag")))
-    lists = tagged.groupBy(id_col).agg(ordered.alias("_tags"))
-    joined = posts.join(lists, id_col, "left")
+    keyed = posts.withColumn(KEY, value_key(F.col(text_col).alias("t")))
+    tagged = tag_tokens(keyed, tagger, KEY, text_col).where(F.col("tag").isin(list(TAG_COLUMNS)))
+    ordered = F.sort_array(F.collect_set(F.struct("pos", "token", "tag")))
+    lists = tagged.groupBy(KEY).agg(ordered.alias("_tags"))
+    joined = keyed.join(lists, KEY, "left").drop(KEY)
 
     def tokens_of(tag: str) -> Column:
         return F.transform(F.filter("_tags", lambda s: s["tag"] == tag), lambda s: s["token"])
@@ -173,9 +174,9 @@ def post_summary(posts: DataFrame, language: str, *extra: str) -> DataFrame:
 
 
 def extract_information(posts: DataFrame, language: str, gazetteer: DataFrame,
-                        tagger: PipelineModel | None = None, id_col: str = "id_str") -> DataFrame:
+                        tagger: PipelineModel | None = None) -> DataFrame:
     """Summary columns plus the six entity lists of each post."""
     text_col = "full_text" if language == "en" else "full_text_translated"
-    tagged = extract_tags(posts, tagger, text_col, id_col)
-    placed = extract_places(tagged, gazetteer, text_col, "LOCATION", id_col)
+    tagged = extract_tags(posts, tagger, text_col)
+    placed = extract_places(tagged, gazetteer, text_col, "LOCATION")
     return post_summary(placed.withColumn("DATE", extract_dates(text_col)), language, *LISTS)

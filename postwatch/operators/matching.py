@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postwatch.functions.lookup import salted_join, small_rows
+from postwatch.functions.lookup import KEY, hashed_literal, salted_join, small_rows, value_key
 from postwatch.functions.text import SPACES, null_text, split_tokens
 from postwatch.operators.keywords import KINDS
 
@@ -34,7 +34,7 @@ def _literal_entries(rows: list) -> Column:
 
 
 def keyword_match(posts: DataFrame, keywords: DataFrame, text_col: str = "full_text",
-                  ignore_case: bool = False, id_col: str = "id_str", triggered_only: bool = False,
+                  ignore_case: bool = False, triggered_only: bool = False,
                   max_literal: int = MAX_LITERAL_KEYWORDS) -> DataFrame:
     """Add the ordered hit lists ``trigger``, ``term`` and ``unit``.
 
@@ -44,14 +44,14 @@ def keyword_match(posts: DataFrame, keywords: DataFrame, text_col: str = "full_t
     shuffle; a larger one goes through ``keyword_match_join``. ``triggered_only`` is the trigger gate as
     a plain text filter in front: a stem in the text is a stem in one of its tokens.
     """
-    wanted = keywords.select("kind", "stem", "keyword", "pos")
+    wanted = keywords.select("kind", "stem", "keyword", "pos").distinct()
     rows = small_rows(wanted, max_literal)
     if rows is None:
-        tagged = keyword_match_join(posts, keywords, text_col, ignore_case, id_col)
+        tagged = keyword_match_join(posts, keywords, text_col, ignore_case)
         return trigger_gate(tagged) if triggered_only else tagged
     # A stem with white space lies in no token.
     rows = [r for r in rows if r["stem"] and not set(r["stem"]) & SPACES]
-    rows = sorted(rows, key=lambda r: (r["pos"], r["keyword"]))
+    rows = sorted(rows, key=lambda r: (r["pos"], r["keyword"], r["kind"]))
     text = null_text(text_col)
     text = F.lower(text) if ignore_case else text
     if triggered_only:
@@ -76,35 +76,37 @@ def keyword_match(posts: DataFrame, keywords: DataFrame, text_col: str = "full_t
 
 
 def keyword_match_join(posts: DataFrame, keywords: DataFrame, text_col: str = "full_text",
-                       ignore_case: bool = False, id_col: str = "id_str") -> DataFrame:
+                       ignore_case: bool = False) -> DataFrame:
     """``keyword_match`` for dictionaries of any size.
 
-    A stem lies in a token exactly if one of the token's substrings equals it, so the containment test
-    becomes an equi join of substrings (of the lengths that stems have) with stems.
+    Every stem has an anchor, its first characters, as many as the shortest stem has. A stem lies in a token only if
+    its anchor is one of the token's substrings of that length, so the containment test becomes an equi join of
+    substrings with anchors, and a check of the candidates. A set of anchors of checked size sorts substrings
+    out before the join. Posts with the same text share their hits.
     """
-    words = keywords.where(F.length("stem") > 0).select("kind", "stem", "keyword", F.col("pos").alias("_kpos"))
-    lengths = [r[0] for r in words.select(F.length("stem")).distinct().collect()]
+    words = keywords.where(F.length("stem") > 0).select("kind", "stem", "keyword", F.col("pos").alias("_kpos")).distinct()
+    width = words.agg(F.min(F.length("stem"))).first()[0] or 1
+    words = words.withColumn("anchor", F.left("stem", F.lit(width)))
+    anchors = small_rows(words.select("anchor").distinct())
     text = F.lower(null_text(text_col)) if ignore_case else null_text(text_col)
-    tokens = posts.select(id_col, F.posexplode(split_tokens(text)).alias("_tpos", "token"))
-    pieces = F.flatten(F.transform(
-        F.array(*[F.lit(n) for n in lengths]),
-        lambda n: F.when(
-            F.length("token") >= n,
-            F.transform(F.sequence(F.lit(1), F.length("token") - n + 1),
-                        lambda i: F.substring("token", i, n)),
-        ).otherwise(F.array().cast("array<string>")),
-    ))
+    keyed = posts.withColumn(KEY, value_key(text.alias("t")))
+    tokens = keyed.select(KEY, F.posexplode(split_tokens(text)).alias("_tpos", "token")).where(F.length("token") >= width)
+    pieces = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("token") - width + 1), lambda i: F.substring("token", i, F.lit(width))))
+    if anchors is not None:
+        known = hashed_literal({r["anchor"]: "x" for r in anchors})
+        pieces = F.filter(pieces, lambda p: known(p).isNotNull())
     hits = (
-        tokens.select(id_col, "_tpos", F.explode(F.array_distinct(pieces)).alias("stem"))
-        .join(words, "stem")
-        .groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("_tpos", "_kpos", "keyword", "kind"))).alias("_hits"))
+        salted_join(tokens.select(KEY, "_tpos", "token", F.explode(pieces).alias("anchor")), words, "anchor")
+        .where(F.contains("token", "stem"))
+        .groupBy(KEY)
+        .agg(F.sort_array(F.collect_set(F.struct("_tpos", "_kpos", "keyword", "kind", "stem"))).alias("_hits"))
     )
-    tagged = posts.join(hits, id_col, "left")
+    tagged = keyed.join(hits, KEY, "left")
     empty = F.array().cast("array<string>")
     for kind in KINDS:
         tagged = tagged.withColumn(kind, F.coalesce(_words_of_kind("_hits", kind), empty))
-    return tagged.drop("_hits")
+    return tagged.drop("_hits", KEY)
 
 
 def explode_hits(tagged: DataFrame, id_col: str = "id_str") -> DataFrame:
@@ -131,23 +133,24 @@ def until_date(posts: DataFrame, ts_col: str, run_date: str) -> DataFrame:
     return posts.where(F.col(ts_col) < F.lit(run_date).cast("timestamp"))
 
 
-def _words_by_join(posts: DataFrame, wanted: DataFrame, tokens: Column, id_col: str) -> DataFrame:
+def _words_by_join(posts: DataFrame, wanted: DataFrame, tokens: Column) -> DataFrame:
     """Keywords whose words all occur in a post, as ``_found``; posts without any are left out."""
     words = F.array_distinct(split_tokens(F.lower("keyword")))
     needed = wanted.select("kind", "keyword", "pos", F.size(words).alias("_n"), F.explode(words).alias("word"))
-    post_words = posts.select(id_col, F.explode(F.array_distinct(tokens)).alias("word"))
+    keyed = posts.withColumn(KEY, value_key(tokens.alias("t")))
+    post_words = keyed.select(KEY, F.explode(F.array_distinct(tokens)).alias("word"))
     found = (
-        salted_join(post_words, needed, "word", id_col)
-        .groupBy(id_col, "kind", "keyword", "pos", "_n").count()
-        .where("count = _n")
-        .groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "keyword", "kind"))).alias("_found"))
+        salted_join(post_words, needed, "word")
+        .groupBy(KEY, "kind", "keyword", "pos", "_n").agg(F.size(F.collect_set("word")).alias("_have"))
+        .where("_have = _n")
+        .groupBy(KEY)
+        .agg(F.sort_array(F.collect_set(F.struct("pos", "keyword", "kind"))).alias("_found"))
     )
-    return posts.join(found, id_col)
+    return keyed.join(found, KEY).drop(KEY)
 
 
 def pair_search(posts: DataFrame, keywords: DataFrame, text_col: str = "full_text",
-                distinct_posts: bool = False, id_col: str = "id_str",
+                distinct_posts: bool = False,
                 max_literal: int = MAX_LITERAL_KEYWORDS) -> DataFrame:
     """Posts that hold all words of a term and all words of a trigger.
 
@@ -156,11 +159,11 @@ def pair_search(posts: DataFrame, keywords: DataFrame, text_col: str = "full_tex
     Both lists are found row by row (or, for a large dictionary, by an equi join of words), so posts
     are never joined with pairs.
     """
-    wanted = keywords.where("kind in ('trigger', 'term')").select("kind", "keyword", "pos")
+    wanted = keywords.where("kind in ('trigger', 'term')").select("kind", "keyword", "pos").distinct()
     rows = small_rows(wanted, max_literal)
     tokens = split_tokens(F.lower(null_text(text_col)))
     if rows is None:
-        matched, found = _words_by_join(posts, wanted, tokens, id_col), F.col("_found")
+        matched, found = _words_by_join(posts, wanted, tokens), F.col("_found")
     else:
         entries = [
             F.struct(
@@ -168,7 +171,7 @@ def pair_search(posts: DataFrame, keywords: DataFrame, text_col: str = "full_tex
                 F.lit(r["keyword"]).alias("keyword"),
                 F.array(*[F.lit(w) for w in r["keyword"].lower().split()]).alias("words"),
             )
-            for r in sorted(rows, key=lambda r: (r["pos"], r["keyword"]))
+            for r in sorted(rows, key=lambda r: (r["pos"], r["keyword"], r["kind"]))
         ]
         matched, found = posts, _bind(
             tokens,

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postwatch.functions.lookup import salted_join
+from postwatch.functions.lookup import KEY, salted_join, value_key
 from postwatch.functions.text import word_tokenize
 
 
@@ -19,7 +19,7 @@ BLOCK_BYTES = 256 << 20  # largest part of the vectors that is broadcast at once
 
 def embedding_lookup(token_rows: DataFrame, embedding: DataFrame, id_col: str = "id_str") -> DataFrame:
     """Token rows with their vectors; unknown tokens are dropped."""
-    return salted_join(token_rows, embedding.select("token", "vector"), "token", id_col)
+    return salted_join(token_rows, embedding.select("token", "vector"), "token", id_col, row_bytes=4096)
 
 
 def mean_pool(posts: DataFrame, embedding: DataFrame, tokens_col: str, out_col: str = "features",
@@ -60,14 +60,14 @@ def _block_of(token: Column, blocks: int) -> Column:
 
 
 def dense_features(posts: DataFrame, embedding: DataFrame, text_col: str = "full_text_preprocessed",
-                   id_col: str = "id_str", verified_col: str | None = None) -> DataFrame:
-    """Posts with a ``features`` vector, also for empty texts.
+                   verified_col: str | None = None) -> DataFrame:
+    """Posts with a ``features`` vector, also for empty texts. Posts with the same text share it, whatever their ids.
 
     ``verified_col`` appends the account's verified flag; it is off by default.
     """
-    tokens = posts.select(id_col, word_tokenize(text_col).alias("_tokens"))
-    pooled = mean_pool(tokens, embedding, "_tokens", "_mean", id_col)
-    joined = posts.join(pooled, id_col)
+    keyed = posts.withColumn(KEY, value_key(F.col(text_col).alias("t")))
+    tokens = keyed.select(KEY, text_col).groupBy(KEY).agg(F.first(word_tokenize(text_col)).alias("_tokens"))
+    joined = keyed.join(mean_pool(tokens, embedding, "_tokens", "_mean", KEY), KEY).drop(KEY)
     if verified_col is None:
         return joined.withColumn("features", array_to_vector("_mean")).drop("_mean")
     flag = F.coalesce(F.col(verified_col).cast("double"), F.lit(0.0))

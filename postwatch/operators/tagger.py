@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postwatch.functions.lookup import KEY, value_key
 from postwatch.functions.text import split_tokens
 
 # The token labels of the training annotations.
@@ -74,9 +75,12 @@ def tag_posts(posts: DataFrame, model: PipelineModel, id_col: str = "id_str",
               text_col: str = "full_text") -> DataFrame:
     """``(id, pos, label, text)``: a ``B-`` token and the ``I-`` tokens of its kind that follow it.
 
-    Only tagged tokens are shuffled.
+    Tokens are merged text by text; an id that has several texts, or one text several times, gets the entities of each of
+    its texts once. Only tagged tokens and keys are shuffled.
     """
-    return merge_runs(tag_tokens(posts, model, id_col, text_col), id_col)
+    keyed = posts.withColumn(KEY, value_key(F.col(text_col).alias("t")))
+    found = merge_runs(tag_tokens(keyed, model, KEY, text_col).distinct(), KEY)
+    return keyed.select(id_col, KEY).distinct().join(found, KEY).drop(KEY)
 
 
 def merge_runs(tagged: DataFrame, id_col: str = "id_str") -> DataFrame:

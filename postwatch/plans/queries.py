@@ -407,7 +407,7 @@ def lemma_lookup(spark, sf):
     """Irregular and regular lemmas through the join, counted per token."""
     tokens = fx.posts(spark, sf).withColumn("tokens", tx.split_tokens(F.lower("full_text")))
     forms = cleaning.lemma_forms(spark.sql(fx.LEXICON))
-    mapped = map_tokens(tokens, "id_str", "tokens", forms, "lemmas", max_rows=0)
+    mapped = map_tokens(tokens, "tokens", forms, "lemmas", max_rows=0)
     return mapped.select(F.explode("lemmas").alias("lemma")).groupBy("lemma").agg(F.count("*").alias("n"))
 
 

@@ -26,7 +26,7 @@ def test_map_tokens_can_drop_unknown(spark):
     posts = spark.createDataFrame([("1", ["a", "b"])], "id_str STRING, toks ARRAY<STRING>")
     words = spark.createDataFrame([("a", "A")], "token STRING, value STRING")
     for limit in (10, 0):
-        assert map_tokens(posts, "id_str", "toks", words, "o", keep_unknown=False, max_rows=limit).first()["o"] == ["A", None]
+        assert map_tokens(posts, "toks", words, "o", keep_unknown=False, max_rows=limit).first()["o"] == ["A", None]
 
 
 def posts_of(spark, *texts):
