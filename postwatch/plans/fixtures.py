@@ -38,6 +38,9 @@ TRANSLATIONS = """SELECT * FROM (VALUES
 GAZETTEER = """SELECT * FROM (VALUES
  ('rewh'), ('The'), ('of the'), ('and the of'), ('inoran'), ('de la'), ('la'), ('Orre'), ('und der')) AS k(place)"""
 
+# Names of four and five words, some with two spaces.
+LONG_PLACES = """SELECT * FROM (VALUES ('de la  de la'), ('in the of  the'), ('of the and the of'), ('and the of the in')) AS k(place)"""
+
 MODEL_TYPE, CLASS_LANG, RUN_DATE = "bayes", "en", "2024-01-31"
 
 
@@ -137,9 +140,12 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.transform("words", lambda w: F.when(F.contains(w, F.lit("eau")), "B-unit").otherwise("B-trig"))
 
     def literal(items):
-        return F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
+        # A word with an apostrophe stands in double quotes, as such lists are written.
+        quoted = F.transform(items, lambda w: F.when(F.contains(w, F.lit("'")), F.concat(F.lit('"'), w, F.lit('"')))
+                             .otherwise(F.concat(F.lit("'"), w, F.lit("'"))))
+        return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
-    base = posts(spark, sf_dir).withColumn("words", words).where(~F.contains("full_text", F.lit("'")))
+    base = posts(spark, sf_dir).withColumn("words", words)
     return base.select(
         "id_str", "full_text",
         F.when(F.col("source") != "src3", literal(F.array_append(tags, "B-fig"))).alias("NER-Tags"),

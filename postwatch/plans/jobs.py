@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from postwatch.operators.stats import (
     confusion_matrix, label_stats, labelled_only, score_of_counts, training_stats,
 )
 from postwatch.operators.tagger import train_tagger
-from postwatch.sources.posts import conform_columns
+from postwatch.schemas import RAW_COLUMNS
+from postwatch.sources.posts import conform_columns, read_post_dir
 from postwatch.sources.tables import RunKey, Tables
 
 
@@ -53,21 +55,32 @@ def build_keywords(tables: Tables, triggers: DataFrame, terms_units: DataFrame)
 
 
 def extract_pairs(tables: Tables, corpus: DataFrame, lang: str, run_date: str, ts_col: str | None = None) -> DataFrame:
-    """Search a corpus for keyword pairs and store the matches as the raw posts of the day."""
+    """Search a corpus for keyword pairs and store the matches as the raw posts of the day, in the raw layout.
+
+    Retweets are left out where the corpus can tell them, and posts from the day of the run on if ``ts_col`` is given.
+    Keywords that are gone since the last run of the day leave no posts behind; a day without hits is an empty table.
+    """
     words = tables.keywords(lang)
     posts = exclude_retweets(corpus) if "retweeted_status" in corpus.columns else corpus
     posts = until_date(posts, ts_col, run_date) if ts_col else posts
     found = pair_search(posts, words)
-    raw = conform_columns(found.drop("lang"), [*found.drop("lang", "term_kw", "query").columns], strict=False)
-    tables.save_raw(raw, run_date, lang)
+    tables.save_raw(conform_columns(found, [*RAW_COLUMNS, "trigger_kw"], strict=False), run_date, lang)
     return tables.load_raw(lang, run_date)
 
 
-def combine_posts(tables: Tables, lang: str, labelled: DataFrame | None = None,
+def in_language(posts: DataFrame, lang: str) -> DataFrame:
+    """Posts in a language, by their ``lang`` column if they have one; those that do not say count as in it."""
+    return posts.where(F.col("lang").isNull() | (F.col("lang") == lang)) if "lang" in posts.columns else posts
+
+
+def combine_posts(tables: Tables, lang: str, labelled: DataFrame | str | None = None,
                   date: str | None = None) -> DataFrame:
-    """Posts to preprocess: those of a raw date (the newest by default), or the labelled ones."""
+    """Posts to preprocess: those of a raw date (the newest by default), or the labelled ones of the language, given as a
+    table or as a folder of delimited files."""
+    if isinstance(labelled, str):
+        labelled = read_post_dir(tables.spark, labelled)
     if labelled is not None:
-        return labelled_only(labelled)
+        return in_language(labelled_only(labelled), lang)
     date = date or str(tables.newest_raw_date(lang))
     return tables.load_raw(lang, date)
 
@@ -83,7 +96,7 @@ def preprocess(posts: DataFrame, keywords: DataFrame, lang: str, tools: TextTool
     return ready
 
 
-def preprocess_posts(tables: Tables, lang: str, tools: TextTools | None = None, labelled: DataFrame | None = None,
+def preprocess_posts(tables: Tables, lang: str, tools: TextTools | None = None, labelled: DataFrame | str | None = None,
                      date: str | None = None) -> DataFrame:
     posts = combine_posts(tables, lang, labelled, date)
     ready = preprocess(posts, tables.keywords(lang), lang, tools)
@@ -139,7 +152,9 @@ def model_exists(tables: Tables, model_type: str, lang: str) -> bool:
     path = f"{tables.path('models')}/{model_type}_{lang}/{folder}"
     try:
         return not tables.spark.read.text(path).limit(1).isEmpty()
-    except Exception:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 

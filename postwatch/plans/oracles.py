@@ -25,12 +25,15 @@ def _tokens(source: str, text: str, *keep: str) -> str:
             f"FROM (SELECT {cols}, {_split(text)} AS l FROM {source})")
 
 
+_WAYS = "CROSS JOIN (VALUES ('literal'), ('join')) AS w(way)"
+
 _CTES = {
     "kw": fx.KEYWORDS,
     "search": fx.SEARCH_WORDS,
     "lex": fx.LEXICON,
     "trans": fx.TRANSLATIONS,
     "gaz": fx.GAZETTEER,
+    "longgaz": fx.LONG_PLACES,
     "docs": "SELECT CAST(doc_id AS VARCHAR) AS id_str, doc_id, text AS full_text, lang, source FROM documents",
     "marks": "SELECT CAST(doc_id AS VARCHAR) AS id_str, CAST(1 - quality AS DOUBLE) AS irrelevant FROM labels",
     "marked": "SELECT d.*, m.irrelevant FROM docs d LEFT JOIN marks m USING (id_str)",
@@ -147,7 +150,7 @@ _CTES = {
         CASE WHEN source <> 'src3' THEN list_append(list_transform(w, lambda x: CASE WHEN contains(x, 'eau') THEN 'B-unit' ELSE 'B-trig' END), 'B-fig') END AS tl
         FROM (SELECT *, list_filter(list_distinct_ordered, lambda x: contains(x, 'ingtion') OR contains(x, 'eau')) AS w FROM (
         SELECT *, list_transform(list_filter(list_zip({_split('full_text')}, range(1, len({_split('full_text')}) + 1)),
-        lambda z: true), lambda z: z[1]) AS list_distinct_ordered FROM docs WHERE NOT contains(full_text, '''')))""",
+        lambda z: true), lambda z: z[1]) AS list_distinct_ordered FROM docs))""",
     # places
     "bare": r"""SELECT id_str, pos, regexp_replace(regexp_replace(tok, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '') AS w FROM toks""",
     "grams": """SELECT id_str, pos, w AS g1, w || ' ' || lead(w, 1) OVER o AS g2, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS g3
@@ -158,6 +161,14 @@ _CTES = {
     "places": """SELECT d.id_str, coalesce(p.places, '') AS places FROM docs d LEFT JOIN (
         SELECT id_str, string_agg(CASE n WHEN 3 THEN g3 WHEN 2 THEN g2 ELSE g1 END, '|' ORDER BY pos) AS places
         FROM maxi WHERE n > 0 AND NOT (n1 > n OR n2 > n + 1) GROUP BY id_str) p USING (id_str)""",
+    # names of any length: the longest at each word, unless it lies in one that starts before it
+    "names": r"""SELECT DISTINCT trim(regexp_replace(place, '\s+', ' ', 'g')) AS name, len(string_split(trim(regexp_replace(place, '\s+', ' ', 'g')), ' ')) AS n
+        FROM (SELECT place FROM gaz UNION ALL SELECT place FROM longgaz)""",
+    "wordlists": "SELECT id_str, list(w ORDER BY pos) AS ws FROM bare GROUP BY id_str",
+    "spots": """SELECT id_str, pos, max(n) AS n, arg_max(name, n) AS name FROM bare JOIN wordlists USING (id_str) JOIN names
+        ON array_to_string(ws[pos:pos + names.n - 1], ' ') = names.name GROUP BY id_str, pos""",
+    "named": """SELECT * FROM spots s WHERE NOT EXISTS (
+        SELECT 1 FROM spots o WHERE o.id_str = s.id_str AND o.pos < s.pos AND o.pos + o.n >= s.pos + s.n)""",
     "lists": f"""SELECT id_str, places AS location_list, array_to_string(regexp_extract_all(full_text, '{DATE_PATTERN}'), '|') AS date_list,
         trigger AS trigger_list, term AS term_list, unit AS unit_list,
         array_to_string(regexp_extract_all(full_text, '{FIGURE_PATTERN}'), '|') AS figure_list
@@ -186,7 +197,7 @@ _CTES["anno"] = f"""SELECT id_str, full_text, CASE WHEN lang <> 'de' THEN lang =
     lambda x: CASE WHEN contains(x, 'eau') THEN 'B-unit' ELSE 'B-trig' END), 'B-fig') END AS tl
     FROM docs LEFT JOIN (SELECT id_str, list(tok ORDER BY first_at) AS w FROM (
     SELECT id_str, tok, min(pos) AS first_at FROM toks WHERE contains(tok, 'ingtion') OR contains(tok, 'eau') GROUP BY id_str, tok)
-    GROUP BY id_str) USING (id_str) WHERE NOT contains(full_text, '''')"""
+    GROUP BY id_str) USING (id_str)"""
 
 _LITERAL = "'[''' || array_to_string({c}, ''', ''') || ''']'"
 _WORDS = _LITERAL.format(c="list_append(wl, 'not-there')")
@@ -235,7 +246,7 @@ _QUERIES = {
         retweeted, user_id, screen_name, verified FROM meta JOIN plain USING (id_str)""",
     "user_struct": _USERS,
     "parse_object_literal": _USERS,
-    "text_for_language": "SELECT id_str, CASE WHEN lang = 'en' THEN full_text ELSE upper(source) END AS text FROM docs",
+    "text_for_language": "SELECT id_str, CASE WHEN lang = 'en' THEN full_text ELSE source || ' ' || full_text END AS text FROM docs",
     "attach_prediction": "SELECT event_type, p AS predicted_irrelevant, count(*) AS n FROM scored GROUP BY 1, 2",
     "conform_columns": "SELECT id_str, CAST(NULL AS VARCHAR) AS created_at, CAST(NULL AS BIGINT) AS retweet_count, lang FROM docs",
     "language_column": "SELECT count(EN) AS n_en, count(FR) AS n_fr FROM sheet",
@@ -284,7 +295,8 @@ _QUERIES = {
     "union_by_name": """SELECT id_str, full_text, lang, NULL AS role FROM docs UNION ALL
         SELECT conv_id || ':' || turn, text, NULL, role FROM conversations""",
     "append_matches": "SELECT id_str, count(*) AS n_copies FROM pairs GROUP BY id_str",
-    "combine_posts": "SELECT id_str, lang, irrelevant FROM marked WHERE irrelevant IN (0, 1)",
+    "combine_posts": "SELECT id_str, lang, irrelevant, 'labelled' AS part FROM marked WHERE irrelevant IN (0, 1) AND lang = 'en' "
+                     "UNION ALL SELECT id_str, 'en' AS lang, CAST(NULL AS DOUBLE) AS irrelevant, 'raw' AS part FROM pairs",
     "split_tokens": "SELECT id_str, CAST(pos - 1 AS INT) AS pos, tok AS token FROM toks",
     "strip_emoji": "SELECT id_str, replace(full_text, ' ', '  ') AS text FROM docs",
     "squeeze_repeats": """SELECT tok AS token, string_agg(c, '' ORDER BY i) || CASE WHEN max(last) = max(last1) AND max(last) = max(last2) THEN ''
@@ -297,7 +309,7 @@ _QUERIES = {
     "join_tokens": "SELECT id_str, string_agg(tok, ' ' ORDER BY pos) AS text FROM toks GROUP BY id_str",
     "translate_posts": """SELECT id_str, string_agg(coalesce(translation, tok), ' ' ORDER BY pos) AS full_text_translated
         FROM toks LEFT JOIN trans ON trans.lang = toks.lang AND token = tok WHERE toks.lang <> 'en' GROUP BY id_str""",
-    "translate_hook": "SELECT id_str, upper(source) AS full_text_translated FROM docs",
+    "translate_hook": "SELECT id_str, replace(full_text, 'e', '3') AS full_text_translated FROM docs",
     "lowercase": "SELECT id_str, lower(full_text) AS text FROM docs",
     "lemmatize": "SELECT id_str, string_agg(lemma, ' ' ORDER BY pos) AS text FROM lowtoks JOIN lemmas USING (tok) GROUP BY id_str",
     "remove_stopwords": f"""SELECT d.id_str, coalesce(string_agg(t.tok, ' ' ORDER BY t.pos), '') AS text FROM docs d
@@ -306,13 +318,14 @@ _QUERIES = {
     "preprocess_text": "SELECT id_str, full_text_preprocessed FROM pre",
     "preprocess_translated": f"""SELECT id_str, string_agg(coalesce(translation, clean), ' ' ORDER BY pos) AS full_text_translated,
         coalesce(string_agg(lemma, ' ' ORDER BY pos) FILTER (lemma NOT IN ({_STOPS})), '') AS full_text_preprocessed
-        FROM toks JOIN ctoks USING (tok) LEFT JOIN trans ON trans.lang = 'fr' AND token = clean
-        JOIN lemmas m ON m.tok = lower(coalesce(translation, clean)) WHERE toks.lang = 'fr' AND clean <> '' GROUP BY id_str""",
+        FROM toks JOIN ctoks USING (tok) LEFT JOIN trans ON trans.lang = toks.lang AND token = clean
+        JOIN lemmas m ON m.tok = lower(coalesce(translation, clean)) WHERE toks.lang <> 'en' AND clean <> '' GROUP BY id_str""",
     "word_tokenize": f"""SELECT id_str, array_to_string({_split("regexp_replace(replace(lower(full_text), ' of ', ' can not '), '[«“‘„»”’]', ' x ', 'g')")}, '|') AS tokens FROM docs""",
     "find_offset": """SELECT id_str, strpos(full_text, 'tion') - 1 AS first_at, CASE WHEN contains(full_text, 'tion')
         THEN length(full_text) - 4 - (strpos(reverse(full_text), 'noit') - 1) ELSE -1 END AS last_at FROM docs""",
     "parse_list_literal": "SELECT id_str, array_to_string(list_append(wl, 'not-there'), '|') AS words FROM anno",
-    "null_text": "SELECT id_str, CASE WHEN irrelevant IS NULL THEN source ELSE '' END AS text, CAST(irrelevant IS NULL AS BIGINT) AS n FROM marked",
+    "null_text": f"SELECT id_str, CASE WHEN irrelevant IS NULL THEN full_text ELSE '' END AS text, "
+                 f"CASE WHEN irrelevant IS NULL THEN len({_split('full_text')}) ELSE 0 END AS n FROM marked",
     "date_format_parse": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events",
     "unpivot_languages": "SELECT pos, keyword_type, lang, keyword FROM long",
     "verified_feature": """SELECT id_str, dim, value FROM pooled UNION ALL
@@ -362,24 +375,52 @@ _QUERIES = {
         count(*) FILTER (irrelevant = 1) AS n_irrelevant, round(count(*) FILTER (irrelevant = 0) / count(irrelevant), 4) AS share_relevant FROM marked""",
     "re_extract": "SELECT id_str, location_list AS places, trigger_list AS triggers FROM lists",
     "monitor_stream": "SELECT h.id_str, CAST(s >= 0 AS INT) AS predicted_irrelevant FROM hitlists h JOIN scores USING (id_str) WHERE h.trigger <> ''",
+    "load_model": "SELECT CAST(vec_id AS VARCHAR) AS id_str, true AS same FROM embeddings",
+    # posts stored once per pair, by both ways
+    "repeated_match": f"SELECT id_str, query, trigger, term, unit, way FROM pairs JOIN hitlists USING (id_str) {_WAYS}",
+    "repeated_search": f"SELECT id_str, copy, query, way FROM pairs CROSS JOIN (VALUES (1), (2)) AS c(copy) {_WAYS}",
+    "repeated_lemmas": f"""SELECT id_str, query, text, way FROM pairs JOIN (
+        SELECT id_str, string_agg(lemma, ' ' ORDER BY pos) AS text FROM lowtoks JOIN lemmas USING (tok) GROUP BY id_str) USING (id_str) {_WAYS}""",
+    "repeated_translation": f"""SELECT id_str, query, full_text_translated, way FROM pairs JOIN (
+        SELECT id_str, string_agg(coalesce(translation, tok), ' ' ORDER BY pos) AS full_text_translated
+        FROM toks LEFT JOIN trans ON trans.lang = 'fr' AND token = tok WHERE toks.lang = 'fr' GROUP BY id_str) USING (id_str) {_WAYS}""",
+    "repeated_places": f"""SELECT id_str, query, coalesce(places, '') AS places, way FROM pairs LEFT JOIN (
+        SELECT id_str, string_agg(name, '|' ORDER BY pos) AS places FROM named GROUP BY id_str) USING (id_str) {_WAYS}""",
+    "repeated_bayes": f"""SELECT id_str, query, round(s, 4) AS log_odds, CAST(s >= 0 AS INT) AS predicted_irrelevant, way
+        FROM pairs JOIN scores USING (id_str) {_WAYS}""",
+    # stored runs
+    "rerun_with_fewer_keywords": f"""SELECT id_str, trigger_kw, 'en' AS lang, '{fx.RUN_DATE}' AS extraction_date FROM pairs WHERE trigger_kw <> 'que'""",
+    "day_without_hits": "SELECT CAST(0 AS BIGINT) AS n, count(*) AS n_before FROM pairs",
+    "labelled_languages": "SELECT id_str, lang, irrelevant FROM marked WHERE irrelevant IN (0, 1)",
+    "monitor_job": """SELECT id_str, full_text_preprocessed, CAST(s >= 0 AS INT) AS predicted_irrelevant, location_list, trigger_list, term_list
+        FROM pairs JOIN pre USING (id_str) JOIN lists USING (id_str) JOIN scores USING (id_str) WHERE trigger_list <> ''""",
+}
+
+
+# The stored run uses the search words as its keywords, and learns from English posts.
+_JOB_CTES = {
+    "kw": "SELECT kind, keyword, pos, keyword AS stem FROM search",
+    "train": "SELECT m.id_str, CAST(m.irrelevant AS INT) AS y FROM marked m JOIN hitlists h USING (id_str) "
+             "WHERE h.trigger <> '' AND m.irrelevant IN (0, 1) AND m.lang = 'en'",
 }
 
 
-def _with(sql: str) -> str:
+def _with(sql: str, own: dict[str, str] | None = None) -> str:
     """Put the mentioned common table expressions, and theirs, in front."""
     needed: list[str] = []
+    known = _CTES | (own or {})
 
     def visit(text: str) -> None:
-        for name, body in _CTES.items():
+        for name, body in known.items():
             if name not in needed and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
                 visit(body)
                 if name not in needed:
                     needed.append(name)
 
     visit(sql)
-    ctes = ",\n".join(f"{name} AS MATERIALIZED ({_CTES[name]})" for name in needed)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({known[name]})" for name in needed)
     return f"WITH {ctes}\n{sql}" if needed else sql
 
 
 def oracles() -> dict[str, str]:
-    return {name: _with(sql) for name, sql in _QUERIES.items()}
+    return {name: _with(sql, _JOB_CTES if name == "monitor_job" else None) for name, sql in _QUERIES.items()}

@@ -107,9 +107,7 @@ def read_post_file(spark, sf):
     path = scratch_path(spark, "file")
     flat = fx.posts(spark, sf).select("id_str", "full_text", "lang", "source")
     src.write_raw_csv(flat, path)
-    file = src.list_files(spark, path)[0]
-    layout = src.detect_layout(spark, file)
-    return src.read_post_dir(spark, path, layout).select("id_str", "full_text", "lang", "source")
+    return src.read_post_file(spark, path).select("id_str", "full_text", "lang", "source")
 
 
 @query
@@ -330,7 +328,7 @@ def user_struct(spark, sf):
 
 @query
 def text_for_language(spark, sf):
-    p = fx.posts(spark, sf).withColumn("full_text_translated", F.upper("source"))
+    p = fx.posts(spark, sf).withColumn("full_text_translated", F.concat_ws(" ", "source", "full_text"))
     return p.select("id_str", entities.text_for_language("lang").alias("text"))
 
 
@@ -545,8 +543,17 @@ def append_matches(spark, sf):
 
 @query
 def combine_posts(spark, sf):
-    tables = _tables(spark, "combine")
-    return jobs.combine_posts(tables, "en", fx.labelled(spark, sf)).select("id_str", "lang", "irrelevant")
+    """The labelled posts of a folder of delimited files, and the stored raw posts of the newest day."""
+    tables, path = _tables(spark, "combine"), scratch_path(spark, "labelled-files")
+    src.write_raw_csv(fx.labelled(spark, sf).select("id_str", "full_text", "lang", "irrelevant"), path)
+    tables.write_keywords(spark.sql(fx.SEARCH_WORDS))
+    for day in ("2024-01-30", RUN_DATE):
+        corpus = fx.posts(spark, sf) if day == RUN_DATE else fx.posts(spark, sf).where("source = 'src1'")
+        jobs.extract_pairs(tables, corpus, "en", day)
+    parts = {"labelled": jobs.combine_posts(tables, "en", path), "raw": jobs.combine_posts(tables, "en")}
+    return src.union_by_name([
+        df.withColumn("irrelevant", F.col("irrelevant") if "irrelevant" in df.columns else F.lit(None).cast("double"))
+        .select("id_str", "lang", "irrelevant", F.lit(name).alias("part")) for name, df in parts.items()])
 
 
 # --- text functions ---------------------------------------------------------------------------------
@@ -597,9 +604,9 @@ def translate_posts(spark, sf):
 @query
 def translate_hook(spark, sf):
     def shout(texts):
-        return [t.upper() for t in texts]
+        return [t.replace("e", "3") for t in texts]
 
-    return cleaning.translate_with(fx.posts(spark, sf), shout, "source").select("id_str", "full_text_translated")
+    return cleaning.translate_with(fx.posts(spark, sf), shout, "full_text").select("id_str", "full_text_translated")
 
 
 @query
@@ -633,9 +640,12 @@ def preprocess_text(spark, sf):
 
 @query
 def preprocess_translated(spark, sf):
-    p = fx.posts(spark, sf).where("lang = 'fr'")
-    done = cleaning.preprocess_text(p, "fr", spark.sql(fx.LEXICON), translations=spark.sql(fx.TRANSLATIONS))
-    return done.select("id_str", "full_text_translated", "full_text_preprocessed")
+    parts = [
+        cleaning.preprocess_text(fx.posts(spark, sf).where(F.col("lang") == lang), lang, spark.sql(fx.LEXICON),
+                                 translations=spark.sql(fx.TRANSLATIONS))
+        for lang in ("fr", "es", "de")
+    ]
+    return src.union_by_name(parts).select("id_str", "full_text_translated", "full_text_preprocessed")
 
 
 @query
@@ -678,7 +688,7 @@ def parse_list_literal(spark, sf):
 
 @query
 def null_text(spark, sf):
-    p = fx.labelled(spark, sf).withColumn("t", F.when(F.col("irrelevant").isNull(), F.col("source")))
+    p = fx.labelled(spark, sf).withColumn("t", F.when(F.col("irrelevant").isNull(), F.col("full_text")))
     return p.select("id_str", tx.null_text("t").alias("text"), F.size(tx.split_tokens("t")).cast("bigint").alias("n"))
 
 
@@ -744,7 +754,7 @@ def rbf_svm(spark, sf):
 
 @query
 def model_search(spark, sf):
-    return _ml_scores(spark, sf, "tpot", {"population_size": 4})
+    return _ml_scores(spark, sf, "tpot", {"population_size": 15})
 
 
 @query
@@ -808,13 +818,14 @@ def train_classifier(spark, sf):
 
 @query
 def load_model(spark, sf):
-    """A stored and reloaded forest predicts as before."""
+    """A stored and reloaded forest predicts as before, vector by vector."""
     root = scratch_path(spark, "models")
     data = _vectors(spark, sf)
     fitted = models.build_model("randomforest", {"max_depth": 5, "n_estimators": 2, "random_state": 0}).fit(data)
     classify.save_classifier(classify.Classifier("randomforest", fitted), root, "en")
     again = classify.load_classifier(spark, root, "randomforest", "en").model.transform(data)
-    return again.select("id_str", F.col("prediction").cast("int").alias("predicted_irrelevant"))
+    before = fitted.transform(data).select("id_str", F.col("prediction").alias("before"))
+    return again.join(before, "id_str").select("id_str", (F.col("prediction") == F.col("before")).alias("same"))
 
 
 @query
@@ -874,13 +885,13 @@ def token_labels(spark, sf):
 
 def _tagger(spark, sf) -> PipelineModel:
     rows = spans.annotation_spans(fx.annotations(spark, sf), "id_str")
-    return tagger.train_tagger(spans.token_table(rows, "id_str"), max_iter=10)
+    return tagger.train_tagger(spans.token_table(rows, "id_str"))
 
 
 @query
 def train_tagger(spark, sf):
     rows = spans.token_table(spans.annotation_spans(fx.annotations(spark, sf), "id_str"), "id_str")
-    model = tagger.train_tagger(rows, max_iter=10)
+    model = tagger.train_tagger(rows)
     scored = model.transform(tagger.token_features(rows))
     return scored.groupBy("label", "tag").agg(F.count("*").alias("n"))
 
@@ -957,7 +968,7 @@ def train_default(spark, sf):
 @query
 def train_entities(spark, sf):
     """A stored and reloaded tagger, applied to the posts."""
-    model = jobs.train_entities(fx.annotations(spark, sf), scratch_path(spark, "tagger"), max_iter=5)
+    model = jobs.train_entities(fx.annotations(spark, sf), scratch_path(spark, "tagger"))
     return tagger.tag_tokens(fx.posts(spark, sf), model).groupBy("tag").agg(F.count("*").alias("n"))
 
 
@@ -984,3 +995,108 @@ def monitor_stream(spark, sf):
     monitor.monitor_stream(monitor.drop_repeats(twice), fx.keywords(spark), model, out, state,
                            spark.sql(fx.LEXICON))
     return spark.read.parquet(out).select("id_str", "predicted_irrelevant")
+
+
+# --- posts that are stored once per matching pair ---------------------------------------------------
+
+
+def _repeated(spark, sf) -> DataFrame:
+    """The search result: a post comes once for each pair, always with the same id."""
+    return matching.pair_search(fx.posts(spark, sf), spark.sql(fx.SEARCH_WORDS))
+
+
+def _both_ways(fn: Callable[[int | None], DataFrame]) -> DataFrame:
+    """The result with the dictionary as a literal, and with the dictionary joined."""
+    return fn(20_000).withColumn("way", F.lit("literal")).unionByName(fn(0).withColumn("way", F.lit("join")))
+
+
+@query
+def repeated_match(spark, sf):
+    return _both_ways(lambda most: hit_lists(
+        matching.keyword_match(_repeated(spark, sf), fx.keywords(spark), max_literal=most), "id_str", "query"))
+
+
+@query
+def repeated_search(spark, sf):
+    twice = fx.posts(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _both_ways(lambda most: matching.pair_search(twice, spark.sql(fx.SEARCH_WORDS), max_literal=most)
+                      .select("id_str", "copy", "query"))
+
+
+@query
+def repeated_lemmas(spark, sf):
+    p = _repeated(spark, sf).withColumn("tokens", tx.split_tokens(F.lower("full_text")))
+    return _both_ways(lambda most: cleaning.lemmatize(p, "tokens", spark.sql(fx.LEXICON), "lemmas", max_literal=most)
+                      .select("id_str", "query", tx.join_tokens("lemmas").alias("text")))
+
+
+@query
+def repeated_translation(spark, sf):
+    p = _repeated(spark, sf).where("lang = 'fr'")
+    return _both_ways(lambda most: cleaning.translate_by_lexicon(p, spark.sql(fx.TRANSLATIONS), "fr", "full_text", max_literal=most)
+                      .select("id_str", "query", "full_text_translated"))
+
+
+@query
+def repeated_places(spark, sf):
+    """With names of up to five words."""
+    names = spark.sql(fx.GAZETTEER).unionByName(spark.sql(fx.LONG_PLACES))
+    return _both_ways(lambda most: entities.extract_places(_repeated(spark, sf), names, max_literal=most)
+                      .select("id_str", "query", listed("LOCATION").alias("places")))
+
+
+@query
+def repeated_bayes(spark, sf):
+    """The model scores a post the same however often it is stored."""
+    model = bayes.fit_bayes(_training(spark, sf))
+    ready = cleaning.preprocess_text(_repeated(spark, sf), lexicon=spark.sql(fx.LEXICON))
+    return _both_ways(lambda most: bayes.predict_bayes(ready, model, max_rows=most)
+                      .select("id_str", "query", F.round("log_odds", 4).alias("log_odds"), "predicted_irrelevant"))
+
+
+# --- runs that are repeated, empty, or of several languages -----------------------------------------
+
+
+@query
+def rerun_with_fewer_keywords(spark, sf):
+    tables, words = _tables(spark, "rerun"), spark.sql(fx.SEARCH_WORDS)
+    tables.write_keywords(words)
+    jobs.extract_pairs(tables, fx.posts(spark, sf), "en", RUN_DATE)
+    tables.write_keywords(words.where("keyword <> 'que'"))
+    found = jobs.extract_pairs(tables, fx.posts(spark, sf), "en", RUN_DATE)
+    return found.select("id_str", "trigger_kw", "lang", F.col("extraction_date").cast("string").alias("extraction_date"))
+
+
+@query
+def day_without_hits(spark, sf):
+    """A day with posts is run again with words that no post has: its table is there, and empty."""
+    tables, words = _tables(spark, "empty"), spark.sql(fx.SEARCH_WORDS)
+    tables.write_keywords(words)
+    before = jobs.extract_pairs(tables, fx.posts(spark, sf), "en", RUN_DATE).count()
+    tables.write_keywords(words.withColumn("keyword", F.concat("keyword", F.lit("-nowhere"))))
+    found = jobs.extract_pairs(tables, fx.posts(spark, sf), "en", RUN_DATE)
+    return found.agg(F.count("*").alias("n")).withColumn("n_before", F.lit(before).cast("bigint"))
+
+
+@query
+def labelled_languages(spark, sf):
+    """Labelled posts of four languages are kept apart."""
+    tables = _tables(spark, "languages")
+    stems = fx.keywords(spark).withColumn("keyword_type", F.col("kind"))
+    tables.write_keywords(src.union_by_name([stems.withColumn("lang", F.lit(x)) for x in ("en", "de", "fr", "es")]))
+    tools = jobs.TextTools(spark.sql(fx.LEXICON), translations=spark.sql(fx.TRANSLATIONS))
+    parts = [jobs.preprocess_posts(tables, x, tools, fx.labelled(spark, sf)) for x in ("en", "de", "fr", "es")]
+    return src.union_by_name([p.select("id_str", "lang", "irrelevant") for p in parts])
+
+
+@query
+def monitor_job(spark, sf):
+    """The stored run from search to summary, with a model trained on the labelled English posts."""
+    tables = _tables(spark, "job")
+    words = spark.sql(fx.SEARCH_WORDS).withColumns({"stem": F.col("keyword"), "keyword_type": F.col("kind")})
+    tables.write_keywords(words)
+    tools = jobs.TextTools(lexicon=spark.sql(fx.LEXICON), gazetteer=spark.sql(fx.GAZETTEER))
+    jobs.train_default(tables, fx.labelled(spark, sf), "en", "bayes", tools, cross_valid=False)
+    summary = jobs.monitor_posts(tables, fx.posts(spark, sf), "en", RUN_DATE, "bayes", "en", tools)
+    return summary.select("id_str", "full_text_preprocessed", "predicted_irrelevant", listed("LOCATION").alias("location_list"),
+                          listed("TRIGGER").alias("trigger_list"), listed("TERM").alias("term_list"))

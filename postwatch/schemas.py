@@ -41,7 +41,5 @@ def column_type(name: str) -> T.DataType:
 
 RAW_POST = T.StructType([T.StructField(c, column_type(c)) for c in RAW_COLUMNS])
 
-TRIGGER_SHEET = "pos BIGINT, EN STRING, FR STRING, ES STRING, displacement_type STRING"
-TERM_UNIT_SHEET = "pos BIGINT, EN STRING, FR STRING, ES STRING, keyword_type STRING"
 ANNOTATIONS = "full_text STRING, `NER-Tags` STRING, `NER-Words` STRING, rfind BOOLEAN"
 EMBEDDING = "token STRING, vector ARRAY<FLOAT>"

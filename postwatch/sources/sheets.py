@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from postwatch.schemas import ANNOTATIONS
 
-from postwatch.schemas import ANNOTATIONS, TERM_UNIT_SHEET, TRIGGER_SHEET
+BOM = chr(0xFEFF)
 
 
 def read_keyword_sheets(spark: SparkSession, trigger_path: str, term_unit_path: str) -> tuple[DataFrame, DataFrame]:
-    """(triggers, terms and units); the first column of each sheet is the row index ``pos``."""
-    reader = spark.read.options(header=True, enforceSchema=True)
-    return (
-        reader.schema(TRIGGER_SHEET).csv(trigger_path),
-        reader.schema(TERM_UNIT_SHEET).csv(term_unit_path),
-    )
+    """(triggers, terms and units), each by its own header, with any language columns in any order."""
+    return read_sheet(spark, trigger_path), read_sheet(spark, term_unit_path)
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A sheet with any language columns, by its own header; every word is text."""
-    header = spark.read.text(path).head(1)[0][0].split(",")
-    fields = ["pos BIGINT", *[f"`{c.strip()}` STRING" for c in header[1:]]]
-    return spark.read.options(header=True).schema(", ".join(fields)).csv(path)
+    """A sheet by its own header: the first column is the row index ``pos``, every other one is text."""
+    header = next(csv.reader([spark.read.text(path).head(1)[0][0].lstrip(BOM)]))
+    fields = [T.StructField("pos", T.LongType()), *[T.StructField(c.strip(), T.StringType()) for c in header[1:]]]
+    return spark.read.options(header=True, enforceSchema=True, quote='"', escape='"').schema(T.StructType(fields)).csv(path)
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """The file layout as tables: partitioned Parquet under one root.
 
 ``raw`` and ``preprocessed`` are partitioned by extraction date and language, ``labelled`` by language,
-``predictions``, ``summaries`` and ``confusion`` by the key of the run. A partition is replaced as a whole, so a job
-that is run again after a failure leaves no duplicates.
+``predictions``, ``summaries`` and ``confusion`` by the key of the run. The partition that a job writes is replaced as a
+whole, also by no rows at all, so a job that is run again leaves nothing of its last run behind.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,34 @@ def save_posts(posts: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
-def write_raw(posts: DataFrame, path: str) -> None:
-    """Raw posts by extraction date, language and trigger."""
-    save_posts(posts, path, [*DATED, "trigger_kw"])
+def folder_of(values: dict[str, str | None]) -> str:
+    return "/".join(f"{k}={NULL_PARTITION if v is None else v}" for k, v in values.items())
+
+
+def replace_partition(rows: DataFrame, path: str, values: dict[str, str | None], sort_by: str | None = None) -> None:
+    """The folder of one partition holds ``rows`` afterwards, and nothing else; no rows leave an empty table.
+
+    ``sort_by`` keeps rows with the same value together in the files, spread over salts so that a frequent value is not one
+    task's work.
+    """
+    rows = rows.drop(*values)
+    if sort_by is not None:
+        salt = F.pmod(F.xxhash64("id_str"), F.lit(8)) if "id_str" in rows.columns else F.lit(0)
+        rows = rows.repartition(sort_by, salt).sortWithinPartitions(sort_by)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{folder_of(values)}")
+
+
+def write_raw(posts: DataFrame, path: str, date: str, lang: str) -> None:
+    """Raw posts of an extraction date and language, ordered by trigger within the files."""
+    replace_partition(posts, path, {"extraction_date": date, "lang": lang}, "trigger_kw" if "trigger_kw" in posts.columns else None)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a path; no file is opened. None if the path is not there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(where) if s.isDirectory()) if system.exists(where) else []
 
 
 @dataclass(frozen=True)
@@ -73,8 +99,7 @@ class Tables:
 
     def read_partition(self, name: str, values: dict[str, str | None]) -> DataFrame:
         """One partition. Only its folder is listed, and it has the columns it was written with."""
-        folder = "/".join(f"{k}={NULL_PARTITION if v is None else v}" for k, v in values.items())
-        return self.spark.read.option("basePath", self.path(name)).parquet(f"{self.path(name)}/{folder}")
+        return self.spark.read.option("basePath", self.path(name)).parquet(f"{self.path(name)}/{folder_of(values)}")
 
     # keywords, embedding
 
@@ -91,21 +116,20 @@ class Tables:
     # posts
 
     def save_raw(self, posts: DataFrame, date: str, lang: str) -> None:
-        dated = posts.withColumn("extraction_date", F.lit(date).cast("date")).withColumn("lang", F.lit(lang))
-        write_raw(dated, self.path("raw"))
+        write_raw(posts, self.path("raw"), date, lang)
 
     def load_raw(self, lang: str, date: str) -> DataFrame:
         return self.read_partition("raw", {"extraction_date": date, "lang": lang})
 
     def save_preprocessed(self, posts: DataFrame, date: str, lang: str) -> None:
-        dated = posts.withColumn("extraction_date", F.lit(date).cast("date")).withColumn("lang", F.lit(lang))
-        save_posts(dated, self.path("preprocessed"), DATED)
+        replace_partition(posts, self.path("preprocessed"), {"extraction_date": date, "lang": lang})
 
     def load_unlabelled(self, lang: str, date: str) -> DataFrame:
         return self.read_partition("preprocessed", {"extraction_date": date, "lang": lang})
 
     def save_labelled(self, posts: DataFrame, lang: str) -> None:
-        save_posts(posts.withColumn("lang", F.lit(lang)), self.path("labelled"), ["lang"])
+        """Labelled posts of one language."""
+        replace_partition(posts, self.path("labelled"), {"lang": lang})
 
     def load_labelled(self, lang: str) -> DataFrame:
         return self.read_partition("labelled", {"lang": lang})
@@ -113,7 +137,7 @@ class Tables:
     # runs
 
     def save_run(self, name: str, rows: DataFrame, key: RunKey) -> None:
-        save_posts(rows.withColumns(key.columns()), self.path(name), RUN)
+        replace_partition(rows, self.path(name), key.partition())
 
     def load_run(self, name: str, key: RunKey) -> DataFrame:
         return self.read_partition(name, key.partition())
@@ -135,18 +159,19 @@ class Tables:
     # dates
 
     def newest_raw_date(self, lang: str):
-        return newest_date(self.read("raw"), lang)
+        return newest_date(self.spark, self.path("raw"), lang)
 
     def newest_preprocessed_date(self, lang: str):
-        return newest_date(self.read("preprocessed"), lang)
+        return newest_date(self.spark, self.path("preprocessed"), lang)
 
 
-def newest_date(table: DataFrame, lang: str):
-    """Newest extraction date of a language. Partition columns only: no data file is read."""
-    found = latest_date(table.select("lang", "extraction_date").distinct().where(F.col("lang") == lang)).first()
-    if found is None:
-        raise LookupError(f"no data in language {lang!r}")
-    return found["extraction_date"]
+def newest_date(spark: SparkSession, path: str, lang: str) -> date:
+    """Newest extraction date of a language, from the names of the partition folders alone."""
+    prefix = "extraction_date="
+    for name in reversed([n for n in folder_names(spark, path) if n.startswith(prefix) and NULL_PARTITION not in n]):
+        if f"lang={lang}" in folder_names(spark, f"{path}/{name}"):
+            return date.fromisoformat(name.removeprefix(prefix))
+    raise LookupError(f"no data in language {lang!r}")
 
 
 def newest_date_from_names(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from postwatch.operators.bayes import BayesModel, predict_bayes
 from postwatch.operators.cleaning import preprocess_text
+from postwatch.operators.entities import extract_dates, extract_places, extract_tags
 from postwatch.operators.matching import keyword_match
 
 
@@ -22,16 +23,21 @@ def drop_repeats(posts: DataFrame, ts_col: str = "created_at", id_col: str = "id
 
 
 def monitor_stream(posts: DataFrame, keywords: DataFrame, model: BayesModel, out_path: str,
-                   checkpoint: str, lexicon: DataFrame | None = None, max_seconds: int | None = None) -> None:
-    """Tag, gate, clean and classify what has arrived, then stop.
+                   checkpoint: str, lexicon: DataFrame | None = None, max_seconds: int | None = None,
+                   gazetteer: DataFrame | None = None) -> None:
+    """Tag, gate, clean and classify what has arrived, then stop; with a ``gazetteer``, add the extracted information.
 
     Each micro-batch is an ordinary batch plan written to its own ``batch_id`` partition, which is
-    replaced if the batch is retried, so the output has every post once.
+    replaced if the batch is retried, so the output has every post once. A run that is not through after
+    ``max_seconds`` is stopped and raises ``TimeoutError``; the next run goes on with the batches that are left.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         gated = keyword_match(batch, keywords, triggered_only=True)
         scored = predict_bayes(preprocess_text(gated, lexicon=lexicon), model)
+        if gazetteer is not None:
+            found = extract_places(extract_tags(scored), gazetteer)
+            scored = found.withColumn("DATE", extract_dates("full_text"))
         (
             scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path)
@@ -42,7 +48,10 @@ def monitor_stream(posts: DataFrame, keywords: DataFrame, model: BayesModel, out
         .trigger(availableNow=True).start()
     )
     try:
-        query.awaitTermination(max_seconds)
+        if max_seconds is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(max_seconds):
+            raise TimeoutError(f"the stream was not through after {max_seconds} seconds")
     finally:
         if query.isActive:
             query.stop()
