@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,15 +149,20 @@ class BalancedAccuracy(MulticlassClassificationEvaluator):
 
 
 class ModelSearch(Estimator):
-    """Best of a bounded number of candidates by balanced accuracy on a seeded hold-out."""
+    """Best of a bounded number of candidates by balanced accuracy on a seeded hold-out.
 
-    def __init__(self, label: str, features: str, population_size: int = 15, parallelism: int = 4, seed: int = 42):
+    Families take turns, so that a small ``population_size`` still tries each of them. No candidate is begun after
+    ``max_minutes``; one that took more than ``max_candidate_minutes`` counts only if all others did so, too.
+    """
+
+    def __init__(self, label: str, features: str, population_size: int = 15, max_minutes: float | None = None,
+                 max_candidate_minutes: float | None = None, seed: int = 42):
         super().__init__()
         self.label, self.features, self.seed = label, features, seed
-        self.population_size, self.parallelism = population_size, parallelism
+        self.population_size, self.max_minutes, self.max_candidate_minutes = population_size, max_minutes, max_candidate_minutes
 
-    def candidates(self) -> list[tuple[Estimator, list[dict]]]:
-        """Families with their parameter grids, in total at most ``population_size`` candidates."""
+    def candidates(self) -> list[tuple[Estimator, dict]]:
+        """At most ``population_size`` estimators with their parameters, families in turn."""
         cols = {"labelCol": self.label, "featuresCol": self.features}
         svc = LinearSVC(standardization=False, **cols)
         logistic = LogisticRegression(standardization=False, **cols)
@@ -168,33 +175,33 @@ class ModelSearch(Estimator):
              .addGrid(forest.numTrees, [5, 20]).build()),
             (gaussian, [{}]),
         ]
-        left, kept = self.population_size, []
-        for estimator, grid in grids:
-            if left > 0:
-                kept.append((estimator, grid[:left]))
-                left -= len(grid[:left])
-        return kept
+        rounds = zip_longest(*[[(estimator, params) for params in grid] for estimator, grid in grids])
+        return [c for turn in rounds for c in turn if c is not None][:self.population_size]
 
     def _fit(self, data: DataFrame):
         metric = BalancedAccuracy(labelCol=self.label)
-        data = data.persist()
+        train, held = (part.persist() for part in data.randomSplit([0.8, 0.2], self.seed))
         try:
-            best, best_score = None, -1.0
-            for estimator, grid in self.candidates():
-                fitted = TrainValidationSplit(
-                    estimator=estimator, estimatorParamMaps=grid, evaluator=metric, trainRatio=0.8,
-                    parallelism=self.parallelism, seed=self.seed,
-                ).fit(data)
-                score = max(fitted.validationMetrics)
-                if score > best_score:
-                    best, best_score = fitted.bestModel, score
-            return PipelineModel(stages=[best])
+            tried, began = [], time.monotonic()
+            for estimator, params in self.candidates():
+                start = time.monotonic()
+                if tried and self.max_minutes is not None and start - began > 60 * self.max_minutes:
+                    break
+                score = metric.evaluate(estimator.fit(train, params).transform(held))
+                late = self.max_candidate_minutes is not None and time.monotonic() - start > 60 * self.max_candidate_minutes
+                tried.append((not late, score, -len(tried), estimator, params))
+            *_, estimator, params = max(tried, key=lambda t: t[:3])
+            return PipelineModel(stages=[estimator.fit(data, params)])
         finally:
-            data.unpersist()
+            train.unpersist()
+            held.unpersist()
 
 
 def _search(params: dict, label: str, features: str) -> Estimator:
-    return ModelSearch(label, features, population_size=params.get("population_size", 15))
+    known = {"verbosity", "population_size", "max_time_mins", "max_eval_time_mins"}
+    if unknown := set(params) - known:
+        raise ValueError(f"unknown search settings {sorted(unknown)}, known: {sorted(known)}")
+    return ModelSearch(label, features, params.get("population_size", 15), params.get("max_time_mins"), params.get("max_eval_time_mins"))
 
 
 Builder = Callable[[dict, str, str], Estimator]

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions.lookup import KEY, salted_join, value_key
 from postwatch.functions.text import word_tokenize
+from postwatch.session import scratch_path
 
 
-BLOCK_BYTES = 256 << 20  # largest part of the vectors that is broadcast at once
+BROADCAST_BYTES = 256 << 20  # vectors up to this size are broadcast
 
 
 def embedding_lookup(token_rows: DataFrame, embedding: DataFrame, id_col: str = "id_str") -> DataFrame:
@@ -23,40 +21,34 @@ def embedding_lookup(token_rows: DataFrame, embedding: DataFrame, id_col: str =
 
 
 def mean_pool(posts: DataFrame, embedding: DataFrame, tokens_col: str, out_col: str = "features",
-              id_col: str = "id_str", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+              id_col: str = "id_str", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(id, features)``: mean vector of the known tokens, repeats counted; zeros if none is known.
 
-    The size of the vectors is checked first. They are broadcast in as many blocks as that takes (one,
-    if they are small): each block gives one partial sum per post, made where the post's tokens are. So
-    neither tokens nor vectors are shuffled, only one row per post and block, and a frequent token is
-    not a hot spot.
+    The size of the vectors is checked first. Small ones are broadcast, so that neither tokens nor vectors are
+    shuffled. Larger ones are cut to the tokens that the posts have and joined once with the exploded tokens, spread
+    over salts. Either way the posts' sums are combined before their shuffle. ``id_col`` must identify rows.
     """
     size = embedding.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
     dim = size["dim"] or 0
-    blocks = max(1, math.ceil(size["n"] * dim * 4 / block_bytes))
-    partial = []
-    for block in range(blocks):
-        tokens, vectors = F.col(tokens_col), embedding.select("token", "vector")
-        if blocks > 1:
-            tokens = F.filter(tokens, lambda t: _block_of(t, blocks) == block)
-            vectors = vectors.where(_block_of(F.col("token"), blocks) == block)
-        rows = posts.select(id_col, F.explode_outer(tokens).alias("token"))
-        partial.append(rows.join(F.broadcast(vectors), "token", "left").select(id_col, "vector"))
-    sums = reduce(DataFrame.unionByName, [
-        p.groupBy(id_col).agg(F.count("vector").alias("_n"), *[
-            F.sum(F.get("vector", i)).alias(f"_s{i}") for i in range(dim)
-        ]) for p in partial
-    ])
-    if blocks > 1:
-        sums = sums.groupBy(id_col).agg(
-            F.sum("_n").alias("_n"), *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(dim)])
-    known = F.greatest(F.col("_n"), F.lit(1))
-    mean = F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) / known for i in range(dim)])
+    rows = posts.select(id_col, F.explode_outer(tokens_col).alias("token"))
+    vectors = embedding.select("token", "vector")
+    if size["n"] * dim * 4 <= broadcast_bytes:
+        known = rows.join(F.broadcast(vectors), "token", "left")
+    else:
+        used = store_distinct(rows.select("token"))
+        known = salted_join(rows, vectors.join(used, "token", "left_semi"), "token", id_col, "left", max(128, 4 * dim))
+    sums = known.groupBy(id_col).agg(F.count("vector").alias("_n"), *[
+        F.sum(F.get("vector", i)).alias(f"_s{i}") for i in range(dim)])
+    shares = F.greatest(F.col("_n"), F.lit(1))
+    mean = F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) / shares for i in range(dim)])
     return sums.select(id_col, mean.alias(out_col))
 
 
-def _block_of(token: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(blocks))
+def store_distinct(tokens: DataFrame) -> DataFrame:
+    """The vocabulary of the posts, written once to the shared folder."""
+    path = scratch_path(tokens.sparkSession, "vocabulary")
+    tokens.where("token IS NOT NULL").distinct().write.parquet(path)
+    return tokens.sparkSession.read.schema("token STRING").parquet(path)
 
 
 def dense_features(posts: DataFrame, embedding: DataFrame, text_col: str = "full_text_preprocessed",

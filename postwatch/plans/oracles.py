@@ -115,6 +115,7 @@ _CTES = {
         ln((n1 - c1 + .5) / (n1 + .5 * b)) - ln((n0 - c0 + .5) / (n0 + .5 * b)) AS absent
         FROM (SELECT *, CASE WHEN c0 + c1 = n0 + n1 THEN 1 ELSE 2 END AS b FROM fcounts JOIN fsizes USING (fold))""",
     "fbias": "SELECT fold, ln((max(n1) + .5) / (max(n0) + .5)) + sum(absent) AS b FROM fodds GROUP BY fold",
+    "signs": "SELECT CAST(vec_id AS VARCHAR) AS id_str, CAST(embedding[1] > 0 AS INT) AS y FROM embeddings",
     # word vectors
     "emb": """SELECT tok AS token, embedding AS vector FROM (
         SELECT DISTINCT tok FROM lowtoks WHERE lang = 'en') JOIN embeddings
@@ -376,6 +377,11 @@ _QUERIES = {
     "re_extract": "SELECT id_str, location_list AS places, trigger_list AS triggers FROM lists",
     "monitor_stream": "SELECT h.id_str, CAST(s >= 0 AS INT) AS predicted_irrelevant FROM hitlists h JOIN scores USING (id_str) WHERE h.trigger <> ''",
     "load_model": "SELECT CAST(vec_id AS VARCHAR) AS id_str, true AS same FROM embeddings",
+    # families: the label is the sign of a component
+    **dict.fromkeys(("linear_classifier", "random_forest", "rbf_svm", "model_search"),
+                    "SELECT id_str, y AS irrelevant, y AS predicted_irrelevant FROM signs"),
+    "build_model": "SELECT id_str, y AS irrelevant, y AS predicted_irrelevant, family FROM signs "
+                   "CROSS JOIN (VALUES ('randomforest'), ('svm'), ('linear')) AS f(family)",
     # posts stored once per pair, by both ways
     "repeated_match": f"SELECT id_str, query, trigger, term, unit, way FROM pairs JOIN hitlists USING (id_str) {_WAYS}",
     "repeated_search": f"SELECT id_str, copy, query, way FROM pairs CROSS JOIN (VALUES (1), (2)) AS c(copy) {_WAYS}",

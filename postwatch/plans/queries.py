@@ -730,8 +730,19 @@ def binary_features(spark, sf):
     return rows.select("id_str", "token")
 
 
+def _ruled_vectors(spark, sf) -> DataFrame:
+    """Given vectors whose label is the sign of a component, kept away from zero, so that every family can learn it."""
+    from pyspark.ml.functions import array_to_vector
+
+    first = F.get("embedding", 0).cast("double")
+    apart = F.round(first, 1) + F.when(first > 0, 0.2).otherwise(-0.2)  # few values, each a bin of its own in a tree
+    return fx.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id_str"), array_to_vector(F.array(apart, 2 * apart, -apart)).alias("features"),
+        (first > 0).cast("double").alias("irrelevant"))
+
+
 def _ml_scores(spark, sf, family: str, params: dict | None = None) -> DataFrame:
-    data = _vectors(spark, sf)
+    data = _ruled_vectors(spark, sf)
     fitted = models.build_model(family, params or models.model_parameters(family)).fit(data)
     return fitted.transform(data).select("id_str", F.col("irrelevant").cast("int").alias("irrelevant"),
                                          F.col("prediction").cast("int").alias("predicted_irrelevant"))
@@ -754,7 +765,7 @@ def rbf_svm(spark, sf):
 
 @query
 def model_search(spark, sf):
-    return _ml_scores(spark, sf, "tpot", {"population_size": 15})
+    return _ml_scores(spark, sf, "tpot")
 
 
 @query

@@ -24,7 +24,10 @@ def _header(spark: SparkSession, path: str) -> str:
 
 def detect_layout(spark: SparkSession, path: str) -> tuple[str, tuple[str, ...]]:
     """(delimiter, column names) from the header line: ``;`` if it has one, else ``,``."""
-    header = _header(spark, path)
+    return layout_of(_header(spark, path))
+
+
+def layout_of(header: str) -> tuple[str, tuple[str, ...]]:
     sep = RAW_SEPARATOR if RAW_SEPARATOR in header else ","
     names = next(csv.reader([header], delimiter=sep), [])
     return sep, tuple(name.lstrip(_BOM) for name in names)
@@ -57,6 +60,20 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*csv*") -> list[s
     return sorted(r["path"] for r in files.select("path").collect())
 
 
+def layouts_below(spark: SparkSession, path: str, pattern: str = "*csv*") -> dict[tuple[str, tuple[str, ...]], list[str]]:
+    """Files of each layout (delimiter, columns) below a folder, from their first lines, in one job however many files."""
+    lines = spark.read.options(pathGlobFilter=pattern, recursiveFileLookup=True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    found: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        layout = layout_of(row["head"].lstrip(_BOM))
+        if layout[1]:
+            found.setdefault(layout, []).append(row["file"])
+    return found
+
+
 def read_post_dir(spark: SparkSession, path: str, layout: tuple[str, tuple[str, ...]] | None = None) -> DataFrame:
     """All files whose name contains ``csv``, stacked by column name; missing columns become null.
 
@@ -65,11 +82,7 @@ def read_post_dir(spark: SparkSession, path: str, layout: tuple[str, tuple[str,
     """
     if layout is not None:
         return _read(spark, [path], *layout)
-    groups: dict[tuple, list[str]] = {}
-    for file in list_files(spark, path):
-        found = detect_layout(spark, file)
-        if found[1]:
-            groups.setdefault(found, []).append(file)
+    groups = layouts_below(spark, path)
     if not groups:
         raise FileNotFoundError(f"no readable post file in {path}")
     return union_by_name([_read(spark, files, *key) for key, files in sorted(groups.items())])

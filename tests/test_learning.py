@@ -105,7 +105,7 @@ def embedding(spark):
 @pytest.mark.parametrize("block", [1 << 20, 8, 4])
 def test_mean_pool(spark, embedding, block):
     posts = spark.createDataFrame([("1", ["a", "a", "b", "zz"]), ("2", ["zz"]), ("3", []), ("4", ["b"])], "id_str STRING, t ARRAY<STRING>")
-    got = {r["id_str"]: r["features"] for r in pooling.mean_pool(posts, embedding, "t", block_bytes=block).collect()}
+    got = {r["id_str"]: r["features"] for r in pooling.mean_pool(posts, embedding, "t", broadcast_bytes=block).collect()}
     assert got == {"1": pytest.approx([5 / 3, 8 / 3]), "2": [0, 0], "3": [0, 0], "4": [3, 4]}
 
 
@@ -156,9 +156,11 @@ def test_gamma(spark):
 
 def test_model_search_is_bounded(spark):
     search = models.build_model("tpot", {"population_size": 2})
-    assert sum(len(g) for _, g in search.candidates()) == 2
-    assert sum(len(g) for _, g in models.build_model("tpot").candidates()) <= 15
-    search.candidates = lambda: [(models.RandomForestClassifier(labelCol="irrelevant", seed=1), [{}])]
+    assert len(search.candidates()) == 2 and len({type(e) for e, _ in search.candidates()}) == 2
+    assert len(models.build_model("tpot").candidates()) == 13
+    with pytest.raises(ValueError):
+        models.build_model("tpot", {"generations": 5})
+    search.candidates = lambda: [(models.RandomForestClassifier(labelCol="irrelevant", seed=1), {})]
     assert accuracy(search.fit(ring(spark)).transform(ring(spark))) > .7
 
 
@@ -200,3 +202,18 @@ def test_vocabulary(spark):
     classes, tokens = voc.nb_statistics(posts)
     assert {tuple(r) for r in classes.collect()} == {(0, 1), (1, 2)}
     assert {tuple(r) for r in tokens.collect()} == {(0, "a", 1), (0, "b", 1), (1, "b", 1)}
+
+
+def test_repeated_posts_are_scored_alike(spark):
+    from postwatch.operators.bayes import fit_bayes, predict_bayes
+
+    train = spark.createDataFrame([("1", "a b", 1), ("2", "c d", 0), ("3", "a c", 0), ("4", "b b", 1)],
+                                  "id_str STRING, full_text_preprocessed STRING, irrelevant INT")
+    model = fit_bayes(train)
+    posts = spark.createDataFrame([("9", "a d"), ("9", "a d"), ("9", "b"), ("8", "a d"), ("7", None), ("6", "unknown words")],
+                                  "id_str STRING, full_text_preprocessed STRING")
+    ways = [predict_bayes(posts, model, max_rows=n).collect() for n in (1000, 0)]
+    for rows in ways:
+        assert len(rows) == 6 and len({round(r["log_odds"], 9) for r in rows if r["full_text_preprocessed"] == "a d"}) == 1
+    values = [sorted((r["id_str"], r["full_text_preprocessed"] or "", round(r["log_odds"], 9)) for r in rows) for rows in ways]
+    assert values[0] == values[1]

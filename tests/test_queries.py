@@ -13,7 +13,8 @@ FAST = [
     "user_struct", "keyword_pairs", "pair_search", "keyword_match", "lemma_lookup", "training_stats", "vocabulary",
     "balanced_accuracy", "entity_lists", "nb_statistics", "keyword_dedupe", "stratified_folds", "shuffle_rows", "strip_emoji",
     "strip_noise", "translate_posts", "preprocess_text", "find_offset", "parse_object_literal", "naive_bayes", "predict",
-    "evaluate", "annotation_spans", "token_labels", "merge_runs", "build_keywords", "mean_pool", "monitor_posts",
+    "evaluate", "repeated_match", "repeated_search", "repeated_lemmas", "repeated_translation", "repeated_places", "repeated_bayes",
+    "rerun_with_fewer_keywords", "day_without_hits", "labelled_languages", "combine_posts", "load_model", "random_forest", "monitor_job", "annotation_spans", "token_labels", "merge_runs", "build_keywords", "mean_pool", "monitor_posts",
 ]
 
 

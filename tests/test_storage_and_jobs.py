@@ -73,6 +73,13 @@ def test_sheets(spark, tmp_path):
     assert sheets.read_sheet(spark, str(tmp_path / "v.csv")).first()["PT"] == "lar"
 
 
+def test_sheets_follow_their_header(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(',FR,DE,EN,displacement_type\n0,déplacé,vertrieben,"say ""hi""",forced\n')
+    (tmp_path / "u.csv").write_text(",EN,FR,ES,keyword_type\n0,home,maison,casa,structure_term\n")
+    triggers, _ = sheets.read_keyword_sheets(spark, str(tmp_path / "t.csv"), str(tmp_path / "u.csv"))
+    assert triggers.first().asDict() == {"pos": 0, "FR": "déplacé", "DE": "vertrieben", "EN": 'say "hi"', "displacement_type": "forced"}
+
+
 def test_run_key():
     with pytest.raises(ValueError):
         RunKey("bayes", "en", "en")
@@ -152,6 +159,41 @@ def test_dense_run_and_unknown_names(spark, tables):
         jobs.train_classifier(tables, "en", "nope")
 
 
+def test_runs_can_be_repeated(spark, tmp_path):
+    t = Tables(spark, str(tmp_path))
+    words = spark.createDataFrame(
+        [("en", "trigger", "flee", 0, "flee", "x"), ("en", "trigger", "displaced", 1, "displac", "x"), ("en", "term", "home", 2, "home", "x")],
+        "lang STRING, kind STRING, keyword STRING, pos INT, stem STRING, keyword_type STRING")
+    corpus = spark.createDataFrame([("1", "flee home"), ("1", "flee home displaced"), ("2", "displaced home")], "id_str STRING, full_text STRING")
+    t.write_keywords(words)
+    first = jobs.extract_pairs(t, corpus, "en", "2024-01-01")
+    assert sorted((r["id_str"], r["trigger_kw"]) for r in first.collect()) == [("1", "displaced"), ("1", "flee"), ("1", "flee"), ("2", "displaced")]
+    assert set(src.RAW_COLUMNS) <= set(first.columns)
+    t.write_keywords(words.where("keyword <> 'flee'"))
+    assert {r["trigger_kw"] for r in jobs.extract_pairs(t, corpus, "en", "2024-01-01").collect()} == {"displaced"}
+    assert jobs.extract_pairs(t, corpus.limit(0), "en", "2024-01-01").count() == 0
+    assert jobs.preprocess_posts(t, "en", date="2024-01-01").count() == 0
+
+
+def test_day_without_a_trigger_gives_an_empty_summary(spark, tables):
+    jobs.preprocess_posts(tables, "en", labelled=labelled(spark))
+    jobs.train_classifier(tables, "en", "bayes")
+    quiet = spark.createDataFrame([("q", "nothing here")], "id_str STRING, full_text STRING")
+    assert jobs.monitor_posts(tables, quiet, "en", "2024-03-01", "bayes", "en").count() == 0
+
+
+def test_labelled_posts_of_other_languages_are_left_out(spark, tables):
+    mixed = labelled(spark, 6).withColumn("lang", F.when(F.col("id_str") < "3", "en").otherwise("fr"))
+    assert {r["id_str"] for r in jobs.combine_posts(tables, "en", mixed).collect()} == {"0", "1", "2"}
+
+
+def test_missing_model_is_told_from_an_error(spark, tmp_path):
+    t = Tables(spark, str(tmp_path))
+    assert not jobs.model_exists(t, "bayes", "en")
+    with pytest.raises(Exception):
+        jobs.model_exists(Tables(spark, "nosuchscheme://x"), "bayes", "en")
+
+
 def test_stream_equals_batch_and_can_continue(spark, tmp_path):
     from postwatch.operators.bayes import fit_bayes, predict_bayes
     from postwatch.operators.cleaning import preprocess_text
