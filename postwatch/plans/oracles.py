@@ -375,7 +375,7 @@ _QUERIES = {
     "train_default": """SELECT count(irrelevant) AS n_labelled, count(*) AS n_all, count(*) FILTER (irrelevant = 0) AS n_relevant,
         count(*) FILTER (irrelevant = 1) AS n_irrelevant, round(count(*) FILTER (irrelevant = 0) / count(irrelevant), 4) AS share_relevant FROM marked""",
     "re_extract": "SELECT id_str, location_list AS places, trigger_list AS triggers FROM lists",
-    "monitor_stream": "SELECT h.id_str, CAST(s >= 0 AS INT) AS predicted_irrelevant FROM hitlists h JOIN scores USING (id_str) WHERE h.trigger <> ''",
+    "monitor_stream": "SELECT lists.*, CAST(s >= 0 AS INT) AS predicted_irrelevant FROM lists JOIN scores USING (id_str) WHERE trigger_list <> ''",
     "load_model": "SELECT CAST(vec_id AS VARCHAR) AS id_str, true AS same FROM embeddings",
     # families: the label is the sign of a component
     **dict.fromkeys(("linear_classifier", "random_forest", "rbf_svm", "model_search"),

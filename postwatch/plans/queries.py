@@ -995,17 +995,17 @@ def re_extract(spark, sf):
 
 @query
 def monitor_stream(spark, sf):
-    """One run of the stream over the document files, each post offered as often as it was found."""
+    """One run of the stream over the document files, with the summary; each post is offered as often as it was found."""
     model = bayes.fit_bayes(_training(spark, sf))
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     arriving = monitor.read_post_stream(spark, sf, schema, pathGlobFilter="documents.parquet").select(
         F.col("doc_id").cast("string").alias("id_str"), F.col("text").alias("full_text"), "lang",
-        F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("created_at"))
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 600).alias("created_at"))
     twice = arriving.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
     monitor.monitor_stream(monitor.drop_repeats(twice), fx.keywords(spark), model, out, state,
-                           spark.sql(fx.LEXICON))
-    return spark.read.parquet(out).select("id_str", "predicted_irrelevant")
+                           spark.sql(fx.LEXICON), gazetteer=spark.sql(fx.GAZETTEER))
+    return spark.read.parquet(out).select("id_str", "predicted_irrelevant", *[listed(c).alias(c.lower() + "_list") for c in entities.LISTS])
 
 
 # --- posts that are stored once per matching pair ---------------------------------------------------
