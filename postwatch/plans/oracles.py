@@ -377,6 +377,7 @@ _QUERIES = {
     "re_extract": "SELECT id_str, location_list AS places, trigger_list AS triggers FROM lists",
     "monitor_stream": "SELECT lists.*, CAST(s >= 0 AS INT) AS predicted_irrelevant FROM lists JOIN scores USING (id_str) WHERE trigger_list <> ''",
     "load_model": "SELECT CAST(vec_id AS VARCHAR) AS id_str, true AS same FROM embeddings",
+    "train_entities": "SELECT id_str, true AS same FROM docs",
     # families: the label is the sign of a component
     **dict.fromkeys(("linear_classifier", "random_forest", "rbf_svm", "model_search"),
                     "SELECT id_str, y AS irrelevant, y AS predicted_irrelevant FROM signs"),

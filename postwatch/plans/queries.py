@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -894,11 +893,6 @@ def token_labels(spark, sf):
     return spans.token_table(rows, "id_str").select("id_str", "pos", "token", "start", "end", "label")
 
 
-def _tagger(spark, sf) -> PipelineModel:
-    rows = spans.annotation_spans(fx.annotations(spark, sf), "id_str")
-    return tagger.train_tagger(spans.token_table(rows, "id_str"))
-
-
 @query
 def train_tagger(spark, sf):
     rows = spans.token_table(spans.annotation_spans(fx.annotations(spark, sf), "id_str"), "id_str")
@@ -909,7 +903,8 @@ def train_tagger(spark, sf):
 
 @query
 def tag_posts(spark, sf):
-    return tagger.tag_posts(fx.posts(spark, sf), _tagger(spark, sf))
+    rows = spans.token_table(spans.annotation_spans(fx.annotations(spark, sf), "id_str"), "id_str")
+    return tagger.tag_posts(fx.posts(spark, sf), tagger.train_tagger(rows))
 
 
 @query
@@ -978,9 +973,18 @@ def train_default(spark, sf):
 
 @query
 def train_entities(spark, sf):
-    """A stored and reloaded tagger, applied to the posts."""
-    model = jobs.train_entities(fx.annotations(spark, sf), scratch_path(spark, "tagger"))
-    return tagger.tag_tokens(fx.posts(spark, sf), model).groupBy("tag").agg(F.count("*").alias("n"))
+    """The tagger of the annotated posts tags every post as before when it is stored and loaded."""
+    numbered = fx.annotations(spark, sf)
+    before = tagger.train_tagger(spans.token_table(spans.annotation_spans(numbered, "id_str"), "id_str"))
+    path = scratch_path(spark, "tagger")
+    before.write().overwrite().save(path)
+    found = [
+        tagger.tag_tokens(fx.posts(spark, sf), model).groupBy("id_str").agg(
+            F.sort_array(F.collect_list(F.struct("pos", "token", "tag"))).alias(name))
+        for name, model in (("a", before), ("b", jobs.load_tagger(path)))
+    ]
+    every = fx.posts(spark, sf).select("id_str").join(found[0], "id_str", "left").join(found[1], "id_str", "left")
+    return every.select("id_str", F.col("a").eqNullSafe(F.col("b")).alias("same"))
 
 
 @query
