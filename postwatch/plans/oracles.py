@@ -214,8 +214,7 @@ _DEDUPED = "lang, 'term' AS kind, keyword, arg_max(keyword_type, pos) AS keyword
 _QUERIES = {
     "read_post_file": "SELECT id_str, full_text, lang, source FROM docs",
     "read_post_dir": "SELECT id_str, full_text, CASE WHEN lang <> 'en' THEN lang END AS lang FROM docs",
-    "read_keyword_sheets": """SELECT displacement_type AS type, count(*) AS n, count(EN) AS n_en, count(FR) AS n_fr, count(ES) AS n_es,
-        max(pos) AS last_pos FROM sheet GROUP BY 1 UNION ALL SELECT keyword_type, count(*), count(EN), count(FR), count(ES), max(pos) FROM sheet GROUP BY 1""",
+    "read_keyword_sheets": "SELECT pos, EN, FR, ES, displacement_type AS type FROM sheet UNION ALL SELECT pos, EN, FR, ES, keyword_type FROM sheet",
     "read_annotations": f"SELECT full_text, {_TAGS} AS tags, {_WORDS} AS words, rfind FROM anno",
     "load_embedding": "SELECT token, CAST(len(vector) AS BIGINT) AS dim, round(CAST(vector[1] AS DOUBLE), 4) AS first FROM emb",
     "load_labelled": "SELECT id_str, irrelevant, length(full_text) AS n FROM marked WHERE lang = 'en' AND irrelevant IN (0, 1)",

@@ -120,18 +120,15 @@ def read_post_dir(spark, sf):
 
 @query
 def read_keyword_sheets(spark, sf):
+    """Both sheets word by word; their language columns stand in different orders."""
     path = scratch_path(spark, "sheets")
     wide = fx.sheet(spark, sf)
-    names = ["pos", "EN", "FR", "ES"]
     options = {"header": True, "quote": '"', "escape": '"'}
-    wide.select(*names, "displacement_type").write.options(**options).csv(f"{path}/triggers")
-    wide.select(*names, "keyword_type").write.options(**options).csv(f"{path}/terms")
+    wide.select("pos", "FR", "EN", "ES", "displacement_type").write.options(**options).csv(f"{path}/triggers")
+    wide.select("pos", "EN", "ES", "FR", "keyword_type").write.options(**options).csv(f"{path}/terms")
     triggers, terms = sheets.read_keyword_sheets(spark, f"{path}/triggers", f"{path}/terms")
-    count = [F.count("*").alias("n"), F.count("EN").alias("n_en"), F.count("FR").alias("n_fr"),
-             F.count("ES").alias("n_es"), F.max("pos").alias("last_pos")]
-    a = triggers.groupBy(F.col("displacement_type").alias("type")).agg(*count)
-    b = terms.groupBy(F.col("keyword_type").alias("type")).agg(*count)
-    return a.unionByName(b)
+    parts = {"displacement_type": triggers, "keyword_type": terms}
+    return src.union_by_name([df.select("pos", "EN", "FR", "ES", F.col(kind).alias("type")) for kind, df in parts.items()])
 
 
 @query
