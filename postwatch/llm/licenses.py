@@ -7,9 +7,10 @@ documents in and below their folder that have none themselves; the nearest folde
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.llm.common import BLANKS, store
@@ -51,6 +52,23 @@ def template_weights(spark: SparkSession, templates: Mapping[str, tuple[str, ...
     return table.join(idf, "term").join(norm, "template").select("term", "idf", (F.col("idf") / F.col("norm")).alias("weight"), "template", "licence")
 
 
+def needed_terms(weights: list[Row], least: float) -> list[str]:
+    """Terms of which a sentence must have one to reach the cosine ``least`` with any template.
+
+    A cosine is at most the length of the template's part that the sentence shares. So of each template, terms are
+    taken, the longest first, until what is left of it is shorter than ``least``.
+    """
+    needed = set()
+    for template in {r["template"] for r in weights}:
+        left = 1.0
+        for r in sorted((r for r in weights if r["template"] == template), key=lambda r: (-len(r["term"]), r["term"])):
+            if left < least**2 - 1e-6:
+                break
+            needed.add(r["term"])
+            left -= r["weight"] ** 2
+    return sorted(needed)
+
+
 def own_licences(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST_COSINE,
                  header_lines: int | None = HEADER_LINES) -> DataFrame:
     """(key, licence, cosine, line): the best match of each text of ``files`` (key, path, text), one row for each text that has one.
@@ -60,14 +78,15 @@ def own_licences(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     """
     spark = files.sparkSession
     weights = template_weights(spark, templates)
-    known = sorted({r["term"]: r["idf"] for r in weights.collect()}.items())  # as small as the templates
+    table = weights.collect()  # as small as the templates
+    known = sorted({r["term"]: r["idf"] for r in table}.items())
     rarest = max(v for _, v in known)
     idf = F.create_map(*[F.lit(x) for pair in known for x in pair])
     lines = F.split(F.coalesce("text", F.lit("")), SENTENCES)
     if header_lines is not None:
         lines = F.when(F.col("path").rlike(LICENCE_FILE), lines).otherwise(F.slice(lines, 1, header_lines))
-    # A line without two of the templates' terms cannot come near a template; most lines go here, before any join.
-    wanted = "(?i)licen[cs]e|redistribut|permission|copyright|public domain|\\bcc[- ]?by|\\bcc0"
+    # A sentence without any of these terms cannot come near a template; most go here, before any join.
+    wanted = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(re.escape(t) for t in needed_terms(table, least))})(?![\p{{L}}\p{{N}}])"
     hits = files.select("key", "path", F.posexplode(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda y: y["x"].rlike(wanted))).alias("_", "y"))
     worded = hits.select("key", F.col("y.at").alias("line"), terms(F.regexp_replace("y.x", BLANKS, " ")).alias("terms"))
     value = lambda w: F.coalesce(idf[w], F.lit(rarest))

@@ -79,3 +79,15 @@ def test_folders(spark):
 
     table = spark.createDataFrame([("a/b/c",), ("c",), (None,)], "p string")
     assert [r.f for r in table.select(licenses.folders(F.col("p")).alias("f")).collect()] == [["a/b", "a", ""], [""], [""]]
+
+
+def test_needed_terms_lose_nothing(spark):
+    """A sentence just like a template but for one term is found, or too far away, for any templates."""
+    templates = {"A": ("alpha beta gamma delta epsilon",), "B": ("x y z",), "C": ("one",)}
+    weights = licenses.template_weights(spark, templates).collect()
+    needed = licenses.needed_terms(weights, 0.8)
+    for name in templates:
+        own = {r["term"]: r["weight"] for r in weights if r["licence"] == name}
+        assert sum(w * w for t, w in own.items() if t not in needed) < 0.64
+    files = spark.createDataFrame([(1, "a", "Alpha, beta gamma delta!"), (2, "b", "ONE"), (3, "c", "alpha"), (4, "d", "x y z")], "key long, path string, text string")
+    assert {r.key: r.licence for r in licenses.own_licences(files, templates).collect()} == {1: "A", 2: "C", 4: "B"}
