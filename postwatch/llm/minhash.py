@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from postwatch.llm.common import small_batches, store, unit_interval, utf8
 from postwatch.llm.components import components
-from postwatch.llm.simhash import spanning_forest
+from postwatch.llm.simhash import first_documents, spanning_forest
 
 WIDTH, PERMUTATIONS, SEED = 5, 128, 20240501
 BAND_ROWS, LIKENESS, CHUNK, SLICE_ROWS = 5, 0.8, 256, 20_000
@@ -159,8 +159,10 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, permutations:
                     band_rows: int = BAND_ROWS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): the smallest doc_id that links of Jaccard similarity ``threshold`` or more reach.
 
-    Texts with equal shingles are one node. Nodes that share a band are compared in chunks of bounded size, and a task returns
-    a spanning forest of the verified links. Texts without words are one group. Rows without doc_id get the
+    Texts with equal shingles are one node. Of the nodes that share a band, each is verified against the smallest first, so that a
+    tight group costs one comparison a node. Where that leaves a band in more than one component, its nodes are compared
+    in chunks of bounded size, and a task returns a spanning forest of the verified links. Shingles are kept of no
+    text: those of candidates are hashed again. Texts without words are one group. Rows without doc_id get the
     component of their text, null if no other row has it.
     """
     small_batches(docs.sparkSession, 500)
@@ -168,47 +170,81 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, permutations:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, keys, whole = [], [], []
+            keys, whole = [], []
             for raw in batch.column(1).to_pylist():
                 found = np.unique(shingles(raw, width))
                 places = hasher.of(found)[:bands * band_rows].reshape(bands, band_rows)
-                sets.append(found.view(np.int64))
                 keys.append(np.array([xxhash.xxh64_intdigest(p.tobytes()) >> 1 for p in places], np.int64))
                 whole.append(hashlib.md5(found.tobytes()).digest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(whole, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "same", "set", "bands"])
+                [batch.column(0), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
 
-    base = store(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("raw")).mapInArrow(
-        sketch, "doc_id long, same binary, set array<long>, bands array<long>"), "minhash")
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(raw, width)).view(np.int64) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("raw"))
+    base = store(rows.mapInArrow(sketch, "doc_id long, same binary, bands array<long>"), "minhash")
     nodes = store(base.where("doc_id IS NOT NULL").groupBy("same").agg(
-        F.min("doc_id").alias("node"), F.first("set").alias("set"), F.first("bands").alias("bands")), "minhash-nodes")
+        F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "minhash-nodes")
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    members = store(keys.join(shared, ["band", "key"]), "minhash-bands")
+    # A doc_id that is repeated with other texts is one node with several sets.
+    sets = store(rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
+        hashed, "node long, set array<long>").distinct(), "minhash-sets")
+    near = store(_near_pivots(members, sets, threshold, chunk), "minhash-near")
+    roots = store(components(near), "minhash-roots")
     parts, own = F.ceil(F.col("n") / F.lit(chunk)).cast("int"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                         lambda d: F.struct(F.least(d, F.col("own")).alias("lo"), F.greatest(d, F.col("own")).alias("hi")))
-    members = store(keys.join(shared, ["band", "key"]).withColumn("parts", parts).withColumn("own", own).select(
-        "band", "key", "node", F.explode(units).alias("u")).select("band", "key", "node", "u.*"), "minhash-bands")
-    slices = max(members.count() // SLICE_ROWS + 1, members.sparkSession.sparkContext.defaultParallelism)
-    links = members.join(nodes.select("node", "set"), "node").groupBy(
-        F.pmod(F.xxhash64("band", "key", "lo", "hi"), F.lit(slices)).alias("slice")).applyInPandas(_verified(threshold), "a long, b long")
-    roots = components(links)
+    # A pair has been compared already, and a band in one component has nothing more to find.
+    rooted = members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
+    spread = store(rooted.join(split, ["band", "key"]).withColumn("parts", parts).withColumn("own", own).select(
+        "band", "key", "node", "root", F.explode(units).alias("u")).select("band", "key", "node", "root", "u.*"), "minhash-units")
+    unit = ["band", "key", "lo", "hi"]
+    open_units = spread.groupBy(*unit).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(*unit)
+    left = store(spread.join(open_units, unit), "minhash-open")
+    slices = max(left.count() // SLICE_ROWS + 1, left.sparkSession.sparkContext.defaultParallelism)
+    links = left.join(sets, "node").groupBy(
+        F.pmod(F.xxhash64(*unit), F.lit(slices)).alias("slice")).applyInPandas(_verified(threshold), "a long, b long")
+    roots = components(near.unionByName(links))
     classes = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return base.select("doc_id", "same").join(classes, "same", "left").select("doc_id", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the smallest doc_id of each component, one row each; columns unchanged. Rows without doc_id stay."""
+    return first_documents(docs, near_duplicates(docs, **options))
+
+
+def _near_pivots(members: DataFrame, sets: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """Verified links (a, b) of the nodes with the smallest node of a band; a pivot of very many nodes is dealt over parts."""
+    pairs = members.where("node <> pivot").select("node", "pivot").distinct()
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts"))
+    dealt = pairs.join(counts, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    pivots = counts.join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("other")), "pivot").select(
+        "pivot", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = F.size(F.array_intersect("set", "other"))
+    found = dealt.join(sets, "node").join(pivots, ["pivot", "part"]).withColumn("both", both)
+    return found.where(F.col("both") >= F.lit(threshold) * (F.size("set") + F.size("other") - F.col("both"))).select(
+        F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+
+
 def _verified(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for _, unit in rows.groupby(["band", "key", "lo", "hi"]):
             nodes, sets = unit["node"].to_numpy(), list(unit["set"])
-            low = np.arange(len(nodes))  # links inside what is connected already need no look
+            low = np.unique(unit["root"].to_numpy(), return_inverse=True)[1]  # links inside what is connected already need no look
+            sizes = np.array([len(x) for x in sets])
             for i in range(len(nodes)):
-                for j in range(i + 1, len(nodes)):
-                    if low[i] != low[j]:
+                for j in (np.flatnonzero(low[i + 1:] != low[i]) + i + 1).tolist():
+                    if low[i] != low[j] and min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]):
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if both >= threshold * (len(sets[i]) + len(sets[j]) - both):
+                        if both >= threshold * (sizes[i] + sizes[j] - both):
                             a.append(nodes[i])
                             b.append(nodes[j])
                             low[low == low[j]] = low[i]

@@ -143,11 +143,16 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chu
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the smallest doc_id of each component, one row each; columns unchanged.
+    """The documents of the smallest doc_id of each component, one row each; columns unchanged."""
+    return first_documents(docs, near_duplicates(docs, **options))
+
+
+def first_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the component_id in ``found`` (doc_id, component_id), one for each doc_id.
 
     Where that doc_id is repeated, the row with the smallest text hash stays. Rows without doc_id stay.
     """
-    found = store(near_duplicates(docs, **options), "components")
+    found = store(found, "components")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     single = docs.join(kept.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
     nameless = docs.where("doc_id IS NULL")

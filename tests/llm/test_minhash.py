@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -86,3 +87,43 @@ def test_near_duplicates_edges(edges, nothing, edge_rows):
     assert len(found) == len(edge_rows)
     assert {r.component_id for r in found if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in found if r.doc_id == 9} == {5}
     assert minhash.near_duplicates(nothing).count() == 0
+
+
+def graded_copies(n=60, seed=3):
+    """Pairs of random texts of 100 and 300 words with edited copies, and their five-word Jaccard similarity."""
+    rng = random.Random(seed)
+    word = lambda: f"v{rng.randrange(50_000)}"
+    rows, alike, sets = [], {}, {}
+    for i in range(n):
+        words = [word() for _ in range((100, 300)[i % 2])]
+        other = list(words)
+        for k in rng.sample(range(len(words)), rng.randint(1, max(1, len(words) // 40))):
+            other[k] = word()
+        for k, w in ((2 * i, words), (2 * i + 1, other)):
+            sets[k] = {tuple(w[p:p + 5]) for p in range(len(w) - 4)}
+            rows.append((k, " ".join(w), "aa", "s"))
+        both = len(sets[2 * i] & sets[2 * i + 1])
+        alike[2 * i] = both / (len(sets[2 * i]) + len(sets[2 * i + 1]) - both)
+    return rows, alike
+
+
+def test_stage_against_brute_force_jaccard(spark):
+    """The pipeline's stage drops the second of a pair just when the similarity is 0.8 or more."""
+    import corpus_pipeline
+
+    rows, alike = graded_copies()
+    assert sum(0.8 <= x < 0.95 for x in alike.values()) > 15 and sum(x < 0.8 for x in alike.values()) > 3
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, make(spark, rows), "").collect()}
+    assert kept == {i for i, *_ in rows if i % 2 == 0 or alike[i - 1] < 0.8}
+
+
+def test_group_that_its_smallest_node_does_not_hold_together(spark):
+    """A chain of texts: neighbours are alike, but most are too far from the smallest doc_id."""
+    rng = random.Random(8)
+    words, rows = [f"q{i}" for i in range(200)], []
+    for i in range(12):
+        rows.append((i, " ".join(words), "aa", "s"))
+        for k in rng.sample(range(200), 2):
+            words[k] = f"z{i}x{k}"
+    for chunk in (256, 3):
+        assert {r.component_id for r in minhash.near_duplicates(make(spark, rows), chunk=chunk).collect()} == {0}
