@@ -16,8 +16,9 @@ from postwatch.llm.common import BLANKS, store, word_array, word_count
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 0.2
-#: A line is frequent if more different texts of its host hold it than both limits allow.
-MOST_TEXTS, MOST_SHARE, LEAST_LEFT = 50, 0.002, 0.3
+#: A line is frequent if more different texts of its host hold it than both limits allow. The share is 0: a limit
+#: that grows with the host would spare lines just where they are repeated most.
+MOST_TEXTS, MOST_SHARE, LEAST_LEFT = 50, 0.0, 0.3
 #: A table of frequent lines up to this many rows is broadcast; beyond it, Spark joins.
 SMALL_LINES = 50_000
 
@@ -82,12 +83,14 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source"
 
 def frequent_lines(lines: DataFrame, most_texts: int = MOST_TEXTS, most_share: float = MOST_SHARE) -> DataFrame:
     """(host, h, n_texts, first_id): lines that more than ``most_texts`` different texts of a host hold, and more
-    than ``most_share`` of them. ``first_id`` is the smallest doc_id with the line."""
+    than ``most_share`` of them, if that is not 0. ``first_id`` is the smallest doc_id with the line."""
     texts = lines.groupBy("host", "text_hash").agg(
         F.min("doc_id").alias("doc_id"), F.first(F.col("lines.h")).alias("h"))
-    sizes = texts.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_texts"))
     counts = texts.select("host", "doc_id", F.explode(F.array_distinct("h")).alias("h")).groupBy("host", "h").agg(
         F.count("*").alias("n_texts"), F.min("doc_id").alias("first_id")).where(F.col("n_texts") > most_texts)
+    if not most_share:
+        return counts.select("host", "h", "n_texts", "first_id")
+    sizes = texts.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_texts"))
     return counts.join(sizes, F.col("host").eqNullSafe(F.col("_host"))).where(
         F.col("n_texts") > F.col("host_texts") * F.lit(most_share)).select("host", "h", "n_texts", "first_id")
 

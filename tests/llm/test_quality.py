@@ -82,6 +82,15 @@ def test_clean_documents(spark):
             assert out[i].text == "\n".join(left) and out[i].n_chars == len(out[i].text)
 
 
+def test_limit_does_not_loosen_with_the_host(spark):
+    """The same line in the same number of texts gets the same verdict in a host of ten times the texts."""
+    shared = "this line of boilerplate stands in sixty different texts of its host"
+    for size in (4_000, 40_000):
+        rows = [(i, (f"{shared}\n" if i < 60 else "") + f"own words of text {i} and as many more as a text needs to stay", "aa", "s1") for i in range(size)]
+        cut = quality.judge(make(spark, rows)).where("cut IS NOT NULL").select("doc_id", "cut").collect()
+        assert sorted((r.doc_id, r.cut) for r in cut) == [(i, [0]) for i in range(1, 60)]
+
+
 def test_edges(edges, nothing, edge_rows):
     found = quality.judge(edges).collect()
     assert sorted(counts_of(r) for r in found) == sorted(brute_counts(t) for _, t, *_ in edge_rows)
