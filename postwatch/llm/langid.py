@@ -201,7 +201,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """Models of the texts where ``learn`` holds, with a language and a text.
 
     At most about ``most_texts`` texts of each language are drawn, by a hash of the id. Words are counted in Spark; the counts of
-    this bounded sample are all that comes to the driver. A part of the sample sets temperature and limits.
+    this bounded sample are all that comes to the driver. Words count whole at any length: in a language written without
+    blanks, one can be a paragraph. A part of the sample sets temperature and limits.
     """
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = dict(known.groupBy(lang_col).count().collect())
@@ -214,7 +215,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = batch.loc[~batch["held"], ["lang", "text"]]
-            words = words.assign(word=words["text"].map(lambda t: [x for x in map(letters, t.split()) if x and len(x) < 100]))[["lang", "word"]].explode("word").dropna()
+            words = words.assign(word=words["text"].map(lambda t: [x for x in map(letters, t.split()) if x]))[["lang", "word"]].explode("word").dropna()
             yield words.groupby(["lang", "word"], as_index=False).size().rename(columns={"size": "n"})
 
     counts = drawn.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()

@@ -108,3 +108,27 @@ def test_texts_do_not_depend_on_their_batch(corpus):
     for i, text in enumerate(texts):
         one = models.predict([text]).iloc[0]
         assert one.lang_pred == whole.lang_pred[i] and one.score == pytest.approx(whole.score[i])
+
+
+def test_languages_without_blanks(spark):
+    """Whole paragraphs are one word; two languages share their letters and differ in their order."""
+    rng = random.Random(9)
+    signs = [chr(0x4E00 + i) for i in range(60)]
+    pieces = {lang: ["".join(rng.sample(signs, 3)) for _ in range(40)] for lang in ("ja", "zh")}
+    rows = [(i, "".join(rng.choice(pieces[lang]) for _ in range(50)) + "。", lang, "s") for i in range(300) for lang in [("ja", "zh")[i % 2]]]
+    rows += [(1000 + i, "ka lo mi ru te " * 5, "aa", "s") for i in range(60)]
+    docs = make(spark, rows)
+    models = langid.train(docs, F.col("doc_id") % 5 != 0)
+    assert models.languages == ["aa", "ja", "zh"]
+    found = langid.predict(docs, models).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 5 = 0").collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.97 and np.mean([r.rejected for r in found]) < 0.15
+
+
+def test_long_words_count_whole(spark):
+    """The models of one long word are those of its counts, without a mark inside it."""
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcde") for _ in range(1000))
+    models = langid.train(make(spark, [(i, word, "aa", "s") for i in range(20)]), F.lit(True))
+    n = 20 - make(spark, [(i, word, "aa", "s") for i in range(20)]).where(langid.unit_interval("doc_id", F.lit(langid.SEED + 1)) < langid.HELD_BACK).count()
+    want = langid.fit(pd.DataFrame([("aa", word, n)], columns=["lang", "word", "n"]))
+    assert all((a == b).all() for a, b in zip(models.hashes + models.probability, want.hashes + want.probability))
