@@ -2,7 +2,7 @@
 
 Terms are the words of a text and their beginnings, hashed; a text has each term once. Besides a weight, each
 term has a short vector, and pairs of terms add the product of theirs, so that an insult beside a group's name can count more
-than both by themselves. Terms that do not tell the classes apart in the training sample are left out.
+than both by themselves. Every slot of the training sample is learned; a prior draws rare ones to zero.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from postwatch.llm.common import small_batches, unit_interval
 
 #: Training reads at most about this many labelled texts of each class, drawn by a hash of the id; all texts are scored.
-MOST_TEXTS, SLOTS, TERMS, FACTORS, EPOCHS, START, SEED = 6000, 1 << 18, 4096, 8, 12, 0.5, 11
+MOST_TEXTS, SLOTS, FACTORS, EPOCHS, START, PRIOR, SEED = 6000, 1 << 18, 8, 12, 0.5, 100.0, 11
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&|-_«»¡¿…"
 
 
@@ -62,51 +62,58 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(terms: list[np.ndarray], labels: np.ndarray, shift: float = 0.0, most: int = TERMS, factors: int = FACTORS,
-        epochs: int = EPOCHS, rate: float = 0.02, penalty: float = 1e-5, start: float = START, seed: int = SEED) -> Machine:
-    """Fit by Adam on the logarithmic loss. ``shift`` is added to the bias, for classes drawn at different rates."""
+def fit(terms: list[np.ndarray], labels: np.ndarray, shift: float = 0.0, factors: int = FACTORS, epochs: int = EPOCHS,
+        rate: float = 0.02, prior: float = PRIOR, start: float = START, seed: int = SEED) -> Machine:
+    """Fit by Adam on the logarithmic loss. ``shift`` is added to the bias, for classes drawn at different rates.
+
+    Only the terms of a batch are moved in its step. Each is also drawn to zero, by ``prior`` over the number of its texts, so
+    that all of them have the same prior over an epoch, which many texts outweigh and few do not.
+    """
     n_pos, n_neg = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_pos or not n_neg:
         return Machine({}, (20.0 if n_pos else -20.0), np.zeros(0), np.zeros((0, factors)))
     pos = np.bincount(np.concatenate([t for t, y in zip(terms, labels) if y] or [[]]).astype(np.int64), minlength=SLOTS)
     neg = np.bincount(np.concatenate([t for t, y in zip(terms, labels) if not y] or [[]]).astype(np.int64), minlength=SLOTS)
-    p, q, both = pos / n_pos, neg / n_neg, (pos + neg) / (n_pos + n_neg)
-    signal = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_neg) + 1e-9)
-    signal[pos + neg < 3] = 0
-    chosen = np.argsort(-signal, kind="stable")[:most]
-    chosen = np.sort(chosen[signal[chosen] > 3])
-    place = {int(t): i for i, t in enumerate(chosen)}
+    known = np.flatnonzero(pos + neg)
+    place = {int(t): i for i, t in enumerate(known)}
     random = np.random.default_rng(seed)
     lookup = np.full(SLOTS, -1)
-    lookup[chosen] = np.arange(len(chosen))
-    none = len(chosen)  # a term that every text has keeps the sums simple; it has no weight
-    rows = [np.append(found[found >= 0], none) for found in (lookup[t] for t in terms)]
+    lookup[known] = np.arange(len(known))
+    none = len(known)  # a term that every text has keeps the sums simple; it has no weight
+    rows = [np.append(lookup[t], none) for t in terms]
+    pos, neg = pos[known], neg[known]
+    p, q, both = pos / n_pos, neg / n_neg, (pos + neg) / (n_pos + n_neg)
+    signal = ((p - q) ** 2 / (both * (1 - both) * (1 / n_pos + 1 / n_neg) + 1e-9)) ** 2
     weights, vectors = np.zeros(none + 1), random.normal(0, 0.05, (none + 1, factors))
-    weights[:none] = start * np.log((p[chosen] + 1 / n_pos) / (q[chosen] + 1 / n_neg))  # training goes on from the odds of each term
+    # Training goes on from the odds of each term, as far as they are more than chance.
+    weights[:none] = start * np.log((p + 1 / n_pos) / (q + 1 / n_neg)) * signal / (signal + 81)
     vectors[none] = 0
-    params = [np.array([np.log(n_pos / n_neg)]), weights, vectors]
-    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in params]
+    pull = np.append(prior / (pos + neg), 0)
+    bias = np.array([np.log(n_pos / n_neg)])
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (bias, weights, vectors)]
     step = 0
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for batch in np.array_split(order, max(1, len(order) // 256)):
-            flat = np.concatenate([rows[i] for i in batch])
             sizes = np.array([len(rows[i]) for i in batch])
+            used, flat = np.unique(np.concatenate([rows[i] for i in batch]), return_inverse=True)
             starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(batch)), sizes)
-            own = vectors[flat]
+            own = vectors[used][flat]
             total = np.add.reduceat(own, starts, axis=0)
-            z = params[0][0] + np.add.reduceat(weights[flat], starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((own**2).sum(1), starts))
+            z = bias[0] + np.add.reduceat(weights[used][flat], starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((own**2).sum(1), starts))
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) / len(batch)
-            slope_w = np.bincount(flat, error[owner], none + 1) + penalty * weights
-            slope_v = penalty * vectors
-            np.add.at(slope_v, flat, error[owner, None] * (total[owner] - own))
-            slope_w[none], slope_v[none] = 0, 0
+            slope_w = np.bincount(flat, error[owner], len(used))
+            change = error[owner, None] * (total[owner] - own)
+            slope_v = np.stack([np.bincount(flat, change[:, k], len(used)) for k in range(factors)], axis=1)
+            slope_w[used == none], slope_v[used == none] = 0, 0
             step += 1
-            for x, g, (m, v) in zip(params, (np.array([error.sum()]), slope_w, slope_v), moments):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Machine(place, float(params[0][0] + shift), weights[:none].copy(), vectors[:none].copy())
+            every = np.zeros(1, np.int64)
+            for x, at, g, (m, v), less in zip((bias, weights, vectors), (every, used, used), (np.array([error.sum()]), slope_w, slope_v), moments,
+                                              (np.zeros(1), pull[used], pull[used, None])):
+                m[at] += 0.1 * (g - m[at])
+                v[at] += 0.001 * (g * g - v[at])
+                x[at] = (x[at] - rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)) / (1 + rate * less)
+    return Machine(place, float(bias[0] + shift), weights[:none].copy(), vectors[:none].copy())
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",

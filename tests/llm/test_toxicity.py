@@ -65,3 +65,28 @@ def test_edges(spark, edges, nothing, trained, edge_rows):
     assert {r.predicted for r in toxicity.predict(edges, only).collect()} == {1}
     repeated = labels.union(labels).union(labels.withColumn("toxic", F.lit(None).cast("int")))
     assert (toxicity.train(docs, repeated, F.col("doc_id") % 5 != 0, epochs=40).weights == machine.weights).all()
+
+
+def test_learns_pairs_of_terms_that_are_neutral_alone(spark):
+    """Toxic where both or neither of two terms stand: each is as frequent in either class."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(4000):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(5, 20))]
+        kind = i // 5 % 4
+        words += ["thing"] * (kind in (1, 3)) + ["folka"] * (kind in (2, 3))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "aa", "s"))
+        labels.append((i, 1, int(kind in (0, 3))))
+    docs, labels = make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    machine = toxicity.train(docs, labels, F.col("doc_id") % 5 != 0, epochs=40)
+    found = toxicity.predict(docs, machine).join(labels, "doc_id").where("doc_id % 5 = 0").collect()
+    assert np.mean([r.predicted == r.toxic for r in found]) > 0.97
+
+
+def test_every_slot_of_the_sample_is_learned(spark):
+    rows = [(i, f"only{i} also{i}", "aa", "s") for i in range(6000)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6000)], "doc_id long, quality int, toxic int")
+    machine = toxicity.train(make(spark, rows), labels, F.lit(True), epochs=1)
+    want = {t for _, text, *_ in rows for w in text.split() for t in toxicity.word_terms(w)}
+    assert set(machine.place) == want and len(machine.weights) == len(machine.vectors) == len(want) > 4096
