@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import minhash, mixing, packing, pii, quality
-from postwatch.llm.common import BLANKS, store, table
+from postwatch.llm import mixing, packing, pii, quality, simhash
+from postwatch.llm.common import store, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more, verified."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group stays whose fingerprints of four-word shingles are linked at four or fewer differing bits."""
+    return simhash.drop_near_duplicates(docs, bits=4, width=4)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +24,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redact_documents(docs, pii.default_model(spark))
 
 
-def prose_share(text: Column) -> Column:
-    """Quality weight from the text alone, so that mixing moves no texts: the share of small letters, blanks aside."""
-    solid = F.regexp_replace(text, BLANKS, "")
-    return F.length(F.regexp_replace(solid, r"\P{Ll}+", "")) / F.greatest(F.length(solid), F.lit(1))
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at which a budget ends is cut there."""
-    return mixing.mixed_documents(docs, quality=prose_share(F.col("text")))
+    return mixing.mixed_documents(docs, quality=mixing.prose_share(F.col("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

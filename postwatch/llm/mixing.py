@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwatch.llm.common import store, unit_interval, word_array, word_count
+from postwatch.llm.common import BLANKS, store, unit_interval, word_array, word_count
 
 WEIGHTS, MOST_EPOCHS, BINS, SEED = (5, 2, 1), 3, 4096, 42
 #: A table of sources up to this many rows is broadcast; beyond it, Spark joins.
@@ -88,6 +88,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         "taken", F.col("epochs") * F.col("size") + F.col("part"))
 
 
+def prose_share(text: Column) -> Column:
+    """Quality weight from the text alone, so that mixing moves no texts: the share of small letters, blanks aside."""
+    solid = F.regexp_replace(text, BLANKS, "")
+    return F.length(F.regexp_replace(solid, r"\P{Ll}+", "")) / F.greatest(F.length(solid), F.lit(1))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: whole copies as rows, and the first words of those that the budget cuts.
 

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from postwatch.llm.common import small_batches, store, utf8
 from postwatch.llm.components import components
 
-BITS, BLOCKS, CHUNK, SLICE_ROWS = 4, 7, 1024, 100_000
+WIDTH, BITS, BLOCKS, CHUNK, SLICE_ROWS = 4, 4, 7, 1024, 100_000
 
 
-def simhash(raw: bytes, width: int = 4) -> int:
+def simhash(raw: bytes, width: int = WIDTH) -> int:
     """The unsigned fingerprint of a UTF-8 text: A-Z lower-cased, shingles of ``width`` words, XXH64 seed 42."""
     words = raw.lower().split()
     if not words:
@@ -45,7 +45,7 @@ def simhash(raw: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long. Null, empty and blank texts have fingerprint zero."""
     small_batches(docs.sparkSession)
 
@@ -126,7 +126,7 @@ def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chunk: int =
         _links_of_slice(bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chunk: int = CHUNK,
+def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chunk: int = CHUNK, width: int = WIDTH,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; component_id is the smallest doc_id reachable.
 
@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chu
     component of their fingerprint, null if no row with a doc_id has it. Repeated rows each get their row.
     An empty table gives an empty result.
     """
-    base = store(fingerprints(docs, id_col, text_col), "fingerprints")
+    base = store(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = store(base.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     roots = components(links(nodes, bits, blocks, chunk))
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
