@@ -72,3 +72,16 @@ def test_encoder_agrees_with_the_tokenizers_library(tokenizer):
     encoder = packing.encoder(packing.VOCABULARY)
     for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert encoder.encode(text) == np.array(found.ids, "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\t" * 2_000_000, "\n" * 2_000_000, "a\u00a0" + "\u2003" * 1_500_000 + " b", "y" * 2_000_000, "!" * 2_000_000,
+                                  "7" * 2_000_000, "x " + " " * 99_998 + "z", ("w" + " " * 99_999) * 12], ids=range(9))
+def test_encoder_on_very_long_runs(tokenizer, text):
+    want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.encoder(packing.VOCABULARY).encode(text) == want
+
+
+def test_packs_a_very_long_run_of_blanks(spark, tokenizer):
+    texts = [(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 1_000_000), (3, "plain")]
+    pieces = packing.pack(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    held(pieces, texts, tokenizer, 2048)
