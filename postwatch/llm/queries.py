@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.llm import langid, licenses, minhash, mixing, packing, pii, quality, sharding, simhash, toxicity
+from postwatch.llm import langid, licenses, minhash, mixing, packing, patterns, pii, quality, search, sharding, simhash, spelling, toxicity
 from postwatch.llm.common import small_batches, table, word_count
 
 
@@ -81,6 +81,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = patterns.pack_by_patterns(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -92,6 +105,27 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
+    "op11_spelling": op11_spelling,
+    "op12_patterns": op12_patterns,
+    "op13_search": op13_search,
 }
 
-ORACLES: dict[str, str] = {}
+OP13_SQL = r"""
+WITH folded AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     terms AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM folded),
+     tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+     lengths AS (SELECT doc_id, sum(tf)::BIGINT AS len FROM tfs GROUP BY doc_id),
+     sums AS (SELECT count(*) AS docs, sum(len)::BIGINT AS words FROM lengths),
+     norms AS (SELECT doc_id, 100 - 75 + (75 * len * docs) // words AS m FROM lengths, sums),
+     asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+     wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+     dfs AS (SELECT term, count(*) AS df FROM tfs WHERE term IN (SELECT term FROM wanted) GROUP BY term),
+     weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM dfs, sums),
+     scores AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+                FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id),
+     ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op13_search": OP13_SQL}

@@ -5,19 +5,24 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from postwatch.llm import minhash, packing, quality
+from postwatch.llm import minhash, packing, patterns, quality
 
 from .conftest import WORD
 from .test_minhash import brute as brute_minhash
 from .test_mixing import water_fill
+from .test_patterns import held as held_patterns
 from .test_pii import brute_base
 from .test_quality import brute_counts, brute_kept, counts_of
+from .test_search import brute as brute_search
+from .test_search import rows_of
 from .test_simhash import brute_components, brute_fingerprint
+from .test_spelling import brute as brute_spelling
 
 NAMES = {
     "op1_mixing": "doc_id size source_size target taken", "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
@@ -116,6 +121,32 @@ def test_minhash(found, rows):
     assert minhash.PERMUTATIONS * 8 == len(found("op10_minhash")[0].fingerprint)
 
 
+def test_spelling(found, rows):
+    want = brute_spelling([(i, t) for i, t, *_ in rows])
+    assert {r.word: (r.word, r.n, r.n_near, r.form, r.form_n, r.root) for r in found("op11_spelling")} == want
+
+
+def test_patterns(spark, sf, found, rows):
+    """The query's digests are those of the operator's pieces, and these hold every id once."""
+    pieces = patterns.pack_by_patterns(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    sizes = held_patterns(pieces, [(i, t) for i, t, *_ in rows], Tokenizer.from_file(packing.VOCABULARY), 1024)
+    digests = lambda ps, crc: sorted((p.doc_id, p.piece, p.start, p.length, crc(p)) for p in ps)
+    assert digests(pieces, lambda p: zlib.crc32(p.ids)) == digests(found("op12_patterns"), lambda p: p.ids_crc32)
+    histogram = np.bincount([p.length for p in pieces], minlength=1025)
+    plain = sum(n for n, _ in patterns.pack_histogram(histogram, 1024))
+    assert len(sizes) == len({r.sequence_id for r in found("op12_patterns")}) <= plain + 1
+
+
+def test_search(spark, sf, rows):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
+    want = brute_search([(i, t) for i, t, *_ in rows], items)
+    assert rows_of(entry_points.queries()["op13_search"](spark, sf)) == want
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+        assert sorted(db.execute(entry_points.oracle_sql()["op13_search"]).fetchall(), key=str) == want
+
+
 def test_pipeline(spark, sf, rows):
     """Each stage by brute force on what the stage before it kept."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
