@@ -19,9 +19,48 @@ KEY = "_row_key"
 
 
 def value_key(*cols: Column | str) -> Column:
-    """A key of what a row's result depends on. Look-ups are functions of the text alone, so rows with the same text share
-    one result, however often a post is stored and whatever its id."""
-    return F.sha2(F.to_json(F.struct(*cols)), 256)
+    """A key of what a row's result depends on: two 64-bit hashes. Look-ups are functions of the text alone, so rows with the same
+    text share one result, however often a post is stored and whatever its id."""
+    return F.concat(F.hex(F.xxhash64(*cols)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), *cols)))
+
+
+def one_of_each(keyed: DataFrame, value: Column, name: str) -> DataFrame:
+    """``(KEY, name)`` with one row per key: what repeated posts share is worked out once."""
+    return keyed.select(KEY, value.alias(name)).groupBy(KEY).agg(F.first(name).alias(name))
+
+
+MOST_FILTER_BITS = 1 << 23
+
+
+def _bit_places(value: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), value), F.lit(bits)) for i in range(3)]
+
+
+def bloom_filter(values: DataFrame, col: str, most_bits: int = MOST_FILTER_BITS) -> Callable[[Column], Column]:
+    """A test that is true for every value of ``values`` and for few others, as a literal that travels with the query.
+
+    About 12 bits a value, up to ``most_bits``; with very many values it lets more through, and loses none. Sort rows out
+    with it before they are exploded or shuffled; a join decides.
+    """
+    bits = 1 << 10
+    while bits < min(most_bits, 12 * values.count()):
+        bits *= 2
+    at = values.select(F.explode(F.array(*_bit_places(F.col(col), bits))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    rows = at.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # at most bits / 64
+    words = [0] * (bits // 64)
+    for r in rows:
+        words[r["word"]] = r["bits"]
+    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+    def test(value: Column) -> Column:
+        hit = F.lit(True)
+        for at in _bit_places(value, bits):
+            own = F.get(table, (at / 64).cast("int"))
+            hit = hit & (F.call_function("shiftrightunsigned", own, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        return hit
+
+    return test
 
 
 def one_value(dictionary: DataFrame) -> DataFrame:
@@ -80,12 +119,12 @@ def map_tokens(df: DataFrame, tokens_col: str, dictionary: DataFrame, out_col: s
             F.transform(tokens_col, lambda t: F.coalesce(find(t), t) if keep_unknown else find(t)),
         )
     keyed = df.withColumn(KEY, value_key(tokens_col))
-    exploded = keyed.select(KEY, F.posexplode(tokens_col).alias("_pos", "token"))
+    exploded = one_of_each(keyed, F.col(tokens_col), "_all").select(KEY, F.posexplode("_all").alias("_pos", "token"))
     joined = salted_join(exploded, known, "token", how="left")
     value = F.coalesce("value", "token") if keep_unknown else F.col("value")
     mapped = joined.groupBy(KEY).agg(
         F.transform(
-            F.sort_array(F.collect_set(F.struct("_pos", value.alias("v")))), lambda s: s["v"]
+            F.sort_array(F.collect_list(F.struct("_pos", value.alias("v")))), lambda s: s["v"]
         ).alias("_mapped")
     )
     empty = F.array().cast("array<string>")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postwatch.functions import text as tx
-from postwatch.functions.lookup import MAX_LITERAL_ROWS, map_tokens
+from postwatch.functions.lookup import MAX_LITERAL_ROWS, hashed_literal, map_tokens, salted_join, small_rows
+from postwatch.session import scratch_path
 
 # Noun suffixes and what replaces them when looking for the base form, in this order
 # (the published WordNet scheme).
@@ -19,36 +19,86 @@ NOUN_SUFFIXES = {"s": "", "ses": "s", "ves": "f", "xes": "x", "zes": "z", "ches"
                  "men": "man", "ies": "y"}
 
 
-def lemma_forms(lexicon: DataFrame, depth: int = 2) -> DataFrame:
-    """All surface forms of a lexicon: ``(token, value)`` with the lemma as value.
+def _one_rule_away(forms: Column) -> Column:
+    """All forms to which one suffix rule leads from one of ``forms``."""
+    def stripped(suffix: str, base: str) -> Column:
+        ending = F.filter(forms, lambda f: F.endswith(f, F.lit(suffix)))
+        return F.transform(ending, lambda f: F.concat(F.left(f, F.length(f) - F.lit(len(suffix))), F.lit(base)))
 
-    ``lexicon(token, lemma)`` lists known nouns (token = lemma) and irregular forms. The suffix rules
-    are run backwards from each noun, so that a plain equality look-up finds a token's base form: the
-    shortest known form one rule away, else (up to ``depth``) more rules away. Irregular forms keep
-    their listed lemma.
+    bases = [stripped(suffix, base) for suffix, base in NOUN_SUFFIXES.items()]
+    return F.array_distinct(F.filter(F.flatten(F.array(*bases)), lambda f: f != ""))
+
+
+def _shortest_noun(forms: Column, is_noun: Callable[[Column], Column]) -> Column:
+    """The shortest of the known nouns among ``forms``, of several the first by code points; null if there is none."""
+    return F.array_min(F.transform(F.filter(forms, is_noun), lambda f: F.struct(F.length(f).alias("n"), f.alias("f"))))["f"]
+
+
+def lemma_in_place(token: Column, irregular: Callable[[Column], Column], is_noun: Callable[[Column], Column]) -> Column:
+    """The base form of a token, or the token itself, with look-ups that travel with the query.
+
+    The suffix rules are applied to what the last round gave, until a known noun comes out or no rule applies; the token itself
+    counts with the first round. Every rule but one shortens a form and that one leads to no rule, so it ends within the token's length.
     """
-    rules = F.array(*[F.struct(F.lit(s).alias("suffix"), F.lit(b).alias("base")) for s, b in NOUN_SUFFIXES.items()])
-    irregular = lexicon.where("token <> lemma").select("token", F.col("lemma").alias("value"), F.lit(-1).alias("steps"))
-    level = lexicon.select(F.col("lemma").alias("token"), F.col("lemma").alias("value"), F.lit(0).alias("steps"))
-    levels = [irregular, level]
-    for step in range(1, depth + 1):
-        grown = level.select("token", "value", F.explode(rules).alias("r")).where(F.endswith("token", "r.base"))
-        stem = F.left("token", F.length("token") - F.length("r.base"))
-        level = grown.select(F.concat(stem, "r.suffix").alias("token"), "value", F.lit(step).alias("steps"))
-        levels.append(level)
-    # A known noun and the forms one rule away compete together; the shortest wins.
-    forms = reduce(DataFrame.unionByName, levels)
-    rank = F.struct(
-        F.when(F.col("steps") < 0, -1).otherwise(F.greatest(F.col("steps") - 1, F.lit(0))),
-        F.length("value"), "steps", "value",
-    )
-    return forms.groupBy("token").agg(F.min_by("value", rank).alias("value"))
+    start = F.struct(F.array(token).alias("forms"), F.lit(None).cast("string").alias("noun"), F.lit(False).alias("over"), F.lit(True).alias("first"))
+
+    def go_on(state: Column) -> Column:
+        forms = _one_rule_away(state["forms"])
+        noun = _shortest_noun(F.when(state["first"], F.concat(forms, F.array(token))).otherwise(forms), is_noun)
+        return F.struct(forms.alias("forms"), noun.alias("noun"), (noun.isNotNull() | (F.size(forms) == 0)).alias("over"), F.lit(False).alias("first"))
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1)))
+    ruled = F.aggregate(rounds, start, lambda state, _: F.when(state["over"], state).otherwise(go_on(state)), lambda state: F.coalesce(state["noun"], token))
+    has_rule = F.endswith(token, F.lit("s")) | F.endswith(token, F.lit("men"))
+    return F.coalesce(irregular(token), F.when(has_rule, ruled).otherwise(token))
+
+
+def lemma_table(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(token, value)`` of the distinct ``tokens(token)`` whose base form is another one, for lexicons of any size.
+
+    Every token's forms, with the round that gave them, meet the known nouns in a join. Forms longer than all nouns are left
+    out, so that a token of any length has few.
+    """
+    longest = lexicon.agg(F.max(F.length("lemma"))).first()[0] or 0
+    regular = tokens.where(F.endswith("token", F.lit("s")) | F.endswith("token", F.lit("men")))
+    fits = lambda fs: F.filter(fs, lambda f: F.length(f) <= F.lit(longest))
+    found = "array<struct<round:int,form:string>>"
+    listed = lambda fs, n: F.transform(fits(fs), lambda f: F.struct(n.cast("int").alias("round"), f.alias("form")))
+    start = F.struct(F.array("token").alias("forms"), listed(F.array("token"), F.lit(1)).cast(found).alias("found"))
+
+    def go_on(state: Column, n: Column) -> Column:
+        forms = _one_rule_away(state["forms"])
+        return F.struct(forms.alias("forms"), F.concat(state["found"], listed(forms, n).cast(found)).alias("found"))
+
+    forms = F.aggregate(F.sequence(F.lit(1), F.length("token")), start,
+                        lambda state, n: F.when(F.size(state["forms"]) == 0, state).otherwise(go_on(state, n)), lambda state: state["found"])
+    nouns = lexicon.select(F.col("lemma").alias("form")).distinct()
+    ruled = salted_join(regular.select("token", F.inline(forms)), nouns, "form", "token").groupBy("token").agg(
+        F.min_by("form", F.struct("round", F.length("form").alias("n"), "form")).alias("value"))
+    listed_forms = lexicon.where("token <> lemma").groupBy("token").agg(F.min("lemma").alias("value"))
+    irregular = tokens.join(listed_forms, "token")
+    return irregular.unionByName(ruled.join(listed_forms.select("token"), "token", "left_anti")).where("token <> value")
 
 
 def lemmatize(posts: DataFrame, tokens_col: str, lexicon: DataFrame, out_col: str,
-              depth: int = 2, max_literal: int = MAX_LITERAL_ROWS) -> DataFrame:
-    """Noun lemma of each token; unknown tokens stay."""
-    changed = lemma_forms(lexicon, depth).where("token <> value")
+              max_literal: int = MAX_LITERAL_ROWS) -> DataFrame:
+    """Noun lemma of each token; unknown tokens stay.
+
+    ``lexicon(token, lemma)`` lists known nouns (token = lemma) and irregular forms, which keep their listed lemma. A lexicon of
+    checked size is looked up where the tokens are, a larger one is joined with the distinct tokens.
+    """
+    rows = small_rows(lexicon.select("token", "lemma").distinct(), max_literal)
+    if rows is not None:
+        listed: dict[str, str] = {}
+        for r in rows:
+            if r["token"] != r["lemma"]:
+                listed[r["token"]] = min(r["lemma"], listed.get(r["token"], r["lemma"]))
+        irregular, nouns = hashed_literal(listed), hashed_literal({r["lemma"]: "x" for r in rows})
+        return posts.withColumn(out_col, F.transform(tokens_col, lambda t: lemma_in_place(t, irregular, lambda f: nouns(f).isNotNull())))
+    tokens = posts.select(F.explode(F.array_distinct(tokens_col)).alias("token")).distinct()
+    path = scratch_path(posts.sparkSession, "lemmas")
+    lemma_table(tokens, lexicon).write.parquet(path)
+    changed = posts.sparkSession.read.schema("token STRING, value STRING").parquet(path)
     return map_tokens(posts, tokens_col, changed, out_col, max_rows=max_literal)
 
 

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postwatch.functions.literals import parse_object_literal
-from postwatch.functions.lookup import KEY, MAX_LITERAL_ROWS, salted_join, small_rows, value_key
+from postwatch.functions.lookup import KEY, MAX_LITERAL_ROWS, bloom_filter, one_of_each, salted_join, small_rows, value_key
 from postwatch.functions.text import fold_spaces, null_text
-from postwatch.operators.tagger import tag_tokens
+from postwatch.operators.tagger import Tagger, tag_tokens
 from postwatch.schemas import USER
+from postwatch.session import scratch_path
 
 # Dates, times of day and numbers as written in posts.
 MONTH = ("(?:january|february|march|april|may|june|july|august|september|october|november|december"
@@ -100,26 +100,50 @@ def extract_places(posts: DataFrame, gazetteer: DataFrame, text_col: str = "full
     return posts.withColumn(out_col, F.when(gate, found).otherwise(empty_list()))
 
 
+def place_trie(names: DataFrame) -> DataFrame:
+    """``(n, prefix, is_name, goes_on)``: the first n words of all names, for every n; whether they are a name, and whether longer
+    names begin with them."""
+    words = F.split("place", " ")
+    rows = names.select(F.size(words).alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.struct(
+        n.alias("n"), F.array_join(F.slice(words, F.lit(1), n), " ").alias("prefix")))).alias("p"))
+    return rows.groupBy("p.n", "p.prefix").agg(
+        F.max(F.col("size") == F.col("p.n")).alias("is_name"), F.max(F.col("size") > F.col("p.n")).alias("goes_on"))
+
+
 def _places_by_join(posts: DataFrame, names: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    sized = names.withColumn("_n", F.size(F.split("place", " ")))
-    sizes = sorted(r[0] for r in sized.select("_n").distinct().collect())  # few: the lengths that names have
-    words = F.array(bare_words(text_col))
-    grams = F.get(F.transform(words, lambda ws: F.flatten(F.transform(ws, lambda w, i: F.array(*[
-        F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice(ws, i + 1, n), " ").alias("place")) for n in sizes
-    ])))), 0)
+    """The trie is walked word by word: a text is exploded only at words with which a name may begin, and after each
+    word only the places at which a name may go on are joined with the next level."""
+    path = scratch_path(posts.sparkSession, "trie")
+    place_trie(names).write.partitionBy("n").parquet(path)
+    trie = posts.sparkSession.read.parquet(path)
+    longest = trie.agg(F.max("n")).first()[0] or 0
     keyed = posts.withColumn(KEY, value_key(F.col(text_col).alias("t")))
-    rows = keyed.select(KEY, F.inline(grams)).where("place <> ''")
-    hits = salted_join(rows, sized, "place").where("n = _n")
-    longest = hits.groupBy(KEY, "i").agg(F.max_by("place", "n").alias("place"), F.max("n").alias("n"))
-    per_text = longest.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("i", "n", "place"))).alias("_hits"))
-    kept = F.filter("_hits", lambda h: ~F.exists(
-        "_hits", lambda o: (o["i"] < h["i"]) & (o["i"] + o["n"] >= h["i"] + h["n"])))
-    listed = per_text.select(KEY, F.transform(kept, lambda h: h["place"]).alias("_places"))
+    level = lambda n: trie.where(F.col("n") == n).select("prefix", "is_name", "goes_on")
+    begins, two = (bloom_filter(level(n), "prefix") for n in (1, 2))
+    alone = bloom_filter(level(1).where("is_name"), "prefix")
+    spots = F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"), F.get("_words", i + 1).alias("next")))
+    spots = F.filter(spots, lambda s: begins(s["w"]) & (alone(s["w"]) | F.coalesce(two(F.concat_ws(" ", s["w"], s["next"])), F.lit(False))))
+    spots = F.transform(spots, lambda s: F.struct(s["i"].alias("i"), F.slice("_words", s["i"] + 1, F.lit(max(longest, 1))).alias("ahead")))
+    texts = one_of_each(keyed, bare_words(text_col), "_words")
+    walk = texts.select(KEY, F.inline(spots))
+    ended = []
+    for n in range(1, longest + 1):
+        tried = walk.where(F.size("ahead") >= n).withColumn("prefix", F.array_join(F.slice("ahead", 1, n), " "))
+        met = salted_join(tried, level(n), "prefix", row_bytes=256)
+        ended.append(met.where(F.col("is_name")).select(KEY, "i", F.lit(n).alias("n"), F.col("prefix").alias("place")))
+        walk = met.where("goes_on").select(KEY, "i", "ahead")
+    hits = reduce(DataFrame.unionByName, ended) if ended else texts.select(KEY, F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit("").alias("place")).limit(0)
+    found = hits.groupBy(KEY, "i").agg(F.max_by("place", "n").alias("place"), F.max("n").alias("n"))
+    per_text = found.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("i", "n", "place"))).alias("_hits"))
+    # In order of their start, a name inside another one ends no later than the furthest end so far.
+    kept = F.aggregate("_hits", F.struct(F.lit(0).alias("end"), empty_list().alias("names")), lambda a, h: F.when(
+        h["i"] + h["n"] > a["end"], F.struct((h["i"] + h["n"]).alias("end"), F.array_append(a["names"], h["place"]).alias("names"))).otherwise(a))
+    listed = per_text.select(KEY, kept["names"].alias("_places"))
     joined = keyed.join(listed, KEY, "left").withColumn(out_col, F.coalesce("_places", empty_list()))
     return joined.drop(KEY, "_places")
 
 
-def extract_tags(posts: DataFrame, tagger: PipelineModel | None = None, text_col: str = "full_text") -> DataFrame:
+def extract_tags(posts: DataFrame, tagger: Tagger | None = None, text_col: str = "full_text") -> DataFrame:
     """Add ``TRIGGER``, ``TERM``, ``UNIT`` and ``FIGURE``.
 
     With a tagger these are its ``B-`` tokens; other labels are ignored. Without one they are the
@@ -174,7 +198,7 @@ def post_summary(posts: DataFrame, language: str, *extra: str) -> DataFrame:
 
 
 def extract_information(posts: DataFrame, language: str, gazetteer: DataFrame,
-                        tagger: PipelineModel | None = None) -> DataFrame:
+                        tagger: Tagger | None = None) -> DataFrame:
     """Summary columns plus the six entity lists of each post."""
     text_col = "full_text" if language == "en" else "full_text_translated"
     tagged = extract_tags(posts, tagger, text_col)

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postwatch.functions.lookup import KEY, hashed_literal, salted_join, small_rows, value_key
+from postwatch.functions.lookup import KEY, bloom_filter, one_of_each, salted_join, small_rows, value_key
 from postwatch.functions.text import SPACES, null_text, split_tokens
 from postwatch.operators.keywords import KINDS
+from postwatch.session import scratch_path
 
 MAX_LITERAL_KEYWORDS = 2_000
 _ENTRY = "array<struct<kind:string,stem:string,keyword:string>>"
@@ -75,33 +76,65 @@ def keyword_match(posts: DataFrame, keywords: DataFrame, text_col: str = "full_t
     return tagged.drop("_hits")
 
 
+MAX_GRAM, SAMPLED_TOKENS = 4, 200_000
+
+
+def _grams(token: Column, widths: list[int]) -> Column:
+    """The distinct substrings of a token that are of one of the ``widths``."""
+    of_width = [F.when(F.length(token) >= w, F.transform(
+        F.sequence(F.lit(1), F.length(token) - w + 1), lambda i: F.substring(token, i, F.lit(w)))).otherwise(F.array().cast("array<string>")) for w in widths]
+    return F.array_distinct(F.flatten(F.array(*of_width)))
+
+
+def stem_index(stems: DataFrame, tokens: DataFrame, width: int = MAX_GRAM, sampled: int = SAMPLED_TOKENS) -> DataFrame:
+    """``(stem, anchor)``: of the substrings of a stem of ``width`` characters (all of a shorter stem) the rarest in the tokens.
+
+    A stem lies in a token only if its anchor does, so the anchors are the keys of an inverted index of stems. How rare a
+    substring is, is counted over about ``sampled`` of the distinct ``tokens``; it decides how long the search takes, not what it finds.
+    """
+    n = tokens.count()
+    drawn = tokens.where(F.pmod(F.xxhash64("token"), F.lit(max(1, n // sampled))) == 0)
+    counts = drawn.select(F.explode(_grams(F.col("token"), [width])).alias("anchor")).groupBy("anchor").agg(F.count("*").alias("_n"))
+    short = F.length("stem") < width
+    parts = stems.select("stem", F.explode(F.when(short, F.array("stem")).otherwise(_grams(F.col("stem"), [width]))).alias("anchor"))
+    rarest = F.min_by("anchor", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("anchor").alias("a")))
+    return parts.join(counts, "anchor", "left").groupBy("stem").agg(rarest.alias("anchor"))
+
+
+def stem_candidates(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """``(token, stem)`` of all distinct ``tokens`` that hold the anchor of a stem.
+
+    A filter of the anchors sorts out a token's other substrings before they are exploded.
+    """
+    known = bloom_filter(index.select("anchor").distinct(), "anchor")
+    widths = sorted(r[0] for r in index.select(F.length("anchor")).distinct().collect())  # at most MAX_GRAM
+    grams = F.filter(_grams(F.col("token"), widths), known)
+    return salted_join(tokens.select("token", F.explode(grams).alias("anchor")), index, "anchor", "token").select("token", "stem")
+
+
 def keyword_match_join(posts: DataFrame, keywords: DataFrame, text_col: str = "full_text",
                        ignore_case: bool = False) -> DataFrame:
     """``keyword_match`` for dictionaries of any size.
 
-    Every stem has an anchor, its first characters, as many as the shortest stem has. A stem lies in a token only if
-    its anchor is one of the token's substrings of that length, so the containment test becomes an equi join of
-    substrings with anchors, and a check of the candidates. A set of anchors of checked size sorts substrings
-    out before the join. Posts with the same text share their hits.
+    Whether a stem lies in a token depends on the token alone, so the distinct tokens of all posts meet an inverted index of the
+    stems, each under its rarest substring, and the candidates are checked. The tokens with hits then meet the texts again, of which a
+    filter of these tokens explodes few others. Posts with the same text share their hits.
     """
     words = keywords.where(F.length("stem") > 0).select("kind", "stem", "keyword", F.col("pos").alias("_kpos")).distinct()
-    width = words.agg(F.min(F.length("stem"))).first()[0] or 1
-    words = words.withColumn("anchor", F.left("stem", F.lit(width)))
-    anchors = small_rows(words.select("anchor").distinct())
     text = F.lower(null_text(text_col)) if ignore_case else null_text(text_col)
     keyed = posts.withColumn(KEY, value_key(text.alias("t")))
-    tokens = keyed.select(KEY, F.posexplode(split_tokens(text)).alias("_tpos", "token")).where(F.length("token") >= width)
-    pieces = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("token") - width + 1), lambda i: F.substring("token", i, F.lit(width))))
-    if anchors is not None:
-        known = hashed_literal({r["anchor"]: "x" for r in anchors})
-        pieces = F.filter(pieces, lambda p: known(p).isNotNull())
-    hits = (
-        salted_join(tokens.select(KEY, "_tpos", "token", F.explode(pieces).alias("anchor")), words, "anchor")
-        .where(F.contains("token", "stem"))
-        .groupBy(KEY)
-        .agg(F.sort_array(F.collect_set(F.struct("_tpos", "_kpos", "keyword", "kind", "stem"))).alias("_hits"))
-    )
+    tokens = one_of_each(keyed, split_tokens(text), "_tokens")
+    distinct = _stored(tokens.select(F.explode(F.array_distinct("_tokens")).alias("token")).distinct(), "tokens")
+    index = _stored(stem_index(words.select("stem").distinct(), distinct), "stems")
+    found = stem_candidates(distinct, index).where(F.contains("token", "stem"))
+    entry = F.struct("_kpos", "keyword", "kind", "stem")
+    by_token = _stored(salted_join(found, words, "stem", "token").groupBy("token").agg(F.sort_array(F.collect_set(entry)).alias("_entries")), "hits")
+    holds = bloom_filter(by_token, "token")
+    placed = F.filter(F.transform("_tokens", lambda t, i: F.struct(i.alias("_tpos"), t.alias("token"))), lambda x: holds(x["token"]))
+    rows = tokens.select(KEY, F.inline(placed))
+    joined = salted_join(rows, by_token, "token", row_bytes=512)
+    hits = joined.groupBy(KEY).agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("_tpos", "_entries"))), lambda x: x["_entries"])).alias("_hits"))
     tagged = keyed.join(hits, KEY, "left")
     empty = F.array().cast("array<string>")
     for kind in KINDS:
@@ -109,6 +142,13 @@ def keyword_match_join(posts: DataFrame, keywords: DataFrame, text_col: str = "f
     return tagged.drop("_hits", KEY)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: several steps read it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def explode_hits(tagged: DataFrame, id_col: str = "id_str") -> DataFrame:
     """Hit lists to rows ``(id, lang, kind, hit_pos, keyword)``."""
     def listed(kind: str) -> Column:
@@ -138,7 +178,8 @@ def _words_by_join(posts: DataFrame, wanted: DataFrame, tokens: Column) -> DataF
     words = F.array_distinct(split_tokens(F.lower("keyword")))
     needed = wanted.select("kind", "keyword", "pos", F.size(words).alias("_n"), F.explode(words).alias("word"))
     keyed = posts.withColumn(KEY, value_key(tokens.alias("t")))
-    post_words = keyed.select(KEY, F.explode(F.array_distinct(tokens)).alias("word"))
+    wants = bloom_filter(needed.select("word").distinct(), "word")
+    post_words = one_of_each(keyed, F.array_distinct(tokens), "_words").select(KEY, F.explode(F.filter("_words", wants)).alias("word"))
     found = (
         salted_join(post_words, needed, "word")
         .groupBy(KEY, "kind", "keyword", "pos", "_n").agg(F.size(F.collect_set("word")).alias("_have"))

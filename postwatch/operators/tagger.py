@@ -1,11 +1,19 @@
-"""A token classifier for the custom entities, trained on annotated spans."""
+"""A sequence tagger for the custom entities: a linear-chain model over token features and label transitions.
+
+Features are made by built-in functions and hashed to slots. Training is by full gradients: each task runs the sums forward and
+backward over its pieces of text and adds up the slots that it has met, Spark adds up the tasks, and the driver takes a step (L-BFGS) on
+what is as large as the model and no larger. Tagging finds the best label sequence of each post (Viterbi) in one pass over
+the texts, without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import FeatureHasher, IndexToString, StringIndexer
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,55 +31,291 @@ def _shape(token: Column) -> Column:
     return F.regexp_replace(token, r"(.)\1{2,}", "$1$1")
 
 
-def token_features(tokens: DataFrame) -> DataFrame:
-    """Add surface and context features to rows ``(..., token, previous, following)``."""
-    return (
-        tokens.withColumn("lower", F.lower("token"))
-        .withColumn("shape", _shape(F.col("token")))
-        .withColumn("prefix", F.substring("lower", 1, 3))
-        .withColumn("suffix", F.right("lower", F.lit(3)))
-        .withColumn("previous", F.lower(F.coalesce("previous", F.lit("<s>"))))
-        .withColumn("following", F.lower(F.coalesce("following", F.lit("</s>"))))
-    )
-
-
-def token_context(posts: DataFrame, *keep: str, text_col: str = "full_text") -> DataFrame:
-    """``(keep, pos, token, previous, following)``; neighbours are read from the post's own token list,
-    so no window and no shuffle is needed."""
-    rows = F.get(F.transform(
+def _in_context(text_col: str) -> Column:
+    """All tokens of a text with position and neighbours, as an array."""
+    return F.get(F.transform(
         F.array(split_tokens(text_col)),
         lambda ts: F.transform(ts, lambda t, i: F.struct(
             i.alias("pos"), t.alias("token"), F.get(ts, i - 1).alias("previous"), F.get(ts, i + 1).alias("following")
         )),
     ), 0)
-    return posts.select(*keep, F.inline(rows))
 
 
-def train_tagger(token_table: DataFrame, num_features: int = 1 << 16, max_iter: int = 50) -> PipelineModel:
-    """Fit on ``spans.token_table`` rows; the model adds ``tag`` to token rows with context."""
-    rows = token_features(token_table).persist()
+def token_context(posts: DataFrame, *keep: str, text_col: str = "full_text") -> DataFrame:
+    """``(keep, pos, token, previous, following)``; neighbours are read from the post's own token list,
+    so no window and no shuffle is needed."""
+    return posts.select(*keep, F.inline(_in_context(text_col)))
+
+
+def feature_slots(token: Column, previous: Column, following: Column, num_features: int) -> Column:
+    """The hashed slots of a token's features, and one slot that all tokens have."""
+    lower = F.lower(token)
+    values = [token, lower, _shape(token), F.substring(lower, 1, 3), F.right(lower, F.lit(3)),
+              F.lower(F.coalesce(previous, F.lit("<s>"))), F.lower(F.coalesce(following, F.lit("</s>")))]
+    hashed = [F.pmod(F.xxhash64(F.lit(name), v), F.lit(num_features)).cast("int") for name, v in zip(FEATURES, values)]
+    return F.array(*hashed, F.lit(num_features))
+
+
+@dataclass
+class Tagger:
+    """Weights of feature slots (slot, label) and of label pairs; the last row of ``transitions`` is the start of a text."""
+
+    labels: list[str]
+    emissions: np.ndarray
+    transitions: np.ndarray
+
+    @property
+    def num_features(self) -> int:
+        return len(self.emissions) - 1
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As a table: one row for each slot that has a weight, and one for each row of the transitions."""
+        rows = [(f"to {i}", i, None, w.tolist()) for i, w in enumerate(self.transitions)]
+        rows += [("slot", i, None, self.emissions[i].tolist()) for i in np.flatnonzero(self.emissions.any(1)).tolist()]
+        rows += [("label", i, name, None) for i, name in enumerate([*self.labels, str(self.num_features)])]
+        spark.createDataFrame(rows, _STORED).repartition(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Tagger:
+        rows = spark.read.schema(_STORED).parquet(path).collect()  # as large as the model
+        *labels, slots = [r["name"] for r in sorted(rows, key=lambda r: r["at"]) if r["kind"] == "label"]
+        emissions = np.zeros((int(slots) + 1, len(labels)))
+        transitions = np.zeros((len(labels) + 1, len(labels)))
+        for r in rows:
+            if r["kind"] == "slot":
+                emissions[r["at"]] = r["weights"]
+            elif r["kind"] != "label":
+                transitions[r["at"]] = r["weights"]
+        return cls(labels, emissions, transitions)
+
+
+_STORED = "kind STRING, at INT, name STRING, weights ARRAY<DOUBLE>"
+PIECE, CELLS, TASK_TOKENS, REGULARISATION, BARRED = 128, 2_000_000, 1_000_000, 1e-3, -1e6
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+
+def _padded(scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token scores (tokens x labels) as (sequences, longest, labels), and where there are tokens."""
+    there = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    out = np.zeros((*there.shape, scores.shape[1]))
+    out[there] = scores
+    return out, there
+
+
+def expected_counts(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, slope by token and label, slope by label pair) of sequences laid end to end: expected less observed counts."""
+    e, there = _padded(scores, sizes)
+    n, longest, k = e.shape
+    inner, start = transitions[:-1], transitions[-1]
+    forward, backward = np.empty_like(e), np.zeros_like(e)
+    for t in range(longest):
+        step = start if t == 0 else _log_sum(forward[:, t - 1, :, None] + inner, 1)
+        forward[:, t] = np.where(there[:, t, None], e[:, t] + step, forward[:, t - 1] if t else 0)
+    for t in range(longest - 2, -1, -1):
+        ahead = _log_sum(inner + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
+        backward[:, t] = np.where(there[:, t + 1, None], ahead, 0)
+    total = _log_sum(forward[:, -1], 1)
+    share = np.exp(forward + backward - total[:, None, None])[there]
+    right = np.zeros_like(share)
+    right[np.arange(len(gold)), gold] = 1
+    pairs = np.zeros_like(transitions)
+    first = np.cumsum(sizes) - sizes
+    pairs[-1] = share[first].sum(0) - right[first].sum(0)
+    for t in range(1, longest):
+        own = there[:, t]
+        joint = np.exp(forward[own, t - 1, :, None] + inner + (e[own, t] + backward[own, t])[:, None, :] - total[own, None, None])
+        pairs[:-1] += joint.sum(0)
+    follows = np.ones(len(gold), bool)
+    follows[first] = False
+    np.subtract.at(pairs, (gold[np.flatnonzero(follows) - 1], gold[follows]), 1.0)
+    known = scores[np.arange(len(gold)), gold].sum() + start[gold[first]].sum() + inner[gold[np.flatnonzero(follows) - 1], gold[follows]].sum()
+    return float(total.sum() - known), share - right, pairs
+
+
+def best_labels(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The label of each token in the best sequence of its text (Viterbi); the first label wins ties."""
+    e, there = _padded(scores, sizes)
+    n, longest, k = e.shape
+    back = np.zeros(e.shape, np.int16)
+    best = e[:, 0] + transitions[-1] if longest else np.zeros((n, k))
+    ends = best.copy()
+    for t in range(1, longest):
+        ways = best[:, :, None] + transitions[:-1]
+        back[:, t] = ways.argmax(1)
+        best = ways.max(1) + e[:, t]
+        ends = np.where(there[:, t, None], best, ends)
+    labels = np.zeros(there.shape, np.int16)
+    own = ends.argmax(1)
+    for t in range(longest - 1, -1, -1):
+        labels[:, t] = own
+        step = back[np.arange(n), t, own]
+        own = np.where(there[:, t], step, own) if t else own
+    return labels[there]
+
+
+def _sequences(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of a list column without nulls."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+
+
+def _slot_rows(batch_column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens x features, tokens of each text) of a column of lists of slot lists."""
+    inner = batch_column.flatten()
+    flat, _ = _sequences(inner)
+    return flat.reshape(len(inner), len(FEATURES) + 1), np.diff(batch_column.offsets.to_numpy())
+
+
+def _minimise(slope_of: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, max_iter: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS; a step is halved until the loss falls by a part of what the slope promises."""
+    loss, slope = slope_of(x)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
+    used = 1
+    while used < max_iter and np.abs(slope).max(initial=0) > 1e-5:
+        way, kept = -slope, []
+        for s, y, r in reversed(moves):
+            kept.append(r * (s @ way))
+            way = way - kept[-1] * y
+        if moves:
+            s, y, _ = moves[-1]
+            way = way * ((s @ y) / (y @ y))
+        else:
+            way = way / max(1.0, float(np.abs(slope).sum()))
+        for (s, y, r), a in zip(moves, reversed(kept)):
+            way = way + (a - r * (y @ way)) * s
+        pace, fall = 1.0, float(slope @ way)
+        while used < max_iter:
+            new_loss, new_slope = slope_of(x + pace * way)
+            used += 1
+            if new_loss <= loss + 1e-4 * pace * fall:
+                break
+            pace /= 2
+        else:
+            break
+        s, y = pace * way, new_slope - slope
+        if s @ y > 1e-12:
+            moves = [*moves, (s, y, 1 / float(s @ y))][-memory:]
+        done = loss - new_loss < 1e-5 * abs(loss)
+        x, loss, slope = x + s, new_loss, new_slope
+        if done:
+            break
+    return x
+
+
+def train_tagger(tokens: DataFrame, id_col: str, num_features: int = 1 << 18, max_iter: int = 50, piece: int = PIECE,
+                 regularisation: float = REGULARISATION) -> Tagger:
+    """Fit on rows ``(id, pos, token, previous, following, label)``, such as ``spans.token_table`` gives.
+
+    All tokens count. Texts are cut into pieces of ``piece`` tokens for training, so that a text of any length takes bounded
+    memory; only the transition at a cut is lost. ``max_iter`` bounds the passes over the pieces. Rows without label count
+    as ``O``; without any row, every token is ``O``.
+    """
+    spark = tokens.sparkSession
+    label = F.coalesce("label", F.lit("O"))
+    labels = sorted({"O", *(r[0] for r in tokens.select(label).distinct().collect())}, key=lambda x: (x != "O", x))
+    k = len(labels)
+    number = F.array_position(F.array(*[F.lit(x) for x in labels]), label).cast("int") - 1
+    token = F.struct("pos", feature_slots(F.col("token"), F.col("previous"), F.col("following"), num_features).alias("slots"), number.alias("label"))
+    grouped = tokens.groupBy(id_col, F.floor(F.col("pos") / piece).alias("_piece")).agg(F.sort_array(F.collect_list(token)).alias("t"))
+    pieces = grouped.select(F.transform("t", lambda x: x["slots"]).alias("slots"), F.transform("t", lambda x: x["label"]).alias("labels"))
+    # Every pass reads the pieces again: as many partitions as there are cores, and more if there are very many tokens.
+    n_tokens = tokens.count()
+    pieces = pieces.repartition(max(spark.sparkContext.defaultParallelism, n_tokens // TASK_TOKENS)).persist()
+
+    columns = [f"g{c}" for c in range(k)]
+
+    def slope_of(scaled: np.ndarray) -> tuple[float, np.ndarray]:
+        x = scaled * scale
+        weights = x.reshape(-1, k)
+        emissions, transitions = weights[:num_features + 1], weights[num_features + 1:] + barred
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, slope = 0.0, np.zeros_like(weights)
+            for batch in batches:
+                slots, sizes = _slot_rows(batch.column(0))
+                gold, _ = _sequences(batch.column(1))
+                ends, begin = np.cumsum(sizes), 0
+                while begin < len(sizes):  # as many pieces as stay below a bound of cells
+                    stop = begin + max(1, CELLS // (piece * k * k))
+                    lo, hi = (ends[begin - 1] if begin else 0), ends[min(stop, len(ends)) - 1]
+                    own = slots[lo:hi]
+                    part, by_token, by_pair = expected_counts(emissions[own].sum(1), sizes[begin:stop], transitions, gold[lo:hi])
+                    loss += part
+                    for c in range(k):
+                        slope[:num_features + 1, c] += np.bincount(own.ravel(), np.repeat(by_token[:, c], own.shape[1]), num_features + 1)
+                    slope[num_features + 1:] += by_pair
+                    begin = stop
+            at = np.flatnonzero(slope.any(1))
+            sums = np.vstack([np.full(k, loss), slope[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at).astype(np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in sums.T]], ["at", *columns])
+
+        by_task = pieces.mapInArrow(run, "at int, " + ", ".join(f"{c} double" for c in columns))
+        sums = by_task.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns])
+        found = sums.toPandas()  # a row for each slot at most
+        at, values = found["at"].to_numpy(), found[columns].to_numpy()
+        slope = np.zeros_like(weights)
+        slope[at[at >= 0]] = values[at >= 0]
+        loss = float(values[at < 0][0, 0]) if (at < 0).any() else 0.0
+        n = max(n_tokens, 1)
+        return loss / n + 0.5 * regularisation * float(x @ x) / n, (slope.ravel() + regularisation * x) * scale / n
+
     try:
-        indexer = StringIndexer(inputCol="label", outputCol="_y", handleInvalid="keep").fit(rows)
-        hasher = FeatureHasher(inputCols=FEATURES, outputCol="_x", numFeatures=num_features)
-        model = LogisticRegression(labelCol="_y", featuresCol="_x", predictionCol="_p", family="multinomial",
-                                   probabilityCol="_prob", rawPredictionCol="_raw", maxIter=max_iter,
-                                   regParam=1e-4, standardization=False)
-        fitted = model.fit(hasher.transform(indexer.transform(rows)))
-        # One extra name: rows kept as invalid would be indexed after the known labels.
-        names = IndexToString(inputCol="_p", outputCol="tag", labels=[*indexer.labels, "O"])
-        return PipelineModel(stages=[hasher, fitted, names])
+        # What goes on with an entity cannot follow another one, or begin a text, unless the rows have it so.
+        steps = F.arrays_zip(F.slice("labels", 1, F.size("labels") - 1).alias("a"), F.slice("labels", 2, F.size("labels") - 1).alias("b"))
+        seen = {(r["a"], r["b"]) for r in pieces.select(F.explode(steps)).select("col.*").distinct().collect()}  # pairs of labels
+        seen |= {(k, r[0]) for r in pieces.select(F.get("labels", F.lit(0))).distinct().collect()}
+        goes_on = lambda a, b: not labels[b].startswith("I-") or a < k and labels[a] in (labels[b], f"B-{labels[b][2:]}")
+        barred = np.array([[0.0 if goes_on(a, b) or (a, b) in seen else BARRED for b in range(k)] for a in range(k + 1)])
+        # A slot that few tokens have is steered by few: steps are taken in units of one over the root of its tokens.
+        met = pieces.select(F.explode(F.flatten("slots")).alias("at")).groupBy("at").count().toPandas()
+        seen_by = np.full(num_features + k + 2, float(n_tokens) + 1)
+        seen_by[:num_features + 1] = 1
+        seen_by[met["at"].to_numpy()] += met["count"].to_numpy()
+        scale = np.repeat((max(n_tokens, 1) / seen_by) ** 0.5, k)
+        x = np.zeros((num_features + k + 2) * k)
+        x = _minimise(slope_of, x, max_iter) * scale if n_tokens and k > 1 else x
     finally:
-        rows.unpersist()
+        pieces.unpersist()
+    weights = x.reshape(-1, k)
+    return Tagger(labels, weights[:num_features + 1].copy(), weights[num_features + 1:] + barred)
 
 
-def tag_tokens(posts: DataFrame, model: PipelineModel, id_col: str = "id_str",
+def tag_tokens(posts: DataFrame, model: Tagger, id_col: str = "id_str",
                text_col: str = "full_text") -> DataFrame:
-    """``(id, pos, token, tag)`` of all tokens with a tag other than ``O``."""
-    rows = token_features(token_context(posts, id_col, text_col=text_col))
-    return model.transform(rows).where("tag <> 'O'").select(id_col, "pos", "token", "tag")
+    """``(id, pos, token, tag)`` of all tokens with a tag other than ``O``. Texts are read whole; null has no token."""
+    context = _in_context(text_col)
+    slots = F.transform(context, lambda t: feature_slots(t["token"], t["previous"], t["following"], model.num_features))
+    rows = posts.select(F.col(id_col), F.transform(context, lambda t: t["token"]).alias("token"), slots.alias("slots"))
+    names = np.array(model.labels, object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, sizes = _slot_rows(batch.column(2))
+            starts = np.cumsum(sizes) - sizes
+            labels = np.zeros(sizes.sum(), np.int16)
+            order, begin = np.argsort(sizes, kind="stable"), int((sizes == 0).sum())
+            while begin < len(order):  # texts of about one length together, as many as stay below a bound of cells
+                stop = begin + 1
+                while stop < len(order) and (stop + 1 - begin) * sizes[order[stop]] * len(names) <= CELLS:
+                    stop += 1
+                own = order[begin:stop]
+                at = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in own])
+                labels[at] = best_labels(model.emissions[slots[at]].sum(1), sizes[own], model.transitions)
+                begin = stop
+            hit = np.flatnonzero(names[labels] != "O")
+            post = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(post)), pa.array((hit - starts[post]).astype(np.int32)), batch.column(1).flatten().take(pa.array(hit)),
+                 pa.array(names[labels[hit]], pa.string())], [id_col, "pos", "token", "tag"])
+
+    id_type = posts.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, pos INT, token STRING, tag STRING")
 
 
-def tag_posts(posts: DataFrame, model: PipelineModel, id_col: str = "id_str",
+def tag_posts(posts: DataFrame, model: Tagger, id_col: str = "id_str",
               text_col: str = "full_text") -> DataFrame:
     """``(id, pos, label, text)``: a ``B-`` token and the ``I-`` tokens of its kind that follow it.
 

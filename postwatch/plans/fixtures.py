@@ -44,6 +44,31 @@ LONG_PLACES = """SELECT * FROM (VALUES ('de la  de la'), ('in the of  the'), ('o
 MODEL_TYPE, CLASS_LANG, RUN_DATE = "bayes", "en", "2024-01-31"
 
 
+#: How many stems the large keyword table has.
+MANY_STEMS = 50_000
+
+
+def many_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword table of stems of 2 to 12 letters cut out of the tokens; where and how long is decided by a hash of the token."""
+    tokens = posts(spark, sf_dir).select(F.explode(split_tokens("full_text")).alias("token")).distinct().where(F.length("token") > 1)
+    number = lambda at: F.conv(F.substring(F.md5("token"), at, 4), 16, 10).cast("int")
+    size = F.least(F.length("token"), 2 + number(1) % 11)
+    stems = tokens.select(F.substring("token", 1 + number(5) % (F.length("token") - size + 1), size).alias("stem")).distinct()
+    chosen = stems.orderBy(F.md5("stem"), "stem").limit(MANY_STEMS)
+    return chosen.select(F.lit("trigger").alias("kind"), F.concat("stem", F.lit("+")).alias("keyword"), F.lit(0).alias("pos"), "stem")
+
+
+def many_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gazetteer of sequences of the posts' words: one in eight of all runs of four words, and all runs of two and three words that skip
+    every second word, most of which begin like a text and then part from it."""
+    words = F.split(F.regexp_replace(F.array_join(split_tokens("full_text"), " "), r"(?<![^ ])[^\p{L}\p{N} ]+|[^\p{L}\p{N} ]+(?![^ ])", ""), " ")
+    runs = F.get(F.transform(F.array(words), lambda ws: F.flatten(F.transform(ws, lambda w, i: F.array(
+        F.array_join(F.slice(ws, i + 1, 4), " "), F.concat_ws(" ", w, F.get(ws, i + 2)), F.concat_ws(" ", w, F.get(ws, i + 2), F.get(ws, i + 4)))))), 0)
+    names = posts(spark, sf_dir).where("trim(full_text) <> ''").select(F.posexplode(runs).alias("at", "place"))
+    kept = (F.col("at") % 3 != 0) | F.substring(F.md5("place"), 1, 1).isin("0", "1")
+    return names.where(kept & (F.trim("place") != "")).select("place").distinct()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,8 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwatch.operators import keywords as kw
@@ -23,7 +22,7 @@ from postwatch.operators.splits import stratified_split
 from postwatch.operators.stats import (
     confusion_matrix, label_stats, labelled_only, score_of_counts, training_stats,
 )
-from postwatch.operators.tagger import train_tagger
+from postwatch.operators.tagger import Tagger, train_tagger
 from postwatch.schemas import RAW_COLUMNS
 from postwatch.sources.posts import conform_columns, read_post_dir
 from postwatch.sources.tables import RunKey, Tables
@@ -37,7 +36,7 @@ class TextTools:
     translator: Callable[[list[str]], list[str]] | None = None
     translations: DataFrame | None = None
     gazetteer: DataFrame | None = None
-    tagger: PipelineModel | None = None
+    tagger: Tagger | None = None
 
 
 @dataclass
@@ -213,16 +212,15 @@ def train_default(tables: Tables, labelled: DataFrame, lang: str = "en", model_t
     return label_stats(labelled), train_classifier(tables, lang, model_type, cross_valid=cross_valid)
 
 
-def train_entities(annotations: DataFrame, path: str, max_iter: int = 50) -> PipelineModel:
+def train_entities(annotations: DataFrame, path: str, max_iter: int = 50) -> Tagger:
     """Train the tagger on annotated posts and store it."""
     numbered = annotations.withColumn("_row", F.monotonically_increasing_id())
-    model = train_tagger(token_table(annotation_spans(numbered, "_row"), "_row"), max_iter=max_iter)
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)
+    train_tagger(token_table(annotation_spans(numbered, "_row"), "_row"), "_row", max_iter=max_iter).save(annotations.sparkSession, path)
+    return load_tagger(annotations.sparkSession, path)
 
 
-def load_tagger(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_tagger(spark: SparkSession, path: str) -> Tagger:
+    return Tagger.load(spark, path)
 
 
 def monitor_posts(tables: Tables, corpus: DataFrame, lang: str, run_date: str, model_type: str = "svm",

@@ -46,6 +46,7 @@ _CTES = {
         coalesce(string_agg(h.keyword, '|' ORDER BY tpos, kpos) FILTER (h.kind = 'term'), '') AS term,
         coalesce(string_agg(h.keyword, '|' ORDER BY tpos, kpos) FILTER (h.kind = 'unit'), '') AS unit
         FROM docs d LEFT JOIN hits h USING (id_str) GROUP BY d.id_str""",
+    "changedtoks": _tokens("(SELECT id_str, replace(replace(lower(full_text), ' und ', ' tionssss '), ' the ', ' eausesesses ') AS t FROM docs)", "t", "id_str"),
     # cleaning: one row per distinct token
     "chars": """SELECT tok, unnest(regexp_extract_all(tok, '.')) AS c, generate_subscripts(regexp_extract_all(tok, '.'), 1) AS i
         FROM (SELECT DISTINCT tok FROM toks)""",
@@ -58,17 +59,13 @@ _CTES = {
     "nouns": "SELECT DISTINCT lemma FROM lex",
     "suffixes": """SELECT * FROM (VALUES ('s', ''), ('ses', 's'), ('ves', 'f'), ('xes', 'x'), ('zes', 'z'),
         ('ches', 'ch'), ('shes', 'sh'), ('men', 'man'), ('ies', 'y')) AS s(suffix, base)""",
-    "ftoks": "SELECT DISTINCT tok FROM lowtoks UNION SELECT DISTINCT lower(clean) FROM ctoks WHERE clean <> '' "
+    "ftoks": "SELECT DISTINCT tok FROM lowtoks UNION SELECT DISTINCT tok FROM changedtoks UNION SELECT DISTINCT lower(clean) FROM ctoks WHERE clean <> '' "
              "UNION SELECT DISTINCT lower(translation) FROM trans",
-    "cand1": """SELECT tok, tok AS form FROM ftoks UNION
-        SELECT tok, substr(tok, 1, length(tok) - length(suffix)) || base FROM ftoks JOIN suffixes ON suffix(tok, suffixes.suffix)""",
-    "cand2": """SELECT tok, substr(form, 1, length(form) - length(suffix)) || base AS form
-        FROM cand1 JOIN suffixes ON suffix(form, suffixes.suffix) WHERE form <> tok""",
+    "rules": """SELECT tok, tok AS form, 0 AS round FROM ftoks UNION
+        SELECT tok, substr(form, 1, length(form) - length(suffix)) || base, round + 1 FROM rules JOIN suffixes ON suffix(form, suffixes.suffix)""",
+    "ruled_nouns": """SELECT tok, first(form ORDER BY greatest(round, 1), length(form), form) AS noun FROM rules JOIN nouns ON form = nouns.lemma GROUP BY tok""",
     "lemmas": """SELECT tok, coalesce(
-        (SELECT min(lemma) FROM lex WHERE lex.token = ftoks.tok AND token <> lemma),
-        (SELECT arg_min(form, length(form)) FROM cand1 JOIN nouns ON form = nouns.lemma WHERE cand1.tok = ftoks.tok),
-        (SELECT arg_min(form, length(form)) FROM cand2 JOIN nouns ON form = nouns.lemma WHERE cand2.tok = ftoks.tok),
-        tok) AS lemma FROM ftoks""",
+        (SELECT min(lemma) FROM lex WHERE lex.token = ftoks.tok AND token <> lemma), noun, tok) AS lemma FROM ftoks LEFT JOIN ruled_nouns USING (tok)""",
     "pretoks": f"""SELECT t.id_str, t.pos, m.lemma AS token FROM toks t JOIN ctoks c USING (tok)
         JOIN lemmas m ON m.tok = lower(c.clean) WHERE m.lemma NOT IN ({_STOPS})""",
     "plain": f"""SELECT d.id_str, coalesce(p.txt, '') AS full_text_preprocessed FROM docs d LEFT JOIN (
@@ -146,6 +143,11 @@ _CTES = {
         JOIN search s ON list_has_all(d.w, string_split(s.keyword, ' '))""",
     "pairs": """SELECT a.id_str, a.full_text, a.keyword AS trigger_kw, b.keyword AS term_kw, b.keyword || ' ' || a.keyword AS query
         FROM found a JOIN found b USING (id_str) WHERE a.kind = 'trigger' AND b.kind = 'term'""",
+    # tokens labelled by rule: endings that begin an entity, endings that go on with the one before
+    "endings": """SELECT id_str, tok, pos, CASE WHEN right(lower(tok), 3) IN ('the', 'and', 'ing', 'der', 'die', 'und', 'des', 'les', 'que', 'las') THEN NULL WHEN right(lower(tok), 3) = 'ion' THEN 'term'
+        WHEN right(lower(tok), 3) = 'eau' THEN 'unit' ELSE '' END AS own FROM toks""",
+    "kinds": """SELECT *, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY id_str ORDER BY pos), '') AS kind FROM endings""",
+    "ruled": """SELECT *, CASE WHEN kind = '' THEN 'O' WHEN own IS NULL THEN 'I-' || kind ELSE 'B-' || kind END AS label FROM kinds""",
     # annotations
     "anno": f"""SELECT id_str, full_text, CASE WHEN lang <> 'de' THEN lang = 'en' END AS rfind, w AS wl,
         CASE WHEN source <> 'src3' THEN list_append(list_transform(w, lambda x: CASE WHEN contains(x, 'eau') THEN 'B-unit' ELSE 'B-trig' END), 'B-fig') END AS tl
@@ -176,6 +178,34 @@ _CTES = {
         FROM docs JOIN hitlists USING (id_str) JOIN places USING (id_str)""",
     "meta": """SELECT id_str, '2024-01-02' AS created_at, full_text, irrelevant, source = 'src1' AS retweeted, doc_id AS user_id,
         source AS screen_name, length(full_text) > 500 AS verified FROM marked""",
+    # many stems: all substrings of the distinct tokens meet the stems
+    "cut": """SELECT tok, least(length(tok), 2 + CAST('0x' || substr(md5(tok), 1, 4) AS INT) % 11) AS size, CAST('0x' || substr(md5(tok), 5, 4) AS INT) AS spot
+        FROM (SELECT DISTINCT tok FROM toks WHERE length(tok) > 1)""",
+    "manystems": f"""SELECT stem FROM (SELECT DISTINCT substr(tok, 1 + spot % (length(tok) - size + 1), size) AS stem FROM cut)
+        ORDER BY md5(stem), stem LIMIT {fx.MANY_STEMS}""",
+    "subs": """SELECT DISTINCT tok, substr(tok, spot, size) AS stem FROM (SELECT tok, size, unnest(range(1, length(tok) - size + 2)) AS spot
+        FROM (SELECT DISTINCT tok FROM toks) CROSS JOIN (SELECT unnest(range(2, 13)) AS size) WHERE size <= length(tok))""",
+    "stemhits": """SELECT tok, count(*) AS n, string_agg(stem || '+', '|' ORDER BY stem || '+') AS hits FROM subs JOIN manystems USING (stem) GROUP BY tok""",
+    # many places: the longest name at each word, unless it lies in one before it
+    "skips": """SELECT id_str, pos, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4
+        FROM bare WINDOW o AS (PARTITION BY id_str ORDER BY pos)""",
+    "runs4": "SELECT DISTINCT concat_ws(' ', w, w1, w2, w3) AS place FROM skips",
+    "manynames": """SELECT DISTINCT trim(regexp_replace(place, ' +', ' ', 'g')) AS name FROM (
+        SELECT place FROM runs4 WHERE substr(md5(place), 1, 1) IN ('0', '1') UNION ALL
+        SELECT concat_ws(' ', w, w2) FROM skips UNION ALL SELECT concat_ws(' ', w, w2, w4) FROM skips) WHERE trim(place) <> ''""",
+    "manyspots": """SELECT id_str, pos, max(n) AS n, arg_max(g, n) AS name FROM (
+        SELECT id_str, pos, 1 AS n, w AS g FROM skips UNION ALL SELECT id_str, pos, 2, w || ' ' || w1 FROM skips UNION ALL
+        SELECT id_str, pos, 3, w || ' ' || w1 || ' ' || w2 FROM skips UNION ALL SELECT id_str, pos, 4, w || ' ' || w1 || ' ' || w2 || ' ' || w3 FROM skips)
+        JOIN manynames ON g = name GROUP BY id_str, pos""",
+    "manynamed": """SELECT * FROM (SELECT *, max(pos + n) OVER (PARTITION BY id_str ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+        FROM manyspots) WHERE reach IS NULL OR pos + n > reach""",
+    # annotated occurrences: the text is cut at the word, from the side that is searched first
+    "marked_words": """SELECT id_str, tok AS word FROM toks WHERE (tok IN ('the', 'die', 'que', 'les') OR contains(tok, 'ingtion')) AND NOT contains(tok, chr(39))""",
+    "listedwords": """SELECT id_str, word, unnest(range(1, n + 2)) AS k, len(string_split(full_text, word)) - 1 AS have, lang = 'en' AS rfind,
+        CASE WHEN lang = 'en' THEN string_split(reverse(full_text), reverse(word)) ELSE string_split(full_text, word) END AS parts, full_text
+        FROM (SELECT id_str, word, count(*) AS n FROM marked_words GROUP BY id_str, word) JOIN docs USING (id_str)""",
+    "occurred": """SELECT id_str, word, CASE WHEN rfind THEN length(full_text) - s - length(word) ELSE s END AS s FROM (
+        SELECT *, length(array_to_string(parts[1:k], '')) + (k - 1) * length(word) AS s FROM listedwords WHERE k <= have)""",
     # annotation spans
     "apairs": """SELECT id_str, full_text, rfind, unnest(list_append(wl, 'not-there')) AS word,
         unnest(tl) AS tag, generate_subscripts(tl, 1) AS i FROM anno WHERE tl IS NOT NULL AND rfind IS NOT NULL""",
@@ -257,10 +287,12 @@ _QUERIES = {
     "pair_search_join": _PAIRS,
     "keyword_match": _HITS,
     "keyword_match_join": _HITS,
+    "keyword_match_many": """SELECT id_str, coalesce(sum(n), 0)::BIGINT AS n_hits, md5(coalesce(string_agg(hits, '|' ORDER BY pos), '')) AS hits
+        FROM docs LEFT JOIN toks USING (id_str) LEFT JOIN stemhits USING (tok) GROUP BY id_str""",
     "embedding_lookup": "SELECT id_str, count(*) AS n, round(sum(CAST(vector[1] AS DOUBLE)), 3) AS sum_first FROM lowtoks JOIN emb ON tok = token GROUP BY id_str",
     "zip_annotations": """SELECT full_text, array_to_string(list_transform(list_zip(list_append(wl, 'not-there'), tl), lambda z: z[1] || '/' || z[2]), '|') AS pairs
         FROM anno WHERE tl IS NOT NULL AND rfind IS NOT NULL""",
-    "lemma_lookup": "SELECT lemma, count(*) AS n FROM lowtoks JOIN lemmas USING (tok) GROUP BY lemma",
+    "lemma_lookup": "SELECT lemma, count(*) AS n FROM changedtoks JOIN lemmas USING (tok) GROUP BY lemma",
     "stopword_anti": f"""SELECT d.id_str, count(t.tok) AS n, arg_min(t.tok, t.pos) AS first FROM docs d
         LEFT JOIN (SELECT * FROM lowtoks WHERE tok NOT IN ({_STOPS})) t USING (id_str) GROUP BY d.id_str""",
     "keyword_type_lookup": "SELECT keyword, upper(kind) AS keyword_type, count(*) AS n FROM hits GROUP BY 1, 2",
@@ -351,7 +383,11 @@ _QUERIES = {
         regexp_replace(full_text, '\\bthe\\b', 'on 12 March 2020, 10:30 pm or last week', 'g'), '{DATE_PATTERN}'), '|') AS dates
         FROM docs JOIN places USING (id_str)""",
     "extract_places_join": "SELECT id_str, places FROM places",
+    "extract_places_many": """SELECT id_str, count(name) AS n_places, md5(coalesce(string_agg(name, '|' ORDER BY pos), '')) AS places
+        FROM docs LEFT JOIN manynamed USING (id_str) GROUP BY id_str""",
     "extract_tags": "SELECT id_str, trigger_list, term_list, unit_list, figure_list FROM lists",
+    "annotation_occurrences": """SELECT id_str, n_missing, CAST(s AS INT) AS start, CAST(s + length(word) AS INT) AS end
+        FROM occurred JOIN (SELECT id_str, sum(CASE WHEN k > have THEN 1 ELSE 0 END)::BIGINT AS n_missing FROM listedwords GROUP BY id_str) USING (id_str)""",
     "annotation_spans": """SELECT id_str, count(*) FILTER (NOT there) AS n_missing,
         coalesce(string_agg(s || '/' || (s + len) || '/' || tag, '|' ORDER BY i) FILTER (there), '') AS spans FROM (
         SELECT * FROM aspans WHERE i <= (SELECT count(*) FROM apairs a WHERE a.id_str = aspans.id_str AND a.word IS NOT NULL)) GROUP BY id_str""",
@@ -376,6 +412,10 @@ _QUERIES = {
     "re_extract": "SELECT id_str, location_list AS places, trigger_list AS triggers FROM lists",
     "monitor_stream": "SELECT lists.*, CAST(s >= 0 AS INT) AS predicted_irrelevant FROM lists JOIN scores USING (id_str) WHERE trigger_list <> ''",
     "load_model": "SELECT CAST(vec_id AS VARCHAR) AS id_str, true AS same FROM embeddings",
+    "train_tagger": "SELECT label, label AS tag, count(*) AS n FROM ruled GROUP BY label",
+    "tag_posts": """SELECT id_str, CAST(min(pos) - 1 AS INT) AS pos, any_value(kind) AS label, string_agg(tok, ' ' ORDER BY pos) AS text
+        FROM (SELECT *, sum(CAST(label[1] = 'B' AS INT)) OVER (PARTITION BY id_str ORDER BY pos) AS run FROM ruled)
+        WHERE label <> 'O' GROUP BY id_str, run""",
     "train_entities": "SELECT id_str, true AS same FROM docs",
     # families: the label is the sign of a component
     **dict.fromkeys(("linear_classifier", "random_forest", "rbf_svm", "model_search"),
@@ -415,17 +455,18 @@ def _with(sql: str, own: dict[str, str] | None = None) -> str:
     """Put the mentioned common table expressions, and theirs, in front."""
     needed: list[str] = []
     known = _CTES | (own or {})
+    names = lambda text, name: re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text)
 
-    def visit(text: str) -> None:
+    def visit(text: str, above: tuple[str, ...] = ()) -> None:
         for name, body in known.items():
-            if name not in needed and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
-                visit(body)
+            if name not in needed and name not in above and names(text, name):
+                visit(body, (*above, name))
                 if name not in needed:
                     needed.append(name)
 
     visit(sql)
-    ctes = ",\n".join(f"{name} AS MATERIALIZED ({known[name]})" for name in needed)
-    return f"WITH {ctes}\n{sql}" if needed else sql
+    ctes = ",\n".join(f"{name} AS {'' if names(known[name], name) else 'MATERIALIZED '}({known[name]})" for name in needed)
+    return f"WITH RECURSIVE {ctes}\n{sql}" if needed else sql
 
 
 def oracles() -> dict[str, str]:

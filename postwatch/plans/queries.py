@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postwatch.functions import literals, text as tx
@@ -381,6 +382,13 @@ def keyword_match_join(spark, sf):
     return hit_lists(matching.keyword_match_join(fx.posts(spark, sf), fx.keywords(spark)), "id_str")
 
 
+@query
+def keyword_match_many(spark, sf):
+    """50,000 stems of 2 to 12 letters: how often each hits, in how many posts, and all hits of a post in their order."""
+    tagged = matching.keyword_match_join(fx.posts(spark, sf), fx.many_stems(spark, sf))
+    return tagged.select("id_str", F.size("trigger").cast("bigint").alias("n_hits"), F.md5(listed("trigger")).alias("hits"))
+
+
 @query
 def embedding_lookup(spark, sf):
     rows = fx.posts(spark, sf).select("id_str", F.explode(tx.split_tokens(F.lower("full_text"))).alias("token"))
@@ -398,10 +406,10 @@ def zip_annotations(spark, sf):
 
 @query
 def lemma_lookup(spark, sf):
-    """Irregular and regular lemmas through the join, counted per token."""
-    tokens = fx.posts(spark, sf).withColumn("tokens", tx.split_tokens(F.lower("full_text")))
-    forms = cleaning.lemma_forms(spark.sql(fx.LEXICON))
-    mapped = map_tokens(tokens, "tokens", forms, "lemmas", max_rows=0)
+    """Irregular and regular lemmas through the join, counted per token; some words are four rules away from their noun."""
+    text = F.replace(F.lower("full_text"), F.lit(" und "), F.lit(" tionssss "))
+    tokens = fx.posts(spark, sf).withColumn("tokens", tx.split_tokens(F.replace(text, F.lit(" the "), F.lit(" eausesesses "))))
+    mapped = cleaning.lemmatize(tokens, "tokens", spark.sql(fx.LEXICON), "lemmas", max_literal=0)
     return mapped.select(F.explode("lemmas").alias("lemma")).groupBy("lemma").agg(F.count("*").alias("n"))
 
 
@@ -870,6 +878,13 @@ def extract_places_join(spark, sf):
     return p.select("id_str", listed("LOCATION").alias("places"))
 
 
+@query
+def extract_places_many(spark, sf):
+    """About a million names taken from the texts themselves: how many each post holds, and which, in their order."""
+    p = entities.extract_places(fx.posts(spark, sf), fx.many_places(spark, sf))
+    return p.select("id_str", F.size("LOCATION").cast("bigint").alias("n_places"), F.md5(listed("LOCATION")).alias("places"))
+
+
 @query
 def extract_tags(spark, sf):
     p = entities.extract_tags(fx.tagged(spark, fx.posts(spark, sf)))
@@ -883,6 +898,19 @@ def annotation_spans(spark, sf):
         "entities", lambda e: F.concat_ws("/", e["start"], e["end"], e["tag"]))).alias("spans"))
 
 
+@query
+def annotation_occurrences(spark, sf):
+    """Words that are annotated once for each time they occur, and once more than that."""
+    words = F.filter(tx.split_tokens("full_text"), lambda t: (t.isin("the", "die", "que", "les") | F.contains(t, F.lit("ingtion"))) & ~F.contains(t, F.lit("'")))
+    quoted = lambda items: F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
+    both = F.concat("_w", F.array_distinct("_w"))
+    annotated = fx.posts(spark, sf).withColumn("_w", words).select("id_str", "full_text", quoted(both).alias("NER-Words"), quoted(
+        F.transform(both, lambda w: F.lit("B-term"))).alias("NER-Tags"), (F.col("lang") == "en").alias("rfind")).where(F.size("_w") > 0)
+    rows = spans.annotation_spans(annotated, "id_str", nth=True)
+    return rows.select("id_str", F.col("n_missing").cast("bigint").alias("n_missing"), F.inline("entities")).select(
+        "id_str", "n_missing", "start", "end")
+
+
 @query
 def token_labels(spark, sf):
     """Labelled token table the tagger is trained on."""
@@ -890,18 +918,38 @@ def token_labels(spark, sf):
     return spans.token_table(rows, "id_str").select("id_str", "pos", "token", "start", "end", "label")
 
 
+def _ruled_tokens(spark, sf) -> DataFrame:
+    """Tokens of all posts with labels by a rule: two endings begin an entity, each of its kind; ten endings go on with the entity
+    before them, whichever it is, and are nothing elsewhere."""
+    by_post = W.partitionBy("id_str").orderBy("pos")
+    ending = F.right(F.lower("token"), F.lit(3))
+    own = F.when(ending == "ion", "term").when(ending == "eau", "unit").when(ending.isin("the", "and", "ing", "der", "die", "und", "des", "les", "que", "las"), None).otherwise("")
+    rows = tagger.token_context(fx.posts(spark, sf), "id_str").withColumn("own", own)
+    rows = rows.withColumn("kind", F.coalesce("own", F.last("own", ignorenulls=True).over(by_post), F.lit("")))
+    label = F.when(F.col("kind") == "", "O").when(F.col("own").isNull(), F.concat(F.lit("I-"), "kind")).otherwise(F.concat(F.lit("B-"), "kind"))
+    return rows.withColumn("label", label).drop("own", "kind")
+
+
+def _ruled_tagger(spark, rows: DataFrame) -> tagger.Tagger:
+    """Trained and read from where it is stored."""
+    path = scratch_path(spark, "tagger")
+    tagger.train_tagger(rows, "id_str").save(spark, path)
+    return jobs.load_tagger(spark, path)
+
+
 @query
 def train_tagger(spark, sf):
-    rows = spans.token_table(spans.annotation_spans(fx.annotations(spark, sf), "id_str"), "id_str")
-    model = tagger.train_tagger(rows)
-    scored = model.transform(tagger.token_features(rows))
+    """Labels of the tokens of all posts against their tags."""
+    rows = _ruled_tokens(spark, sf)
+    found = tagger.tag_tokens(fx.posts(spark, sf), _ruled_tagger(spark, rows)).select("id_str", "pos", "tag")
+    scored = rows.join(found, ["id_str", "pos"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
     return scored.groupBy("label", "tag").agg(F.count("*").alias("n"))
 
 
 @query
 def tag_posts(spark, sf):
-    rows = spans.token_table(spans.annotation_spans(fx.annotations(spark, sf), "id_str"), "id_str")
-    return tagger.tag_posts(fx.posts(spark, sf), tagger.train_tagger(rows))
+    """Entities of all posts: a token that begins one and all that go on with it."""
+    return tagger.tag_posts(fx.posts(spark, sf), _ruled_tagger(spark, _ruled_tokens(spark, sf)))
 
 
 @query
@@ -972,13 +1020,13 @@ def train_default(spark, sf):
 def train_entities(spark, sf):
     """The tagger of the annotated posts tags every post as before when it is stored and loaded."""
     numbered = fx.annotations(spark, sf)
-    before = tagger.train_tagger(spans.token_table(spans.annotation_spans(numbered, "id_str"), "id_str"))
+    before = tagger.train_tagger(spans.token_table(spans.annotation_spans(numbered, "id_str"), "id_str"), "id_str")
     path = scratch_path(spark, "tagger")
-    before.write().overwrite().save(path)
+    before.save(spark, path)
     found = [
         tagger.tag_tokens(fx.posts(spark, sf), model).groupBy("id_str").agg(
             F.sort_array(F.collect_list(F.struct("pos", "token", "tag"))).alias(name))
-        for name, model in (("a", before), ("b", jobs.load_tagger(path)))
+        for name, model in (("a", before), ("b", jobs.load_tagger(spark, path)))
     ]
     every = fx.posts(spark, sf).select("id_str").join(found[0], "id_str", "left").join(found[1], "id_str", "left")
     return every.select("id_str", F.col("a").eqNullSafe(F.col("b")).alias("same"))

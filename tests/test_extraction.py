@@ -108,7 +108,7 @@ def test_tagger_recovers_training_spans(spark, tmp_path):
     rows += [(f"nothing much to see by people {n}", "['B-unit']", "['people']", False) for n in range(2, 30)]
     annotations = spark.createDataFrame(rows, "full_text STRING, `NER-Tags` STRING, `NER-Words` STRING, rfind BOOLEAN")
     train_entities(annotations, str(tmp_path / "tagger"), max_iter=30)
-    model = load_tagger(str(tmp_path / "tagger"))
+    model = load_tagger(spark, str(tmp_path / "tagger"))
     posts = posts_of(spark, "7 people were displaced near town 7", "nothing to see")
     done = {r["id_str"]: r for r in e.extract_tags(posts, model).collect()}
     assert (done["0"]["TRIGGER"], done["0"]["UNIT"], done["0"]["FIGURE"], done["0"]["TERM"]) == (["displaced"], ["people"], ["7"], [])
@@ -125,3 +125,87 @@ def test_summary_columns(spark):
     full = e.post_summary(posts.withColumn("irrelevant", F.lit(1.0)).withColumn("created_at", F.lit("d")), "fr").columns
     assert full == ["id_str", "created_at", "full_text", "full_text_preprocessed", "full_text_translated", "irrelevant",
                     "predicted_irrelevant", "retweeted", "user_info"]
+
+
+def labelled_tokens(spark, posts):
+    """Rows of (id, tokens with labels) as the tagger trains on them."""
+    rows = []
+    for i, post in enumerate(posts):
+        words = [w for w, _ in post]
+        for at, (w, label) in enumerate(post):
+            rows.append((str(i), at, w, words[at - 1] if at else None, words[at + 1] if at + 1 < len(words) else None, label))
+    return spark.createDataFrame(rows, "id_str STRING, pos INT, token STRING, previous STRING, following STRING, label STRING")
+
+
+def test_tagger_decides_by_the_label_before(spark):
+    """One word goes on with either entity: between two words that say nothing, only the label before it tells which."""
+    import random
+
+    rng = random.Random(2)
+    posts = []
+    for _ in range(150):
+        post = []
+        for _ in range(6):
+            kind = rng.choice(["term", "unit", None])
+            post += [(f"w{rng.randrange(40)}", "O") for _ in range(rng.randrange(3))]
+            if kind:
+                # The word between them hides the entity's first word from the features of the last.
+                post += [({"term": "tide", "unit": "kilo"}[kind], f"B-{kind}"), ("of", f"I-{kind}"), ("more", f"I-{kind}")]
+            else:
+                post += [("of", "O"), ("more", "O")]
+        posts.append(post)
+    model = tagger.train_tagger(labelled_tokens(spark, posts[:100]), "id_str", num_features=1 << 10, max_iter=40, piece=7)
+    texts = [" ".join(w for w, _ in p) for p in posts[100:]]
+    got = {(r["id_str"], r["pos"]): r["tag"] for r in tagger.tag_tokens(posts_of(spark, *texts), model).collect()}
+    want = {(str(i), at): label for i, p in enumerate(posts[100:]) for at, (_, label) in enumerate(p) if label != "O"}
+    assert got == want
+    found = [(r["label"], r["text"]) for r in tagger.tag_posts(posts_of(spark, "of more tide of more of more kilo of more"), model).orderBy("pos").collect()]
+    assert found == [("term", "tide of more of more"), ("unit", "kilo of more")] or found == [("term", "tide of more"), ("unit", "kilo of more")]
+
+
+def test_chain_sums_and_best_sequences_against_all_sequences():
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sizes, k = np.array([1, 4, 3]), 3
+    scores, transitions = rng.normal(size=(8, k)), rng.normal(size=(k + 1, k))
+    gold = rng.integers(0, k, 8)
+
+    def value(own, e):
+        return transitions[-1, own[0]] + sum(e[i, y] for i, y in enumerate(own)) + sum(transitions[a, b] for a, b in zip(own, own[1:]))
+
+    loss, by_token, by_pair, best = 0.0, np.zeros((8, k)), np.zeros((k + 1, k)), []
+    for lo, n in zip((0, 1, 5), sizes):
+        e = scores[lo:lo + n]
+        ways = list(product(range(k), repeat=int(n)))
+        p = np.exp([value(w, e) for w in ways])
+        p /= p.sum()
+        right = tuple(gold[lo:lo + n])
+        loss -= np.log(p[ways.index(right)])
+        best += ways[int(p.argmax())]
+        for w, share in [*zip(ways, p), (right, -1.0)]:
+            by_pair[k, w[0]] += share
+            for i, y in enumerate(w):
+                by_token[lo + i, y] += share
+                if i:
+                    by_pair[w[i - 1], y] += share
+    found = tagger.expected_counts(scores, sizes, transitions, gold)
+    assert found[0] == pytest.approx(loss) and np.allclose(found[1], by_token) and np.allclose(found[2], by_pair)
+    assert tagger.best_labels(scores, sizes, transitions).tolist() == best
+
+
+def test_tagger_without_rows(spark):
+    none = labelled_tokens(spark, [])
+    model = tagger.train_tagger(none, "id_str", num_features=16)
+    assert tagger.tag_tokens(posts_of(spark, "a b", "", None), model).count() == 0
+
+
+def test_nth_occurrence(spark):
+    rows = [("aba b aba aba", "['B-fig', 'I-fig', 'B-term', 'B-unit']", "['aba', 'aba', 'aba', 'aba']", last) for last in (False, True)]
+    annotations = spark.createDataFrame(rows, "full_text STRING, `NER-Tags` STRING, `NER-Words` STRING, rfind BOOLEAN")
+    got = [([(s["start"], s["end"], s["tag"]) for s in r["entities"]], r["n_missing"]) for r in spans.annotation_spans(annotations, nth=True).collect()]
+    assert got == [([(0, 3, "B-fig"), (6, 9, "I-fig"), (10, 13, "B-term")], 1), ([(10, 13, "B-fig"), (6, 9, "I-fig"), (0, 3, "B-term")], 1)]
+    same = spans.annotation_spans(annotations).collect()
+    assert [len({(s["start"], s["end"]) for s in r["entities"]}) for r in same] == [1, 1]
