@@ -8,7 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwatch.functions.lookup import KEY, value_key
+from postwatch.functions.lookup import KEY, one_of_each, salted_join, value_key
+from postwatch.functions.text import word_tokenize
 from postwatch.operators.bayes import (
     SMOOTHING, BayesModel, class_sizes, fit_bayes, log_weights, predict_bayes,
 )
@@ -18,6 +19,7 @@ from postwatch.operators.pooling import dense_features
 from postwatch.operators.splits import SEED, stratified_folds
 from postwatch.operators.stats import balanced_accuracy, confusion_matrix, cv_summary, score_of_counts
 from postwatch.operators.vocabulary import token_rows
+from postwatch.session import scratch_path
 
 
 @dataclass
@@ -118,16 +120,20 @@ def bayes_fold_predictions(folded: DataFrame, label_col: str = "irrelevant", id_
     bias = weights.groupBy("fold").agg(
         (F.log((F.max("n1") + SMOOTHING) / (F.max("n0") + SMOOTHING)) + F.sum("absent")).alias("_bias")
     )
-    gaps = weights.select("fold", "token", (F.col("present") - F.col("absent")).alias("_gap"))
-    # A fold gives a text one score, however often the text is in it. Tokens are spread over the rows of
-    # their text, so that a frequent one is no hot key beyond what a join may split.
+    # A token has one row with its gap in every fold, so that a text is scored for all folds in one pass over its words.
+    folds = sorted(sizes)
+    gap = lambda f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("present") - F.col("absent"))), F.lit(0.0))
+    path = scratch_path(folded.sparkSession, "folds")
+    weights.groupBy("token").agg(F.array(*[gap(f) for f in folds]).alias("gaps")).write.parquet(path)
+    gaps = folded.sparkSession.read.schema("token STRING, gaps ARRAY<DOUBLE>").parquet(path)
     keyed = folded.withColumn(KEY, value_key(F.col("full_text_preprocessed").alias("t")))
-    tokens = token_rows(keyed, KEY, "fold", distinct=True).distinct()
-    gains = tokens.join(gaps, ["token", "fold"]).groupBy(KEY, "fold").agg(F.sum("_gap").alias("_gain"))
+    words = one_of_each(keyed, F.array_distinct(word_tokenize("full_text_preprocessed")), "_words")
+    joined = salted_join(words.select(KEY, F.explode("_words").alias("token")), gaps, "token", row_bytes=64 + 8 * len(folds))
+    gains = joined.groupBy(KEY).agg(*[F.sum(F.col("gaps")[i]).alias(f"_g{i}") for i in range(len(folds))])
+    gain = F.coalesce(*[F.when(F.col("fold") == f, F.col(f"_g{i}")) for i, f in enumerate(folds)], F.lit(0.0)) if folds else F.lit(0.0)
     return (
-        keyed.select(id_col, label_col, "fold", KEY).join(gains, [KEY, "fold"], "left").join(F.broadcast(bias), "fold")
-        .select(id_col, label_col, "fold",
-                (F.col("_bias") + F.coalesce("_gain", F.lit(0.0)) >= 0).cast("int").alias("predicted_irrelevant"))
+        keyed.select(id_col, label_col, "fold", KEY).join(gains, KEY, "left").join(F.broadcast(bias), "fold")
+        .select(id_col, label_col, "fold", (F.col("_bias") + gain >= 0).cast("int").alias("predicted_irrelevant"))
     )
 
 

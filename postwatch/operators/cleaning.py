@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postwatch.functions import text as tx
-from postwatch.functions.lookup import MAX_LITERAL_ROWS, hashed_literal, map_tokens, salted_join, small_rows
+from postwatch.functions.lookup import KEY, MAX_LITERAL_ROWS, hashed_literal, map_tokens, salted_join, small_rows, value_key
 from postwatch.session import scratch_path
 
 # Noun suffixes and what replaces them when looking for the base form, in this order
@@ -127,7 +128,38 @@ def translate_with(posts: DataFrame, translate: Callable[[list[str]], list[str]]
             done = [one(t) for t in asked]
         return pd.Series([d or "" for d in done], dtype=object)
 
-    return posts.withColumn(out_col, F.pandas_udf(run, T.StringType())(text_col))
+    # Marked so that no plan calls the translator a second time, for a filter on its answers.
+    return posts.withColumn(out_col, F.pandas_udf(run, T.StringType()).asNondeterministic()(text_col))
+
+
+def translate_remembered(posts: DataFrame, translate: Callable[[list[str]], list[str]], memory: str, lang: str,
+                         text_col: str, out_col: str = "full_text_translated") -> DataFrame:
+    """As ``translate_with``, with a memory: a table of (lang, text key, translation) below the path ``memory``.
+
+    Only distinct texts of the language that the memory does not hold go to ``translate``, each once, and are then added to it; a text whose
+    translation failed is not remembered, so the next run asks again. The memory is read by the language's partition and
+    joined by key, without texts. A run that is repeated asks for nothing.
+    """
+    spark = posts.sparkSession
+    known = _remembered(spark, memory, lang)
+    keyed = posts.withColumn(KEY, value_key(text_col))
+    asked = keyed.where(F.coalesce(F.col(text_col), F.lit("")) != "").groupBy(KEY).agg(F.first(text_col).alias("_text"))
+    new = asked.join(known.select(F.col("key").alias(KEY)), KEY, "left_anti")
+    answers = translate_with(new, translate, "_text", "translation").where("translation <> ''")
+    answers.select(F.lit(lang).alias("lang"), F.col(KEY).alias("key"), "translation").write.mode("append").partitionBy("lang").parquet(memory)
+    # A memory that two runs have added to may hold a text twice.
+    once = _remembered(spark, memory, lang).groupBy(F.col("key").alias(KEY)).agg(F.min("translation").alias("_known"))
+    return keyed.join(once, KEY, "left").withColumn(out_col, F.coalesce("_known", F.lit(""))).drop(KEY, "_known")
+
+
+def _remembered(spark: SparkSession, memory: str, lang: str) -> DataFrame:
+    schema = "key STRING, translation STRING, lang STRING"
+    try:
+        return spark.read.schema(schema).parquet(memory).where(F.col("lang") == lang).select("key", "translation")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).select("key", "translation")
 
 
 def translate_by_lexicon(posts: DataFrame, lexicon: DataFrame, lang: str, text_col: str,
@@ -143,19 +175,21 @@ def preprocess_text(posts: DataFrame, language: str = "en", lexicon: DataFrame |
                     translator: Callable[[list[str]], list[str]] | None = None,
                     translations: DataFrame | None = None, text_col: str = "full_text",
                     keep_accents: bool = False,
-                    stop_words: list[str] | None = None) -> DataFrame:
+                    stop_words: list[str] | None = None, memory: str | None = None) -> DataFrame:
     """Add ``full_text_preprocessed`` (and ``full_text_translated`` unless the language is English).
 
     Cleaning, translation, lower case, lemmas, stop words, punctuation, in this order. Without a
     lexicon tokens are their own lemmas. Another language needs a ``translator`` function or a
-    ``translations`` lexicon.
+    ``translations`` lexicon; with ``memory``, the path of a table, a text is sent to the translator once and for all.
     """
     clean = tx.first_clean(text_col, keep_accents)
     if language == "en":
         work = posts.withColumn("_tokens", tx.split_tokens(F.lower(clean)))
     else:
         work = posts.withColumn("_clean", clean)
-        if translator is not None:
+        if translator is not None and memory is not None:
+            work = translate_remembered(work, translator, memory, language, "_clean")
+        elif translator is not None:
             work = translate_with(work, translator, "_clean")
         elif translations is not None:
             work = translate_by_lexicon(work, translations, language, "_clean")

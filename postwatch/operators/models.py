@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import zip_longest
 
 import numpy as np
@@ -148,18 +148,26 @@ class BalancedAccuracy(MulticlassClassificationEvaluator):
         return True
 
 
+#: A minute of a configured search budget is this many rows to train on, so that a search gives the same model on any machine.
+ROWS_PER_MINUTE = 1_000_000
+KEEP_ONE_IN, SIDE_BY_SIDE = 3, 4
+
+
 class ModelSearch(Estimator):
-    """Best of a bounded number of candidates by balanced accuracy on a seeded hold-out.
+    """Best of a bounded number of candidates by balanced accuracy on a hold-out, by successive halving.
 
-    Families take turns, so that a small ``population_size`` still tries each of them. No candidate is begun after
-    ``max_minutes``; one that took more than ``max_candidate_minutes`` counts only if all others did so, too.
+    All candidates are fitted, some side by side, on a small sample; the better third goes on to a sample of three times
+    the rows, and so on to all of them. Samples and hold-out follow from a hash of the features, so that the same rows give the same
+    model. ``row_budget`` bounds the rows that all fits together read, ``candidate_rows`` those of one fit: samples shrink until both
+    hold. ``tried`` lists (round, rows' share, candidate, score).
     """
 
-    def __init__(self, label: str, features: str, population_size: int = 15, max_minutes: float | None = None,
-                 max_candidate_minutes: float | None = None, seed: int = 42):
+    def __init__(self, label: str, features: str, population_size: int = 15, row_budget: float | None = None,
+                 candidate_rows: float | None = None, seed: int = 42):
         super().__init__()
         self.label, self.features, self.seed = label, features, seed
-        self.population_size, self.max_minutes, self.max_candidate_minutes = population_size, max_minutes, max_candidate_minutes
+        self.population_size, self.row_budget, self.candidate_rows = population_size, row_budget, candidate_rows
+        self.tried: list[tuple[int, float, int, float]] = []
 
     def candidates(self) -> list[tuple[Estimator, dict]]:
         """At most ``population_size`` estimators with their parameters, families in turn."""
@@ -169,8 +177,8 @@ class ModelSearch(Estimator):
         forest = RandomForestClassifier(seed=self.seed, **cols)
         gaussian = NaiveBayes(modelType="gaussian", **cols)
         grids = [
-            (svc, ParamGridBuilder().addGrid(svc.regParam, [1e-4, 1e-2, 1e-1]).build()),
-            (logistic, ParamGridBuilder().addGrid(logistic.regParam, [1e-4, 1e-2, 1e-1]).build()),
+            (svc, ParamGridBuilder().addGrid(svc.regParam, [1e-4, 1e-2, 1e-1, 1.0]).build()),
+            (logistic, ParamGridBuilder().addGrid(logistic.regParam, [1e-4, 1e-2, 1e-1, 1.0]).build()),
             (forest, ParamGridBuilder().addGrid(forest.maxDepth, [3, 5, 10])
              .addGrid(forest.numTrees, [5, 20]).build()),
             (gaussian, [{}]),
@@ -178,30 +186,51 @@ class ModelSearch(Estimator):
         rounds = zip_longest(*[[(estimator, params) for params in grid] for estimator, grid in grids])
         return [c for turn in rounds for c in turn if c is not None][:self.population_size]
 
+    def shares(self, n_candidates: int, n_rows: int) -> list[tuple[int, float]]:
+        """(candidates, share of the training rows) of each round, within the budgets."""
+        sizes = [n_candidates]
+        while sizes[-1] > 1:
+            sizes.append(max(1, sizes[-1] // KEEP_ONE_IN))
+        sizes = sizes[:-1] if len(sizes) > 1 else sizes  # one candidate needs no comparison
+        plan = [(n, KEEP_ONE_IN ** -(len(sizes) - 1.0 - i)) for i, n in enumerate(sizes)]
+        reads, largest = sum(n * share for n, share in plan) * n_rows, max(share for _, share in plan) * n_rows
+        limits = ((self.row_budget, reads), (self.candidate_rows, largest))
+        shrink = min([1.0, *(limit / reading for limit, reading in limits if limit is not None and reading)])
+        return [(n, share * shrink) for n, share in plan]
+
     def _fit(self, data: DataFrame):
         metric = BalancedAccuracy(labelCol=self.label)
-        train, held = (part.persist() for part in data.randomSplit([0.8, 0.2], self.seed))
+        place = F.pmod(F.xxhash64(F.lit(self.seed), vector_to_array(self.features)), F.lit(1 << 20)) / float(1 << 20)
+        dealt = data.withColumn("_at", place).persist()
         try:
-            tried, began = [], time.monotonic()
-            for estimator, params in self.candidates():
-                start = time.monotonic()
-                if tried and self.max_minutes is not None and start - began > 60 * self.max_minutes:
-                    break
-                score = metric.evaluate(estimator.fit(train, params).transform(held))
-                late = self.max_candidate_minutes is not None and time.monotonic() - start > 60 * self.max_candidate_minutes
-                tried.append((not late, score, -len(tried), estimator, params))
-            *_, estimator, params = max(tried, key=lambda t: t[:3])
+            held, train = dealt.where("_at >= 0.8"), dealt.where("_at < 0.8")
+            left = list(enumerate(self.candidates()))
+            self.tried = []
+            for turn, (_, share) in enumerate(self.shares(len(left), train.count())):
+                sample = train.where(F.col("_at") < F.lit(0.8 * share))
+                both = {r[0] for r in sample.select(self.label).distinct().limit(2).collect()}
+                sample = sample if len(both) > 1 else train  # too few rows to tell anything
+
+                def score(own: tuple, rows: DataFrame = sample) -> float:
+                    return metric.evaluate(own[1][0].fit(rows, own[1][1]).transform(held))
+
+                with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+                    scores = list(pool.map(score, left))
+                self.tried += [(turn, share, i, x) for (i, _), x in zip(left, scores)]
+                ranked = sorted(zip(scores, left), key=lambda x: (-x[0], x[1][0]))
+                left = [own for _, own in ranked[:max(1, len(left) // KEEP_ONE_IN)]]
+            estimator, params = left[0][1]
             return PipelineModel(stages=[estimator.fit(data, params)])
         finally:
-            train.unpersist()
-            held.unpersist()
+            dealt.unpersist()
 
 
 def _search(params: dict, label: str, features: str) -> Estimator:
     known = {"verbosity", "population_size", "max_time_mins", "max_eval_time_mins"}
     if unknown := set(params) - known:
         raise ValueError(f"unknown search settings {sorted(unknown)}, known: {sorted(known)}")
-    return ModelSearch(label, features, params.get("population_size", 15), params.get("max_time_mins"), params.get("max_eval_time_mins"))
+    rows = [None if (minutes := params.get(name)) is None else minutes * ROWS_PER_MINUTE for name in ("max_time_mins", "max_eval_time_mins")]
+    return ModelSearch(label, features, params.get("population_size", 15), *rows)
 
 
 Builder = Callable[[dict, str, str], Estimator]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions.lookup import KEY, salted_join, value_key
@@ -37,11 +38,15 @@ def mean_pool(posts: DataFrame, embedding: DataFrame, tokens_col: str, out_col:
     else:
         used = store_distinct(rows.select("token"))
         known = salted_join(rows, vectors.join(used, "token", "left_semi"), "token", id_col, "left", max(128, 4 * dim))
-    sums = known.groupBy(id_col).agg(F.count("vector").alias("_n"), *[
-        F.sum(F.get("vector", i)).alias(f"_s{i}") for i in range(dim)])
-    shares = F.greatest(F.col("_n"), F.lit(1))
-    mean = F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) / shares for i in range(dim)])
-    return sums.select(id_col, mean.alias(out_col))
+    summed = known.groupBy(id_col).agg(
+        F.count("vector").alias("_n"), Summarizer.sum(array_to_vector(F.coalesce(F.col("vector").cast("array<double>"), none(dim)))).alias("_s"))
+    mean = F.transform(vector_to_array("_s"), lambda x: x / F.greatest(F.col("_n"), F.lit(1)))
+    return summed.select(id_col, mean.alias(out_col))
+
+
+def none(dim: int) -> Column:
+    """The zero vector."""
+    return F.array_repeat(F.lit(0.0), dim)
 
 
 def store_distinct(tokens: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ class TextTools:
     translations: DataFrame | None = None
     gazetteer: DataFrame | None = None
     tagger: Tagger | None = None
+    memory: str | None = None  # where translations are remembered
 
 
 @dataclass
@@ -88,7 +89,7 @@ def preprocess(posts: DataFrame, keywords: DataFrame, lang: str, tools: TextTool
     """Keyword tags and cleaned text."""
     tools = tools or TextTools()
     tagged = keyword_match(posts, keywords)
-    ready = preprocess_text(tagged, lang, tools.lexicon, tools.translator, tools.translations)
+    ready = preprocess_text(tagged, lang, tools.lexicon, tools.translator, tools.translations, memory=tools.memory)
     if "full_text_translated" not in ready.columns:
         # All languages share one stored layout.
         ready = ready.withColumn("full_text_translated", F.lit(None).cast("string"))

@@ -112,6 +112,10 @@ _CTES = {
         ln((n1 - c1 + .5) / (n1 + .5 * b)) - ln((n0 - c0 + .5) / (n0 + .5 * b)) AS absent
         FROM (SELECT *, CASE WHEN c0 + c1 = n0 + n1 THEN 1 ELSE 2 END AS b FROM fcounts JOIN fsizes USING (fold))""",
     "fbias": "SELECT fold, ln((max(n1) + .5) / (max(n0) + .5)) + sum(absent) AS b FROM fodds GROUP BY fold",
+    "fscored": """SELECT f.id_str, f.y, f.fold, CAST(b.b + coalesce(g.gain, 0) >= 0 AS INT) AS p FROM folds f JOIN fbias b USING (fold) LEFT JOIN (
+        SELECT id_str, sum(present - absent) AS gain FROM folds JOIN words USING (id_str) JOIN fodds USING (fold, token) GROUP BY id_str) g USING (id_str)""",
+    "foldsums": """SELECT round(avg(s), 4) AS mean_score, round(stddev_samp(s), 4) AS sd_score FROM (SELECT fold, avg(recall) AS s FROM (
+        SELECT fold, y, avg(CAST(y = p AS INT)) AS recall FROM fscored GROUP BY fold, y) GROUP BY fold)""",
     "signs": "SELECT CAST(vec_id AS VARCHAR) AS id_str, CAST(embedding[1] > 0 AS INT) AS y FROM embeddings",
     # word vectors
     "emb": """SELECT tok AS token, embedding AS vector FROM (
@@ -343,6 +347,9 @@ _QUERIES = {
         FROM toks LEFT JOIN trans ON trans.lang = toks.lang AND token = tok WHERE toks.lang <> 'en' GROUP BY id_str""",
     "translate_hook": "SELECT id_str, replace(full_text, 'e', '3') AS full_text_translated FROM docs",
     "lowercase": "SELECT id_str, lower(full_text) AS text FROM docs",
+    "translate_remembered": """SELECT id_str, CASE WHEN full_text = '' THEN '' WHEN full_text IN (SELECT full_text FROM docs WHERE source <> 'src3')
+        THEN 'first:' ELSE 'second:' END || CASE WHEN full_text = '' THEN '' ELSE CAST(length(full_text) AS VARCHAR) END AS full_text_translated
+        FROM (SELECT * FROM docs UNION ALL SELECT * FROM docs WHERE source <> 'src3')""",
     "lemmatize": "SELECT id_str, string_agg(lemma, ' ' ORDER BY pos) AS text FROM lowtoks JOIN lemmas USING (tok) GROUP BY id_str",
     "remove_stopwords": f"""SELECT d.id_str, coalesce(string_agg(t.tok, ' ' ORDER BY t.pos), '') AS text FROM docs d
         LEFT JOIN (SELECT * FROM lowtoks WHERE tok NOT IN ({_STOPS})) t USING (id_str) GROUP BY d.id_str""",
@@ -407,8 +414,10 @@ _QUERIES = {
     "monitor_posts": """SELECT id_str, created_at, full_text_preprocessed, CAST(s >= 0 AS INT) AS predicted_irrelevant, retweeted, user_id,
         screen_name, verified, location_list, date_list, trigger_list, term_list, unit_list, figure_list
         FROM todo JOIN meta USING (id_str) JOIN pre USING (id_str) JOIN lists USING (id_str) JOIN scores USING (id_str)""",
-    "train_default": """SELECT count(irrelevant) AS n_labelled, count(*) AS n_all, count(*) FILTER (irrelevant = 0) AS n_relevant,
-        count(*) FILTER (irrelevant = 1) AS n_irrelevant, round(count(*) FILTER (irrelevant = 0) / count(irrelevant), 4) AS share_relevant FROM marked""",
+    "train_default": """SELECT id_str, t.y AS irrelevant, CAST(s >= 0 AS INT) AS predicted_irrelevant, mean_score, sd_score, score,
+        (SELECT count(irrelevant) FROM marked) AS n_labelled, (SELECT count(*) FROM marked) AS n_all
+        FROM train t JOIN scores USING (id_str) CROSS JOIN foldsums CROSS JOIN (
+        SELECT round(avg(recall), 4) AS score FROM (SELECT y, avg(CAST(y = p AS INT)) AS recall FROM hscored GROUP BY y))""",
     "re_extract": "SELECT id_str, location_list AS places, trigger_list AS triggers FROM lists",
     "monitor_stream": "SELECT lists.*, CAST(s >= 0 AS INT) AS predicted_irrelevant FROM lists JOIN scores USING (id_str) WHERE trigger_list <> ''",
     "load_model": "SELECT CAST(vec_id AS VARCHAR) AS id_str, true AS same FROM embeddings",
@@ -451,6 +460,9 @@ _JOB_CTES = {
 }
 
 
+_OWN_CTES = {"monitor_job": _JOB_CTES, "train_default": {"train": _JOB_CTES["train"]}}
+
+
 def _with(sql: str, own: dict[str, str] | None = None) -> str:
     """Put the mentioned common table expressions, and theirs, in front."""
     needed: list[str] = []
@@ -470,4 +482,4 @@ def _with(sql: str, own: dict[str, str] | None = None) -> str:
 
 
 def oracles() -> dict[str, str]:
-    return {name: _with(sql, _JOB_CTES if name == "monitor_job" else None) for name, sql in _QUERIES.items()}
+    return {name: _with(sql, _OWN_CTES.get(name)) for name, sql in _QUERIES.items()}

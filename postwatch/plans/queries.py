@@ -613,6 +613,19 @@ def translate_hook(spark, sf):
     return cleaning.translate_with(fx.posts(spark, sf), shout, "full_text").select("id_str", "full_text_translated")
 
 
+@query
+def translate_remembered(spark, sf):
+    """The posts of a run and of the next one, with a translator that says in which run it was asked: the second run asks for the texts
+    that the first did not have, and for no other."""
+    memory = scratch_path(spark, "memory")
+    told = lambda run: lambda texts: [f"{run}:{len(t)}" for t in texts]
+    p = fx.posts(spark, sf)
+    first = p.where("source <> 'src3'")
+    cleaning.translate_remembered(first, told("first"), memory, "en", "full_text")
+    again = cleaning.translate_remembered(p.unionByName(first), told("second"), memory, "en", "full_text")
+    return again.select("id_str", "full_text_translated")
+
+
 @query
 def lowercase(spark, sf):
     return fx.posts(spark, sf).select("id_str", F.lower("full_text").alias("text"))
@@ -734,22 +747,29 @@ def binary_features(spark, sf):
     return rows.select("id_str", "token")
 
 
-def _ruled_vectors(spark, sf) -> DataFrame:
-    """Given vectors whose label is the sign of a component, kept away from zero, so that every family can learn it."""
+def _ruled_vectors(spark, sf, ring: bool = False) -> DataFrame:
+    """Given vectors with a label by a rule that has a margin: all components are moved apart by class, or, for a ``ring``, the
+    vectors of one class have length 1 and those of the other length 4. Labels follow from the sign of the first component."""
     from pyspark.ml.functions import array_to_vector
 
-    first = F.get("embedding", 0).cast("double")
-    apart = F.round(first, 1) + F.when(first > 0, 0.2).otherwise(-0.2)  # few values, each a bin of its own in a tree
+    own = F.col("embedding").cast("array<double>")
+    positive = F.get(own, 0) > 0
+    length = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x))
+    size = F.when(positive, 1.0).otherwise(4.0) / length
+    moved = F.transform(own, lambda x: x * size) if ring else F.transform(own, lambda x: x / length + F.when(positive, 0.5).otherwise(-0.5))
     return fx.table(spark, sf, "embeddings").select(
-        F.col("vec_id").cast("string").alias("id_str"), array_to_vector(F.array(apart, 2 * apart, -apart)).alias("features"),
-        (first > 0).cast("double").alias("irrelevant"))
+        F.col("vec_id").cast("string").alias("id_str"), array_to_vector(moved).alias("features"), positive.cast("double").alias("irrelevant"))
 
 
-def _ml_scores(spark, sf, family: str, params: dict | None = None) -> DataFrame:
-    data = _ruled_vectors(spark, sf)
-    fitted = models.build_model(family, params or models.model_parameters(family)).fit(data)
-    return fitted.transform(data).select("id_str", F.col("irrelevant").cast("int").alias("irrelevant"),
-                                         F.col("prediction").cast("int").alias("predicted_irrelevant"))
+def _ml_scores(spark, sf, family: str, params: dict | None = None, ring: bool = False) -> DataFrame:
+    """Each half of the vectors, by a hash of the id, is scored by a model of the other half: no row by a model that has seen it."""
+    data = _ruled_vectors(spark, sf, ring).withColumn("half", F.crc32(F.col("id_str").cast("binary")) % 2)
+    parts = []
+    for half in (0, 1):
+        fitted = models.build_model(family, models.model_parameters(family) if params is None else params).fit(data.where(F.col("half") != half))
+        parts.append(fitted.transform(data.where(F.col("half") == half)).select(
+            "id_str", F.col("irrelevant").cast("int").alias("irrelevant"), F.col("prediction").cast("int").alias("predicted_irrelevant")))
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -764,7 +784,7 @@ def random_forest(spark, sf):
 
 @query
 def rbf_svm(spark, sf):
-    return _ml_scores(spark, sf, "svm")
+    return _ml_scores(spark, sf, "svm", ring=True)
 
 
 @query
@@ -1012,8 +1032,11 @@ def train_default(spark, sf):
     stems = fx.keywords(spark).withColumn("lang", F.lit("en")).withColumn("keyword_type", F.col("kind"))
     tables.write_keywords(stems)
     tools = jobs.TextTools(lexicon=spark.sql(fx.LEXICON))
-    counts, report = jobs.train_default(tables, _full_posts(spark, sf), "en", "bayes", tools, cross_valid=False)
-    return _rounded(counts, "share_relevant")
+    counts, report = jobs.train_default(tables, _full_posts(spark, sf), "en", "bayes", tools)
+    scored = report.classifier.predict(tables.load_labelled("en")).select("id_str", F.col("irrelevant").cast("int").alias("irrelevant"), "predicted_irrelevant")
+    folds = _rounded(report.cv, "mean_score", "sd_score")
+    return scored.crossJoin(F.broadcast(folds)).crossJoin(F.broadcast(counts.select("n_labelled", "n_all"))).withColumn(
+        "score", F.round(F.lit(report.score), 4))
 
 
 @query
@@ -1156,7 +1179,7 @@ def monitor_job(spark, sf):
     words = spark.sql(fx.SEARCH_WORDS).withColumns({"stem": F.col("keyword"), "keyword_type": F.col("kind")})
     tables.write_keywords(words)
     tools = jobs.TextTools(lexicon=spark.sql(fx.LEXICON), gazetteer=spark.sql(fx.GAZETTEER))
-    jobs.train_default(tables, fx.labelled(spark, sf), "en", "bayes", tools, cross_valid=False)
+    _, report = jobs.train_default(tables, fx.labelled(spark, sf), "en", "bayes", tools)
     summary = jobs.monitor_posts(tables, fx.posts(spark, sf), "en", RUN_DATE, "bayes", "en", tools)
     return summary.select("id_str", "full_text_preprocessed", "predicted_irrelevant", listed("LOCATION").alias("location_list"),
                           listed("TRIGGER").alias("trigger_list"), listed("TERM").alias("term_list"))

@@ -57,3 +57,33 @@ def test_translation_lexicon(spark):
     assert done["full_text_translated"] == "Une house house" and done["full_text_preprocessed"] == "une house house"
     with pytest.raises(ValueError):
         c.preprocess_text(posts_of(spark, "x"), "fr")
+
+
+def test_translations_are_remembered(spark, tmp_path):
+    """The second run asks for nothing, a changed text is asked for, and a failed one again."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def translate(texts):
+        asked.add(len(texts))
+        return ["" if t == "fails" else t.upper() for t in texts]
+
+    posts, memory = posts_of(spark, "un deux", "un deux", None, "", "trois", "fails"), str(tmp_path / "memory")
+
+    def run(frame, lang="fr"):
+        before = asked.value
+        got = {r["id_str"]: r["full_text_translated"] for r in c.translate_remembered(frame, translate, memory, lang, "full_text").collect()}
+        return got, asked.value - before
+
+    want = {"0": "UN DEUX", "1": "UN DEUX", "2": "", "3": "", "4": "TROIS", "5": ""}
+    assert run(posts.where("full_text <> 'fails'")) == ({k: v for k, v in want.items() if k in "0134"}, 2)
+    assert run(posts.where("full_text <> 'fails'"))[1] == 0
+    assert run(posts) == (want, 1) and run(posts) == (want, 1)
+    assert run(posts.where("full_text <> 'fails'"), "es")[1] == 2
+
+
+def test_words_many_rules_away(spark, lexicon):
+    """Suffix rules go on until nothing changes, in place and by the join; runs of an ending of any length end."""
+    words = {"housessss": "house", "glassesses": "glass", "busesesseses": "bus", "x" + "s" * 3000: "x" + "s" * 3000, "city" + "s" * 200: "city", "menmen": "menmen", "s": "s"}
+    posts = spark.createDataFrame([("1", list(words))], "id_str STRING, toks ARRAY<STRING>")
+    for limit in (1000, 0):
+        assert c.lemmatize(posts, "toks", lexicon, "l", max_literal=limit).first()["l"] == list(words.values())

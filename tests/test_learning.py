@@ -157,14 +157,31 @@ def test_gamma(spark):
 def test_model_search_is_bounded(spark):
     search = models.build_model("tpot", {"population_size": 2})
     assert len(search.candidates()) == 2 and len({type(e) for e, _ in search.candidates()}) == 2
-    assert len(models.build_model("tpot").candidates()) == 13
+    assert len(models.build_model("tpot").candidates()) == 15
     with pytest.raises(ValueError):
         models.build_model("tpot", {"generations": 5})
     search.candidates = lambda: [(models.RandomForestClassifier(labelCol="irrelevant", seed=1), {})]
     assert accuracy(search.fit(ring(spark)).transform(ring(spark))) > .7
 
 
-def test_registry():
+def test_model_search_halves_and_repeats(spark):
+    """Every candidate is tried on the small sample, a third of them on more rows; two searches agree, on rows dealt otherwise, too."""
+    data = ring(spark)
+    first, second = models.build_model("tpot", {}), models.build_model("tpot", {})
+    chosen = [type(s.fit(d).stages[0]) for s, d in ((first, data), (second, data.repartition(7)))]
+    assert chosen[0] == chosen[1] and [t[:3] for t in first.tried] == [t[:3] for t in second.tried]
+    rounds = [[t for t in first.tried if t[0] == turn] for turn in (0, 1)]
+    assert sorted(t[2] for t in rounds[0]) == list(range(15)) and len(rounds[1]) == 5 and rounds[0][0][1] < rounds[1][0][1] == 1
+
+
+def test_model_search_budgets():
+    search = models.build_model("tpot", {"max_time_mins": 0.003, "max_eval_time_mins": 0.001})
+    plan = search.shares(15, 10_000)
+    assert [n for n, _ in plan] == [15, 5] and sum(n * share for n, share in plan) * 10_000 <= 3000 + 1e-6
+    assert max(share for _, share in plan) * 10_000 <= 1000 and search.shares(15, 10) == [(15, 1 / 3), (5, 1.0)]
+
+
+def test_registry(spark):
     assert models.is_known_model("bayes") and not models.is_known_model("x")
     assert set(models.list_models()) >= {"randomforest", "svm", "linear", "bayes", "tpot"}
     for bad in (lambda: models.build_model("x"), lambda: models.build_model("svm", {"kernel": "poly"}),
@@ -172,8 +189,25 @@ def test_registry():
         with pytest.raises(ValueError):
             bad()
     assert models.build_model("randomforest").getMaxDepth() == 10
-    models.register_family("mine", lambda p, label, features: "estimator")
-    assert models.build_model("mine") == "estimator"
+
+
+def test_a_registered_family_is_fitted(spark):
+    """A family of the user's own goes through training, scoring and prediction of posts like those that are built in."""
+    from pyspark.ml.classification import GBTClassifier
+
+    from postwatch.operators import classify
+
+    models.register_family("boosted", lambda p, label, features: GBTClassifier(labelCol=label, featuresCol=features, maxIter=p["rounds"], seed=1), {"rounds": 3})
+    try:
+        rows = [(str(i), float(i % 2), f"{'good' if i % 2 else 'bad'} w{i % 5}", ["t"]) for i in range(40)]
+        posts = spark.createDataFrame(rows, "id_str STRING, irrelevant DOUBLE, full_text_preprocessed STRING, trigger ARRAY<STRING>")
+        vectors = spark.createDataFrame([("good", [1.0, 0.0]), ("bad", [0.0, 1.0]), ("w1", [0.3, 0.3])], "token STRING, vector ARRAY<FLOAT>")
+        model = classify.fit(posts, "boosted", None, vectors)
+        assert {(r["irrelevant"], r["predicted_irrelevant"]) for r in model.predict(posts).collect()} == {(0.0, 0), (1.0, 1)}
+        scores = classify.cross_validate(posts, "boosted", None, vectors, k=2).collect()
+        assert [r["balanced_accuracy"] for r in scores] == [1.0, 1.0]
+    finally:
+        models.FAMILIES.pop("boosted"), models.MODEL_CONFIG.pop("boosted")
 
 
 def test_stats(spark):
