@@ -49,10 +49,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_path() -> Column:
-    """A stand-in for the folders of a crawl: source, then thousands and tens of the id; one name in ten is a licence file's."""
-    block, row = F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 10)
-    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
-    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("b"), block), F.concat(F.lit("r"), row), name)
+    """A stand-in for the folders of a crawl: the source, blocks of 4,000 ids in it, and in these folders of 200 ids for every other group of
+    20; one name in four is a licence file's. The given sources take turns by id, so that a folder holds documents of one source."""
+    group = F.floor(F.col("doc_id") / 20)
+    inner = F.when(group % 2 == 0, F.concat(F.lit("r"), F.floor(F.col("doc_id") / 200)))
+    name = F.when(F.floor(group / 2) % 4 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("b"), F.floor(F.col("doc_id") / 4000)), inner, name)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Terms are the words of a text and their beginnings, hashed; a text has each term once. Besides a weight, each
 term has a short vector, and pairs of terms add the product of theirs, so that an insult beside a group's name can count more
-than both by themselves. Every slot of the training sample is learned; a prior draws rare ones to zero.
+than both by themselves. Every slot of the training sample is learned; a prior draws those to zero that tell nothing.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postwatch.llm.common import small_batches, unit_interval
+from postwatch.llm.common import small_batches, store, unit_interval
 
 #: Training reads at most about this many labelled texts of each class, drawn by a hash of the id; all texts are scored.
-MOST_TEXTS, SLOTS, FACTORS, EPOCHS, START, PRIOR, SEED = 6000, 1 << 18, 8, 12, 0.5, 100.0, 11
+MOST_TEXTS, SLOTS, FACTORS, EPOCHS, START, PRIOR, SEED = 6000, 1 << 18, 8, 12, 0.5, 2.5, 11
+#: Terms of all drawn texts together, beyond which fewer texts are drawn.
+MOST_TERMS = 8_000_000
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&|-_«»¡¿…"
 
 
@@ -66,8 +68,9 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, shift: float = 0.0, factors
         rate: float = 0.02, prior: float = PRIOR, start: float = START, seed: int = SEED) -> Machine:
     """Fit by Adam on the logarithmic loss. ``shift`` is added to the bias, for classes drawn at different rates.
 
-    Only the terms of a batch are moved in its step. Each is also drawn to zero, by ``prior`` over the number of its texts, so
-    that all of them have the same prior over an epoch, which many texts outweigh and few do not.
+    Only the terms of a batch are moved in its step. Each number of a term is then drawn to zero by ``prior`` standard errors of its
+    mean step, the errors being one over the root of the number of its texts: what moves it by chance is taken back, and most terms end
+    at zero; what its texts agree on stays.
     """
     n_pos, n_neg = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_pos or not n_neg:
@@ -88,7 +91,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, shift: float = 0.0, factors
     # Training goes on from the odds of each term, as far as they are more than chance.
     weights[:none] = start * np.log((p + 1 / n_pos) / (q + 1 / n_neg)) * signal / (signal + 81)
     vectors[none] = 0
-    pull = np.append(prior / (pos + neg), 0)
+    pull = np.append(prior / np.sqrt(pos + neg), 0)
     bias = np.array([np.log(n_pos / n_neg)])
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (bias, weights, vectors)]
     step = 0
@@ -112,16 +115,18 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, shift: float = 0.0, factors
                                               (np.zeros(1), pull[used], pull[used, None])):
                 m[at] += 0.1 * (g - m[at])
                 v[at] += 0.001 * (g * g - v[at])
-                x[at] = (x[at] - rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)) / (1 + rate * less)
+                moved = x[at] - rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)
+                x[at] = np.sign(moved) * np.maximum(np.abs(moved) - rate * less, 0)
     return Machine(place, float(bias[0] + shift), weights[:none].copy(), vectors[:none].copy())
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", most_texts: int = MOST_TEXTS, **options) -> Machine:
+          label_col: str = "toxic", most_texts: int = MOST_TEXTS, most_terms: int = MOST_TERMS, **options) -> Machine:
     """A machine from the labelled rows where ``learn`` (a condition on the id) holds.
 
     A document that is labelled more than once is toxic if one label says so; null labels do not count. At most about
-    ``most_texts`` texts of each class are drawn, by a hash of the id; the bias makes up for different rates.
+    ``most_texts`` texts of each class are drawn, by a hash of the id; the bias makes up for different rates. Texts with more than
+    ``most_terms`` terms among them are drawn once more, by a hash of their terms, so that the driver's memory has a bound.
     """
     known = labels.where(learn & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     sizes = {int(y): n for y, n in known.groupBy("_y").count().collect()}
@@ -136,10 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             found = [np.array(sorted({t for w in set(text.split()) for t in word_terms(w)}), np.int32) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "terms"])
 
-    rows = sample.mapInArrow(hashed, "y int, terms array<int>").toPandas()
-    rows = rows.assign(key=rows["terms"].map(lambda t: xxhash.xxh64_intdigest(np.asarray(t, np.int32).tobytes()))).sort_values(["key", "y"])
+    found = store(sample.mapInArrow(hashed, "y int, terms array<int>"), "toxic-terms")
+    total = found.agg(F.sum(F.size("terms"))).first()[0] or 0
+    if total > most_terms:
+        found = found.where(unit_interval("terms", F.lit(SEED)) < most_terms / total)
+    table = found.toArrow()
+    lists, y = table.column("terms").combine_chunks(), table.column("y").to_numpy().astype(np.float64)
+    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    texts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    order = sorted(range(len(y)), key=lambda i: (xxhash.xxh64_intdigest(texts[i].tobytes()), y[i]))
     shift = np.log(rates.get(0, 1.0) / rates.get(1, 1.0))
-    return fit([np.asarray(t, np.int64) for t in rows["terms"]], rows["y"].to_numpy(np.float64), shift, **options)
+    return fit([texts[i] for i in order], y[order], shift, **options)
 
 
 def predict(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
