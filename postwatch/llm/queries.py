@@ -80,6 +80,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and their likeness; bands and verified similarity are in ``minhash.near_duplicates``, which this leaves out."""
     return minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
