@@ -157,8 +157,8 @@ class ModelSearch(Estimator):
     """Best of a bounded number of candidates by balanced accuracy on a hold-out, by successive halving.
 
     All candidates are fitted, some side by side, on a small sample; the better third goes on to a sample of three times
-    the rows, and so on to all of them. Samples and hold-out follow from a hash of the features, so that the same rows give the same
-    model. ``row_budget`` bounds the rows that all fits together read, ``candidate_rows`` those of one fit: samples shrink until both
+    the rows, and so on to all of them. Samples and hold-out follow from a hash of the features, never from the clock or from how rows are
+    dealt to partitions. ``row_budget`` bounds the rows that all fits together read, ``candidate_rows`` those of one fit: samples shrink until both
     hold. ``tried`` lists (round, rows' share, candidate, score).
     """
 

@@ -165,13 +165,15 @@ def test_model_search_is_bounded(spark):
 
 
 def test_model_search_halves_and_repeats(spark):
-    """Every candidate is tried on the small sample, a third of them on more rows; two searches agree, on rows dealt otherwise, too."""
-    data = ring(spark)
-    first, second = models.build_model("tpot", {}), models.build_model("tpot", {})
-    chosen = [type(s.fit(d).stages[0]) for s, d in ((first, data), (second, data.repartition(7)))]
-    assert chosen[0] == chosen[1] and [t[:3] for t in first.tried] == [t[:3] for t in second.tried]
-    rounds = [[t for t in first.tried if t[0] == turn] for turn in (0, 1)]
-    assert sorted(t[2] for t in rounds[0]) == list(range(15)) and len(rounds[1]) == 5 and rounds[0][0][1] < rounds[1][0][1] == 1
+    """Every candidate is tried on the small sample, a third of them on more rows; a second search tries the same and finds the same."""
+    data = ring(spark).coalesce(2).persist()
+    first, second = models.build_model("tpot", {"population_size": 4}), models.build_model("tpot", {"population_size": 4})
+    for search in (first, second):
+        few = [(e.setMaxIter(5) if e.hasParam("maxIter") else e, p) for e, p in search.candidates()]
+        search.candidates = lambda few=few: few
+    chosen = [s.fit(data).stages[0] for s in (first, second)]
+    assert type(chosen[0]) is type(chosen[1]) and first.tried == second.tried
+    assert sorted(t[2] for t in first.tried) == list(range(4)) and first.shares(4, 100) == [(4, 1.0)] and first.shares(15, 100)[1] == (5, 1.0)
 
 
 def test_model_search_budgets():
