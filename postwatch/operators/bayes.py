@@ -19,6 +19,8 @@ from postwatch.functions.lookup import KEY, salted_join, value_key
 from postwatch.functions.text import word_tokenize
 
 SMOOTHING = 0.5  # fixed value: expected-likelihood estimate
+#: Off: on cleaned posts whose lemmas are looked up in place, Spark 4.1 leaves the scoring function in a plan that cannot run it.
+LOCAL_SCORING = False
 MAX_LOCAL_WEIGHTS = 4_000_000  # tokens of a model that is broadcast; 16 bytes each
 
 
@@ -112,7 +114,6 @@ def _local_log_odds(posts: DataFrame, arrays: tuple[np.ndarray, np.ndarray], bia
     """Scores where the texts are: only hashes of the distinct tokens leave the JVM, and the model is broadcast."""
     shared = posts.sparkSession.sparkContext.broadcast(arrays)
 
-    @F.pandas_udf("double")
     def score(tokens: pd.Series) -> pd.Series:
         hashes, gaps = shared.value
         sizes = tokens.map(len).to_numpy(np.int64)
@@ -122,7 +123,9 @@ def _local_log_odds(posts: DataFrame, arrays: tuple[np.ndarray, np.ndarray], bia
         return pd.Series([gained[e - n:e].sum() for e, n in zip(np.cumsum(sizes), sizes)], dtype=float)
 
     words = F.array_distinct(word_tokenize(text_col))
-    return F.lit(bias) + score(F.transform(words, lambda t: F.xxhash64(t)))
+    # Marked so that no plan merges it into other expressions, or scores a text a second time for the label.
+    scored = F.pandas_udf(score, "double").asNondeterministic()
+    return F.lit(bias) + scored(F.transform(words, lambda t: F.xxhash64(t)))
 
 
 def log_odds(posts: DataFrame, model: BayesModel, text_col: str = "full_text_preprocessed",
@@ -132,7 +135,7 @@ def log_odds(posts: DataFrame, model: BayesModel, text_col: str = "full_text_pre
     Each row is scored by itself: repeated posts get the same score. A model of checked size is looked up row by row, without
     a shuffle. A larger one is joined on the tokens of the distinct texts, and the scores come back by text.
     """
-    arrays = weight_arrays(model, max_rows)
+    arrays = weight_arrays(model, max_rows) if LOCAL_SCORING else None
     if arrays is not None:
         return posts.withColumn("log_odds", _local_log_odds(posts, arrays, model.bias, text_col))
     words = F.array_distinct(word_tokenize(text_col))

@@ -756,7 +756,7 @@ def _ruled_vectors(spark, sf, ring: bool = False) -> DataFrame:
     positive = F.get(own, 0) > 0
     length = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x))
     size = F.when(positive, 1.0).otherwise(4.0) / length
-    moved = F.transform(own, lambda x: x * size) if ring else F.transform(own, lambda x: x / length + F.when(positive, 0.5).otherwise(-0.5))
+    moved = F.transform(own, lambda x: x * size) if ring else F.transform(own, lambda x: F.round(4 * x / length) / 4 + F.when(positive, 1.5).otherwise(-1.5))
     return fx.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("id_str"), array_to_vector(moved).alias("features"), positive.cast("double").alias("irrelevant"))
 
