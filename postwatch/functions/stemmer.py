@@ -1,15 +1,17 @@
 """Porter stemming of keywords (M. F. Porter, "An algorithm for suffix stripping", 1980).
 
 With the widely used extensions: a few irregular forms, short words kept, ``ies``/``ied`` on
-four-letter words, ``y`` after a consonant only, ``bli`` and ``logi``/``fulli`` suffixes. Only keywords
-are stemmed, never the tokens of a post, so this runs on a dictionary column in a pandas UDF.
+four-letter words, ``y`` after a consonant only, ``bli`` and ``logi``/``fulli`` suffixes. A stem is one
+expression of built-in functions. Each step sees the word and its shape, a string of c and v for its letters;
+the shape of a word's beginning is the beginning of its shape.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Irregular forms.
 IRREGULAR = {
@@ -27,108 +29,114 @@ STEP2 = {
     "aliti": "al", "iviti": "ive", "biliti": "ble", "fulli": "ful", "logi": "log",
 }
 STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-STEP4 = ("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize").split()
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shape(word: Column) -> Column:
+    """c (consonant) or v (vowel) for each letter; y after a consonant is a vowel, so in a run of them every other one."""
+    marked = F.replace(F.regexp_replace(word, "(^|[aeiou])y", "$1Y"), F.lit("yy"), F.lit("yY"))
+    return F.regexp_replace(F.regexp_replace(marked, "[^aeiouy]", "c"), "[aeiouy]", "v")
+
+
+def _cut(text: Column, n: int | Column) -> Column:
+    return F.left(text, F.length(text) - n)
+
+
+def _measure(shape: Column) -> Column:
+    """How often a vowel is followed by a consonant."""
+    return F.length(shape) - F.length(F.replace(shape, F.lit("vc"), F.lit("v")))
+
+
+def _short_end(stem: Column, shape: Column) -> Column:
+    return (shape == "vc") | (shape.endswith("cvc") & ~F.right(stem, F.lit(1)).isin("w", "x", "y"))
+
 
+def _ending(word: Column, suffixes: Iterable[str]) -> Column:
+    """The longest of ``suffixes`` that the word ends in; empty if none."""
+    return F.regexp_extract(word, rf"(?:{'|'.join(suffixes)})\z", 0)
 
-def _shape(word: str) -> str:
-    """The word as a string of c (consonant) and v (vowel); y after a consonant is a vowel."""
-    shape = ""
-    for ch in word:
-        vowel = ch in "aeiou" or (ch == "y" and shape[-1:] == "c")
-        shape += "v" if vowel else "c"
-    return shape
 
+def _plural(w: Column, _: Column) -> Column:
+    return (F.when(w.endswith("ies"), F.when(F.length(w) == 4, _cut(w, 1)).otherwise(_cut(w, 2)))
+            .when(w.endswith("sses"), _cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss"), _cut(w, 1)).otherwise(w))
 
-def _measure(stem: str) -> int:
-    return _shape(stem).count("vc")
 
+def _mend(stem: Column, shape: Column) -> Column:
+    """A stem that lost ``ed`` or ``ing``: its e is put back, or its double consonant made single."""
+    last = F.right(stem, F.lit(1))
+    double = (F.length(stem) > 1) & (last == F.right(_cut(stem, 1), F.lit(1))) & shape.endswith("c")
+    return (F.when(stem.rlike(r"(?:at|bl|iz)\z"), F.concat(stem, F.lit("e")))
+            .when(double, F.when(last.isin("l", "s", "z"), stem).otherwise(_cut(stem, 1)))
+            .when((_measure(shape) == 1) & _short_end(stem, shape), F.concat(stem, F.lit("e"))).otherwise(stem))
 
-def _short_end(stem: str) -> bool:
-    shape = _shape(stem)
-    return shape == "vc" or (shape.endswith("cvc") and stem[-1] not in "wxy")
 
+def _past(w: Column, shape: Column) -> Column:
+    def without(n: int) -> Column:
+        return F.when(_cut(shape, n).contains("v"), _mend(_cut(w, n), _cut(shape, n))).otherwise(w)
 
-def _double_end(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
+    return (F.when(w.endswith("ied"), F.when(F.length(w) == 4, _cut(w, 1)).otherwise(_cut(w, 2)))
+            .when(w.endswith("eed"), F.when(_measure(_cut(shape, 3)) > 0, _cut(w, 1)).otherwise(w))
+            .when(w.endswith("ed"), without(2)).when(w.endswith("ing"), without(3)).otherwise(w))
 
 
-def _plural(w: str) -> str:
-    if w.endswith("ies"):
-        return w[:-1] if len(w) == 4 else w[:-2]
-    if w.endswith("sses"):
-        return w[:-2]
-    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+def _final_y(w: Column, shape: Column) -> Column:
+    turns = w.endswith("y") & (F.length(w) > 2) & _cut(shape, 1).endswith("c")
+    return F.when(turns, F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
 
 
-def _past(w: str) -> str:
-    if w.endswith("ied"):
-        return w[:-1] if len(w) == 4 else w[:-2]
-    if w.endswith("eed"):
-        return w[:-1] if _measure(w[:-3]) > 0 else w
-    for suffix in ("ed", "ing"):
-        if w.endswith(suffix):
-            stem = w[: -len(suffix)]
-            if "v" not in _shape(stem):
-                continue
-            if stem.endswith(("at", "bl", "iz")):
-                return stem + "e"
-            if _double_end(stem):
-                return stem if stem[-1] in "lsz" else stem[:-1]
-            return stem + "e" if _measure(stem) == 1 and _short_end(stem) else stem
-    return w
+def _adverb(w: Column, shape: Column) -> Column:
+    """``alli`` becomes ``al`` before the other suffixes are looked at, as one may show then (``rationalli``)."""
+    return F.when(w.endswith("alli") & (_measure(_cut(shape, 4)) > 0), _cut(w, 2)).otherwise(w)
 
 
-def _final_y(w: str) -> str:
-    stem = w[:-1]
-    return stem + "i" if w.endswith("y") and len(stem) > 1 and _shape(stem)[-1] == "c" else w
+def _replace(rules: dict[str, str]) -> Callable[[Column, Column], Column]:
+    table = F.create_map(*[F.lit(x) for rule in rules.items() for x in rule])
 
+    def step(w: Column, shape: Column) -> Column:
+        def swap(suffix: Column) -> Column:
+            kept = F.length(suffix) - F.when(suffix == "logi", 1).otherwise(0)
+            fits = (suffix != "") & (_measure(_cut(shape, kept)) > 0)
+            return F.when(fits, F.concat(_cut(w, F.length(suffix)), table[suffix])).otherwise(w)
 
-def _replace(w: str, rules: dict[str, str]) -> str:
-    for suffix, new in rules.items():
-        if w.endswith(suffix):
-            stem = w[: -len(suffix)]
-            kept = w[:-3] if suffix == "logi" else stem
-            return stem + new if _measure(kept) > 0 else w
-    return w
+        return _let(_ending(w, rules), swap)
 
+    return step
 
-def _step2(w: str) -> str:
-    while w.endswith("alli") and _measure(w[:-4]) > 0:
-        w = w[:-2]
-    return _replace(w, STEP2)
 
+def _step4(w: Column, shape: Column) -> Column:
+    def drop(suffix: Column) -> Column:
+        stem = _cut(w, F.length(suffix))
+        fits = (_measure(_cut(shape, F.length(suffix))) > 1) & ((suffix != "ion") | stem.rlike(r"[st]\z"))
+        return F.when(fits, stem).otherwise(w)
 
-def _step4(w: str) -> str:
-    for suffix in STEP4:
-        if w.endswith(suffix):
-            stem = w[: -len(suffix)]
-            fits = _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t")))
-            return stem if fits else w
-    return w
+    return _let(_ending(w, STEP4), drop)
 
 
-def _final_e(w: str) -> str:
-    if w.endswith("e"):
-        m = _measure(w[:-1])
-        if m > 1 or (m == 1 and not _short_end(w[:-1])):
-            return w[:-1]
-    return w
+def _final_e(w: Column, shape: Column) -> Column:
+    stem, cut = _cut(w, 1), _cut(shape, 1)
+    drops = w.endswith("e") & ((_measure(cut) > 1) | ((_measure(cut) == 1) & ~_short_end(stem, cut)))
+    return F.when(drops, stem).otherwise(w)
 
 
-def _final_l(w: str) -> str:
-    return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
+def _final_l(w: Column, shape: Column) -> Column:
+    return F.when(w.endswith("ll") & (_measure(_cut(shape, 1)) > 1), _cut(w, 1)).otherwise(w)
 
 
-def porter_stem(word: str) -> str:
-    w = word.lower()
-    if w in IRREGULAR:
-        return IRREGULAR[w]
-    if len(w) <= 2:
-        return w
-    w = _step2(_final_y(_past(_plural(w))))
-    return _final_l(_final_e(_step4(_replace(w, STEP3))))
+def _taken(step: Callable[[Column, Column], Column], word: Column) -> Column:
+    return _let(word, lambda w: _let(_shape(w), lambda shape: step(w, shape)))
 
 
-@F.pandas_udf(T.StringType())
-def porter_stem_udf(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: None if w is None else porter_stem(w))
+def porter_stem(word: Column | str) -> Column:
+    """The stem of a word; null for null."""
+    low = F.lower(F.col(word) if isinstance(word, str) else word)
+    steps = (_plural, _past, _final_y, _adverb, _replace(STEP2), _replace(STEP3), _step4, _final_e, _final_l)
+    stem = low
+    for step in steps:
+        stem = _taken(step, stem)
+    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
+    return F.coalesce(irregular[low], F.when(F.length(low) <= 2, low).otherwise(stem))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postwatch.functions.stemmer import porter_stem_udf
+from postwatch.functions.stemmer import porter_stem
 
 # Keyword types of the term/unit sheet, by kind.
 KIND_TYPES = {"term": ["structure_term", "person_term"], "unit": ["structure_unit", "person_unit"]}
@@ -60,7 +60,7 @@ def keyword_dedupe(words: DataFrame) -> DataFrame:
 
 
 def stem_keywords(words: DataFrame) -> DataFrame:
-    return words.withColumn("stem", porter_stem_udf("keyword"))
+    return words.withColumn("stem", porter_stem("keyword"))
 
 
 def build_keywords(triggers: DataFrame, terms_units: DataFrame) -> DataFrame:

@@ -25,6 +25,57 @@ def _tokens(source: str, text: str, *keep: str) -> str:
             f"FROM (SELECT {cols}, {_split(text)} AS l FROM {source})")
 
 
+def _stems(words: str) -> str:
+    """Porter stems of ``words`` (keyword), one subquery a step; ``s`` is a word's letters as v (vowel) and c (consonant)."""
+    shape = r"regexp_replace(regexp_replace(replace(regexp_replace(w, '(^|[aeiou])y', '\1Y', 'g'), 'yy', 'yY'), '[^aeiouy]', 'c', 'g'), '[aeiouy]', 'v', 'g')"
+
+    def m(s: str) -> str:
+        return f"len(string_split({s}, 'vc')) - 1"
+
+    def short(w: str, s: str) -> str:
+        return f"({s} = 'vc' OR ({s} LIKE '%cvc' AND right({w}, 1) NOT IN ('w', 'x', 'y')))"
+
+    def mend(n: int) -> str:
+        w, s = f"left(w, -{n})", f"left(s, -{n})"
+        return f"""CASE WHEN {s} NOT LIKE '%v%' THEN w WHEN regexp_matches({w}, '(at|bl|iz)$') THEN {w} || 'e'
+            WHEN {s} LIKE '%c' AND length({w}) > 1 AND right({w}, 1) = left(right({w}, 2), 1)
+                THEN CASE WHEN right({w}, 1) IN ('l', 's', 'z') THEN {w} ELSE left(w, -{n + 1}) END
+            WHEN {m(s)} = 1 AND {short(w, s)} THEN {w} || 'e' ELSE {w} END"""
+
+    def swap(rules: str) -> str:
+        pairs = [r.split(":") for r in rules.split()]
+        return "CASE " + " ".join(
+            f"WHEN w LIKE '%{old}' THEN CASE WHEN {m(f'left(s, -{3 if old == 'logi' else len(old)})')} > 0 THEN left(w, -{len(old)}) || '{new}' ELSE w END"
+            for old, new in pairs) + " ELSE w END"
+
+    fourth = "CASE " + " ".join(
+        f"WHEN w LIKE '%{x}' THEN CASE WHEN {m(f'left(s, -{len(x)})')} > 1 {also} THEN left(w, -{len(x)}) ELSE w END"
+        for x in "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+        for also in ["AND regexp_matches(w, '[st]ion$')" if x == "ion" else ""]) + " ELSE w END"
+    steps = [
+        """CASE WHEN w LIKE '%ies' THEN CASE WHEN length(w) = 4 THEN left(w, -1) ELSE left(w, -2) END WHEN w LIKE '%sses' THEN left(w, -2)
+            WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, -1) ELSE w END""",
+        f"""CASE WHEN w LIKE '%ied' THEN CASE WHEN length(w) = 4 THEN left(w, -1) ELSE left(w, -2) END
+            WHEN w LIKE '%eed' THEN CASE WHEN {m('left(s, -3)')} > 0 THEN left(w, -1) ELSE w END
+            WHEN w LIKE '%ed' THEN {mend(2)} WHEN w LIKE '%ing' THEN {mend(3)} ELSE w END""",
+        "CASE WHEN w LIKE '%y' AND length(w) > 2 AND left(s, -1) LIKE '%c' THEN left(w, -1) || 'i' ELSE w END",
+        swap("alli:al"),
+        swap("ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate "
+             "alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble fulli:ful logi:log"),
+        swap("icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"),
+        fourth,
+        f"CASE WHEN w LIKE '%e' AND ({m('left(s, -1)')} > 1 OR ({m('left(s, -1)')} = 1 AND NOT {short('left(w, -1)', 'left(s, -1)')})) THEN left(w, -1) ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {m('left(s, -1)')} > 1 THEN left(w, -1) ELSE w END",
+    ]
+    sql = f"SELECT keyword, lower(keyword) AS w FROM ({words})"
+    for step in steps:
+        sql = f"SELECT keyword, {step} AS w FROM (SELECT keyword, w, {shape} AS s FROM ({sql}))"
+    return f"""SELECT keyword, CASE WHEN lower(keyword) IN ('sky', 'news', 'howe', 'proceed', 'exceed', 'succeed', 'inning', 'outing', 'canning') THEN lower(keyword)
+        WHEN lower(keyword) = 'skies' THEN 'sky' WHEN lower(keyword) IN ('dying', 'lying', 'tying') THEN left(lower(keyword), 1) || 'ie'
+        WHEN lower(keyword) IN ('innings', 'outings', 'cannings') THEN left(lower(keyword), -1)
+        WHEN length(keyword) <= 2 THEN lower(keyword) ELSE w END AS stem FROM ({sql})"""
+
+
 _WAYS = "CROSS JOIN (VALUES ('literal'), ('join')) AS w(way)"
 
 _CTES = {
@@ -333,6 +384,7 @@ _QUERIES = {
     "append_matches": "SELECT id_str, count(*) AS n_copies FROM pairs GROUP BY id_str",
     "combine_posts": "SELECT id_str, lang, irrelevant, 'labelled' AS part FROM marked WHERE irrelevant IN (0, 1) AND lang = 'en' "
                      "UNION ALL SELECT id_str, 'en' AS lang, CAST(NULL AS DOUBLE) AS irrelevant, 'raw' AS part FROM pairs",
+    "stem_keywords": _stems("SELECT DISTINCT tok AS keyword FROM toks"),
     "split_tokens": "SELECT id_str, CAST(pos - 1 AS INT) AS pos, tok AS token FROM toks",
     "strip_emoji": "SELECT id_str, replace(full_text, ' ', '  ') AS text FROM docs",
     "squeeze_repeats": """SELECT tok AS token, string_agg(c, '' ORDER BY i) || CASE WHEN max(last) = max(last1) AND max(last) = max(last2) THEN ''

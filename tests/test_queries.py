@@ -15,7 +15,7 @@ FAST = [
     "strip_noise", "translate_posts", "preprocess_text", "find_offset", "parse_object_literal", "naive_bayes", "predict",
     "evaluate", "repeated_match", "repeated_search", "repeated_lemmas", "repeated_translation", "repeated_places", "repeated_bayes",
     "rerun_with_fewer_keywords", "day_without_hits", "labelled_languages", "combine_posts", "load_model", "random_forest", "monitor_job", "annotation_spans", "token_labels", "merge_runs", "build_keywords", "mean_pool", "monitor_posts",
-    "keyword_match_many", "extract_places_many", "annotation_occurrences", "translate_remembered", "cross_validate", "train_default", "train_tagger",
+    "keyword_match_many", "extract_places_many", "annotation_occurrences", "translate_remembered", "cross_validate", "train_default", "train_tagger", "stem_keywords",
 ]
 
 

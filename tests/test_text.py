@@ -1,13 +1,15 @@
+import random
 import re
 import string
 
+import plain_stemmer
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from postwatch.functions import text as tx
-from postwatch.functions.stemmer import porter_stem
+from postwatch.functions.stemmer import IRREGULAR, STEP2, STEP3, STEP4, porter_stem
 
 
 def reference_clean(text):
@@ -86,7 +88,7 @@ def test_first_clean_equals_token_definition(spark, texts):
     assert twice.where("a <> b").count() == 0
 
 
-@pytest.mark.parametrize("word, stem", [
+STEMS = [
     ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"),
     ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"),
     ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"),
@@ -94,6 +96,21 @@ def test_first_clean_equals_token_definition(spark, texts):
     ("hopeful", "hope"), ("revival", "reviv"), ("adoption", "adopt"), ("cease", "ceas"), ("controll", "control"),
     ("displaced", "displac"), ("evacuated", "evacu"), ("evacuees", "evacue"), ("homeless", "homeless"),
     ("is", "is"), ("Displaced", "displac"), ("enjoy", "enjoy"), ("say", "say"), ("died", "die"), ("news", "news"),
-])
-def test_porter(word, stem):
-    assert porter_stem(word) == stem
+]
+
+
+def test_porter(spark):
+    words = spark.createDataFrame(STEMS, "word STRING, stem STRING")
+    assert words.where(porter_stem("word") != F.col("stem")).count() == 0 and words.count() == len(STEMS)
+
+
+def test_porter_against_letter_by_letter(spark):
+    """Every suffix behind stems of all shapes, runs of y, double letters, short and empty words, and words that are no English."""
+    rng = random.Random(3)
+    ends = ["", "s", "sses", "ies", "ied", "eed", "ed", "ing", "y", "e", "ll", *STEP2, *STEP3, *STEP4]
+    made = {"".join(rng.choice("aeiouybstlwxzry") for _ in range(rng.randint(0, 7))) + rng.choice(ends) for _ in range(8_000)}
+    made |= {stem + x + y for stem in ("b", "rezb") for x in ends for y in ends}
+    words = sorted(made | {"", "a", "yyyy", "syyyed", "ayyying", "\u00dcber", "nai\u0308ve", "x\ned", "s-ing", "42ed", "\U0001f600ing"} | set(IRREGULAR) | {w.upper() for w in IRREGULAR})
+    got = {r["w"]: r["s"] for r in spark.createDataFrame([(w,) for w in [*words, None]], "w STRING").select("w", porter_stem("w").alias("s")).collect()}
+    assert got.pop(None) is None
+    assert got == {w: plain_stemmer.porter_stem(w) for w in words}
