@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwatch.functions.lookup import salted_join, value_key
 from postwatch.llm.common import store
 
 #: Licences by their published ids, and the names they go by.
@@ -206,11 +207,13 @@ def own_licences(files: DataFrame, templates: Mapping[str, tuple[str, ...]] | No
     frequencies = store(document_frequencies(files), "frequencies")
     anchors = template_anchors(spark, default_templates() if templates is None else templates, frequencies, rows, least)
     spans = store(near_spans(files, anchors, least, header_lines), "spans")
-    # Statements repeat: the terms that templates lack are weighed once for each different list of them.
-    lists = spans.select("rest").where(F.size("rest") > 0).distinct()
-    weighed = lists.select("rest", F.explode("rest").alias("term")).join(frequencies, "term", "left")
-    spare = weighed.groupBy("rest").agg(F.sum(inverse_frequency(F.col("df"), rows) ** 2).alias("spare"))
-    near = spans.join(spare, "rest", "left").withColumn(
+    # Statements repeat: the terms that templates lack are weighed once for each different list of them, and what a list weighs goes
+    # back by a salted join, as one statement, or none such term, may be that of a third of all spans.
+    listed = spans.withColumn("list", value_key("rest"))
+    lists = listed.where(F.size("rest") > 0).groupBy("list").agg(F.first("rest").alias("rest"))
+    weighed = lists.select("list", F.explode("rest").alias("term")).join(frequencies, "term", "left")
+    spare = store(weighed.groupBy("list").agg(F.sum(inverse_frequency(F.col("df"), rows) ** 2).alias("spare")), "lists")
+    near = salted_join(listed.drop("rest"), spare, "list", spread_by="key", how="left").withColumn(
         "cosine", F.round(F.col("dot") / F.sqrt(F.col("shared") + F.coalesce("spare", F.lit(0.0))), 9)).where(F.col("cosine") >= least)
     best = near.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), (-F.col("size")).alias("s"), "at", "licence")).alias("b"))
     return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), F.col("b.at").alias("at"))

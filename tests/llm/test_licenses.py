@@ -147,3 +147,13 @@ def test_needed_terms_lose_nothing(least):
         unit = {f"t{i}": w / norm for i, w in enumerate(weights)}
         needed = licenses.needed_terms(unit, least)
         assert math.sqrt(sum(w * w for t, w in unit.items() if t not in needed)) < least
+
+
+def test_many_lists(spark, monkeypatch):
+    """What lists of terms weigh comes to the spans by a salted join beyond the broadcast bound, with equal results."""
+    from postwatch.functions import lookup
+
+    files = spark.createDataFrame([(i, "x", f"word{i % 3} and {t}") for i, t in enumerate(list(STATED) * 3)], SCHEMA)
+    small = sorted(map(tuple, licenses.own_licences(files).collect()))
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, licenses.own_licences(files).collect())) == small and len(small) > 30
