@@ -50,3 +50,10 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry_points.entry(spark).limit(1).count() == 1
+
+
+def test_stream_reads_a_table_of_several_files(spark, sf, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    of = lambda path: sorted(map(str, entry_points.queries()["monitor_stream"](spark, path).collect()))
+    assert of(str(tmp_path)) == of(sf) != []
