@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postwatch.operators import keywords as kw
-from postwatch.operators import matching as m
+from postwatch.operators import entities, matching as m
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +105,17 @@ def test_keyword_types(spark, words):
     typed = words.withColumn("lang", F.lit("en")).withColumn("keyword_type", F.upper("kind"))
     hits = kw.keyword_type_lookup(m.explode_hits(m.keyword_match(posts, words)), typed)
     assert {(r["keyword"], r["keyword_type"]) for r in hits.collect()} == {("displaced", "TRIGGER"), ("home", "TERM")}
+
+
+def test_filters_are_no_part_of_the_plan(spark):
+    """Filters of many names and stems come as a subquery: as literals they were printed and copied with every step of a plan."""
+    posts = spark.createDataFrame([("1", "n1 n2 n30000 x"), ("2", None)], "id_str STRING, full_text STRING")
+    names = spark.range(30_000).select(F.concat(F.lit("n"), "id").alias("place"))
+    placed = entities.extract_places(posts, names, max_literal=0)
+    assert len(placed._jdf.queryExecution().toString()) < 100_000
+    assert {r["id_str"]: r["LOCATION"] for r in placed.collect()} == {"1": ["n1", "n2"], "2": []}
+    many = spark.range(5_000).select(F.concat_ws(" ", F.lit("a"), F.concat("id", F.lit("tion"))).alias("full_text"), F.col("id").cast("string").alias("id_str"))
+    words = spark.createDataFrame([("trigger", "tions", 0, "tion")], "kind STRING, keyword STRING, pos INT, stem STRING")
+    tagged = m.keyword_match_join(many, words)
+    assert len(tagged._jdf.queryExecution().toString()) < 50_000
+    assert tagged.where(F.size("trigger") == 1).count() == 5_000
