@@ -209,3 +209,26 @@ def test_nth_occurrence(spark):
     assert got == [([(0, 3, "B-fig"), (6, 9, "I-fig"), (10, 13, "B-term")], 1), ([(10, 13, "B-fig"), (6, 9, "I-fig"), (0, 3, "B-term")], 1)]
     same = spans.annotation_spans(annotations).collect()
     assert [len({(s["start"], s["end"]) for s in r["entities"]}) for r in same] == [1, 1]
+
+
+def test_chain_sums_of_scores_far_apart():
+    """Shares that doubles cannot hold are summed as logarithms; a training pass takes no more than a few microseconds a token."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sizes, k = np.array([3, 5]), 3
+    scores, transitions = 2000 * rng.normal(size=(8, k)), 2000 * rng.normal(size=(k + 1, k))
+    gold = rng.integers(0, k, 8)
+    loss, by_token, by_pair = tagger.expected_counts(scores, sizes, transitions, gold)
+    want = tagger._expected_counts_by_logs(scores, sizes, transitions, gold)
+    assert loss == pytest.approx(want[0]) and np.allclose(by_token, want[1]) and np.allclose(by_pair, want[2]) and np.isfinite(loss)
+    sizes, k = np.full(400, 128), 5
+    scores, transitions, gold = rng.normal(size=(128 * 400, k)), rng.normal(size=(k + 1, k)), rng.integers(0, k, 128 * 400)
+    began = time.process_time()
+    found = tagger.expected_counts(scores, sizes, transitions, gold)
+    fast, began = time.process_time() - began, time.process_time()
+    want = tagger._expected_counts_by_logs(scores, sizes, transitions, gold)
+    assert fast < 0.7 * (time.process_time() - began)
+    assert found[0] == pytest.approx(want[0]) and np.allclose(found[1], want[1]) and np.allclose(found[2], want[2])
