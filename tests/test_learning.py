@@ -109,6 +109,18 @@ def test_mean_pool(spark, embedding, block):
     assert got == {"1": pytest.approx([5 / 3, 8 / 3]), "2": [0, 0], "3": [0, 0], "4": [3, 4]}
 
 
+def test_mean_pool_sums_in_hash_tables(spark, embedding, monkeypatch):
+    """Sums are no objects, which Spark would sort with the vector of every token; frequent tokens are broadcast, rare ones joined."""
+    posts = spark.createDataFrame([(str(i), ["a"] * 9 + ["b"] * (i % 3) + ["zz"]) for i in range(300)], "id_str STRING, t ARRAY<STRING>")
+    for block, head in ((1 << 20, 1), (4, 8), (4, 1 << 20), (4, 1)):
+        monkeypatch.setattr(pooling, "HEAD_BYTES", head)
+        pooled = pooling.mean_pool(posts, embedding, "t", broadcast_bytes=block)
+        got = {r["id_str"]: r["features"] for r in pooled.collect()}
+        assert got == {str(i): pytest.approx([(9 + 3 * b) / (9 + b), (18 + 4 * b) / (9 + b)]) for i in range(300) for b in [i % 3]}
+        plan = pooled._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
 def test_dense_features_with_flag(spark, embedding):
     posts = spark.createDataFrame([("1", "a", True), ("2", "", None)], "id_str STRING, full_text_preprocessed STRING, verified BOOLEAN")
     got = {r["id_str"]: list(r["features"]) for r in pooling.dense_features(posts, embedding, verified_col="verified").collect()}
