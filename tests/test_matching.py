@@ -119,3 +119,14 @@ def test_filters_are_no_part_of_the_plan(spark):
     tagged = m.keyword_match_join(many, words)
     assert len(tagged._jdf.queryExecution().toString()) < 50_000
     assert tagged.where(F.size("trigger") == 1).count() == 5_000
+
+
+def test_large_tables_are_not_broadcast(spark):
+    """The driver holds a table that is broadcast several times over; 200,000 rows took more than it has beside others."""
+    from postwatch.functions.lookup import KEY, salted_join
+
+    facts = spark.createDataFrame([("k", "t7"), ("k", "none")], f"{KEY} STRING, token STRING")
+    for n, hinted in ((200_000, False), (1_000, True)):
+        joined = salted_join(facts, spark.range(n).select(F.concat(F.lit("t"), "id").alias("token"), "id"), "token")
+        assert ("strategy=broadcast" in joined._jdf.queryExecution().analyzed().toString()) == hinted
+        assert [r["id"] for r in joined.collect()] == [7]
