@@ -73,6 +73,20 @@ def test_spans(spark):
     assert spans.drop_incomplete_annotations(annotated(spark)).count() == 3
 
 
+def test_nth_spans_of_listed_words(spark):
+    """Words one after the other and from the end, an empty word, a missing one, one that overlaps itself; the lists are read once."""
+    rows = spark.createDataFrame([
+        (1, "aaa b aa", "['1', '2', '3', '4', '5', '6']", "['aa', 'b', 'aa', null, 'aa', '']", False),
+        (2, "aaa b aa", "['1', '2', '3', '4']", "['aa', 'zz', 'aa', 'aa']", True),
+        (3, "é\U0001F600é", "['1', '2']", "['é', 'é']", True), (4, "x", "nothing", "['x']", True),
+    ], "id INT, full_text STRING, `NER-Tags` STRING, `NER-Words` STRING, rfind BOOLEAN")
+    placed = spans.annotation_spans(rows, "id", nth=True)
+    got = {r["id"]: ([(s["start"], s["end"], s["tag"]) for s in r["entities"]], r["n_missing"]) for r in placed.collect()}
+    assert got == {1: ([(0, 2, "1"), (4, 5, "2"), (6, 8, "3"), (0, 0, "6")], 2), 2: ([(6, 8, "1"), (1, 3, "3")], 2), 3: ([(2, 3, "1"), (0, 1, "2")], 0)}
+    plan = placed.select("id", F.inline("entities"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2
+
+
 def test_token_table(spark):
     rows = spans.token_table(spans.annotation_spans(annotated(spark), "id"), "id").where("id = 1").orderBy("pos").collect()
     assert [(r["token"], r["label"], r["start"], r["previous"]) for r in rows] == [
