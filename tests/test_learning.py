@@ -55,6 +55,21 @@ def random_rows(n, seed=3):
     return [(rng.random() < .4, rng.sample("abcdefgh", rng.randint(0, 5))) for _ in range(n)]
 
 
+def test_bayes_weights_above_the_broadcast_bound(spark, monkeypatch):
+    """Weights of frequent tokens are broadcast, rare ones joined, and none is repeated for salts; the scores stay."""
+    rng = random.Random(5)
+    rows = [(i % 2, rng.sample(["often", "b", *[f"w{j}" for j in range(40)]], 6) + ["often"] * (i % 3)) for i in range(60)]
+    model = bayes.fit_bayes(docs(spark, rows))
+    probe = docs(spark, [*rows, (0, []), (1, ["unknown"])])
+    scores = lambda df: {r["id_str"]: r["log_odds"] for r in df.collect()}
+    want = scores(bayes.log_odds(probe, model))
+    monkeypatch.setattr(bayes, "MAX_BROADCAST_BYTES", 5 * 128)
+    monkeypatch.setattr("postwatch.functions.lookup.MAX_BROADCAST_BYTES", 5 * 128)
+    split = bayes.log_odds(probe, model)
+    assert "_salt" not in split._jdf.queryExecution().optimizedPlan().toString()
+    assert len(want) == 62 and scores(split) == pytest.approx(want)
+
+
 def test_bayes_folds_equal_brute_force(spark):
     rows = [(int(y), ws) for y, ws in random_rows(60)]
     folded = splits.stratified_folds(docs(spark, rows)).persist()
