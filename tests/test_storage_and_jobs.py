@@ -219,3 +219,13 @@ def test_stream_equals_batch_and_can_continue(spark, tmp_path):
     batch = spark.createDataFrame([("1", "flood displaced"), ("3", "party displaced")], "id_str STRING, full_text STRING")
     same = predict_bayes(preprocess_text(keyword_match(batch, words)), model)
     assert {r["id_str"]: r["predicted_irrelevant"] for r in same.collect()} == got
+
+
+def test_sheets_are_written_compressed(spark, sf, tmp_path, monkeypatch):
+    """A sheet has a row for every word of the posts: its files are compressed, and are read as before."""
+    from postwatch.plans import queries
+
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    rows = queries.read_keyword_sheets(spark, sf)
+    assert rows.count() == 2 * queries.fx.sheet(spark, sf).count()
+    assert {p.suffix for p in tmp_path.glob("sheets/*/part-*")} == {".gz"}
