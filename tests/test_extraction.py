@@ -21,6 +21,12 @@ def test_places(spark, limit):
     assert got == [["New York City", "City Hall", "York", "Paris"], [], [], [], ["York"], ["York", "York"]]
 
 
+def test_words_are_split_once_for_places(spark):
+    gazetteer = spark.createDataFrame([("Paris",), ("New York",)], "place STRING")
+    plan = e.extract_places(posts_of(spark, "Paris"), gazetteer).select("LOCATION")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2  # white space, and the words' ends
+
+
 def test_no_gazetteer(spark):
     none = spark.createDataFrame([], "place STRING")
     assert e.extract_places(posts_of(spark, "Paris"), none).first()["LOCATION"] == []
