@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from postwatch.functions import text as tx
 from postwatch.functions.lookup import KEY, MAX_LITERAL_ROWS, hashed_literal, map_tokens, salted_join, small_rows, value_key
-from postwatch.session import scratch_path
+from postwatch.session import scratch_path, stored
 
 # Noun suffixes and what replaces them when looking for the base form, in this order
 # (the published WordNet scheme).
@@ -50,8 +51,18 @@ def lemma_in_place(token: Column, irregular: Callable[[Column], Column], is_noun
 
     rounds = F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1)))
     ruled = F.aggregate(rounds, start, lambda state, _: F.when(state["over"], state).otherwise(go_on(state)), lambda state: F.coalesce(state["noun"], token))
-    has_rule = F.endswith(token, F.lit("s")) | F.endswith(token, F.lit("men"))
-    return F.coalesce(irregular(token), F.when(has_rule, ruled).otherwise(token))
+    ends = lambda *endings: reduce(lambda a, b: a | b, [F.endswith(token, F.lit(e)) for e in endings])
+    return F.coalesce(irregular(token), F.when(ends("ss", "ses", "mens"), ruled).when(ends("s", "men"), _after_one_round(token, is_noun)).otherwise(token))
+
+
+def _after_one_round(token: Column, is_noun: Callable[[Column], Column]) -> Column:
+    """``lemma_in_place`` of a token to whose forms no rule applies, as few tokens have others: two forms at most, the shorter one first."""
+    ends = lambda ending: F.endswith(token, F.lit(ending))
+    cut = lambda n: F.left(token, F.length(token) - F.lit(n))
+    longer = {k: v for k, v in NOUN_SUFFIXES.items() if k not in ("s", "ses")}
+    other = reduce(lambda form, rule: F.when(ends(rule[0]), F.concat(cut(len(rule[0])), F.lit(rule[1]))).otherwise(form), longer.items(), F.lit(None).cast("string"))
+    noun = lambda form: F.when((form != "") & is_noun(form), form)
+    return F.coalesce(noun(other), F.when(ends("s"), noun(cut(1))), token)
 
 
 def lemma_table(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -96,7 +107,8 @@ def lemmatize(posts: DataFrame, tokens_col: str, lexicon: DataFrame, out_col: st
                 listed[r["token"]] = min(r["lemma"], listed.get(r["token"], r["lemma"]))
         irregular, nouns = hashed_literal(listed), hashed_literal({r["lemma"]: "x" for r in rows})
         return posts.withColumn(out_col, F.transform(tokens_col, lambda t: lemma_in_place(t, irregular, lambda f: nouns(f).isNotNull())))
-    tokens = posts.select(F.explode(F.array_distinct(tokens_col)).alias("token")).distinct()
+    # Read for the listed and for the regular forms.
+    tokens = stored(posts.select(F.explode(F.array_distinct(tokens_col)).alias("token")).distinct(), "tokens")
     path = scratch_path(posts.sparkSession, "lemmas")
     lemma_table(tokens, lexicon).write.parquet(path)
     changed = posts.sparkSession.read.schema("token STRING, value STRING").parquet(path)

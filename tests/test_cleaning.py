@@ -22,6 +22,26 @@ def test_lemmas(spark, lexicon, limit):
     assert done == {"1": list(FORMS.values()), "2": [], "3": ["man", "x", "man"]}
 
 
+def test_distinct_tokens_are_read_once_for_a_large_lexicon(spark, monkeypatch):
+    """The posts are searched for distinct tokens in one pass, which is stored."""
+    names, store = [], c.stored
+    monkeypatch.setattr(c, "stored", lambda df, name: names.append(name) or store(df, name))
+    lexicon = spark.createDataFrame([("box", "box"), ("geese", "goose")], "token STRING, lemma STRING")
+    posts = spark.createDataFrame([(["boxes", "geese", "x"],)], "toks ARRAY<STRING>")
+    assert c.lemmatize(posts, "toks", lexicon, "o", max_literal=0).first()["o"] == ["box", "goose", "x"]
+    assert names == ["tokens"]
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_lemmas_with_one_and_with_several_rounds(spark, limit):
+    lexicon = spark.createDataFrame([(w, w) for w in ("box", "boxe", "wolf", "city", "man", "men", "glas", "glass", "s", "bus")] + [("geese", "goose")], "token STRING, lemma STRING")
+    want = {"boxes": "box", "wolves": "wolf", "cities": "city", "men": "man", "mens": "men", "glasses": "glass", "bus": "bus", "buses": "bus", "s": "s",
+            "geese": "goose", "ss": "s", "knowns": "knowns", "glass": "glas", "": "", "ies": "ies", "box": "box"}
+    posts = spark.createDataFrame([(list(want),)], "toks ARRAY<STRING>")
+    got = c.lemmatize(posts, "toks", lexicon, "o", max_literal=limit).first()["o"]
+    assert dict(zip(want, got)) == want
+
+
 def test_map_tokens_can_drop_unknown(spark):
     posts = spark.createDataFrame([("1", ["a", "b"])], "id_str STRING, toks ARRAY<STRING>")
     words = spark.createDataFrame([("a", "A")], "token STRING, value STRING")
