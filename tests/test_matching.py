@@ -130,3 +130,12 @@ def test_large_tables_are_not_broadcast(spark):
         joined = salted_join(facts, spark.range(n).select(F.concat(F.lit("t"), "id").alias("token"), "id"), "token")
         assert ("strategy=broadcast" in joined._jdf.queryExecution().analyzed().toString()) == hinted
         assert [r["id"] for r in joined.collect()] == [7]
+
+
+def test_substrings_are_sifted_once(spark):
+    """The generator asks for no test of the size of what was sifted, which would sift a second time."""
+    tokens = spark.createDataFrame([("abcdef",), ("xyz",), ("",)], "token STRING")
+    index = spark.createDataFrame([("bcde", "bcde"), ("yz", "yz")], "stem STRING, anchor STRING")
+    found = m.stem_candidates(tokens, index)
+    assert sorted(map(tuple, found.collect())) == [("abcdef", "bcde"), ("xyz", "yz")]
+    assert "(size(" not in found._jdf.queryExecution().optimizedPlan().toString()
