@@ -105,7 +105,9 @@ def lemmatize(posts: DataFrame, tokens_col: str, lexicon: DataFrame, out_col: st
         for r in rows:
             if r["token"] != r["lemma"]:
                 listed[r["token"]] = min(r["lemma"], listed.get(r["token"], r["lemma"]))
-        irregular, nouns = hashed_literal(listed), hashed_literal({r["lemma"]: "x" for r in rows})
+        lemma_of, nouns = hashed_literal(listed), hashed_literal({r["lemma"]: "x" for r in rows})
+        # Few tokens are irregular: one test against a set spares the others the look-up.
+        irregular = lambda t: F.when(t.isin(list(listed)), lemma_of(t))
         return posts.withColumn(out_col, F.transform(tokens_col, lambda t: lemma_in_place(t, irregular, lambda f: nouns(f).isNotNull())))
     # Read for the listed and for the regular forms.
     tokens = stored(posts.select(F.explode(F.array_distinct(tokens_col)).alias("token")).distinct(), "tokens")
