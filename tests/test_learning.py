@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -203,6 +204,60 @@ def test_model_search_halves_and_repeats(spark):
     assert sorted(t[2] for t in first.tried) == list(range(4)) and first.shares(4, 100) == [(4, 1.0)] and first.shares(15, 100)[1] == (5, 1.0)
 
 
+class Watched(Estimator):
+    """Fits another estimator and notes the tasks and rows of what it was given."""
+
+    def __init__(self, inner, seen):
+        super().__init__()
+        self.inner, self.seen = inner, seen
+
+    def _fit(self, dataset):
+        self.seen.append((dataset.rdd.getNumPartitions(), dataset.count()))
+        return self.inner.fit(dataset)
+
+
+def test_model_search_deals_samples_by_rows(spark):
+    """A job of a fit has as many tasks as its sample needs, however many files hold the rows; the last fit reads all rows as they are."""
+    data, seen = ring(spark).repartition(24).persist(), []
+    search = models.build_model("tpot", {"population_size": 4})
+    search.candidates = lambda: [(Watched(models.RandomForestClassifier(labelCol="irrelevant", seed=s, numTrees=2), seen), {}) for s in range(4)]
+    assert accuracy(search.fit(data).transform(data)) > .7
+    assert len(seen) == 5 and {tasks for tasks, _ in seen[:4]} == {2} and len({n for _, n in seen[:4]}) == 1
+    assert 120 < seen[0][1] < 190 and seen[4] == (24, 200)
+
+
+def test_model_search_scores_a_round_in_one_pass(spark):
+    """As the evaluator scores each model, in as many jobs for six models as for one."""
+    data = ring(spark)
+    search = models.ModelSearch("irrelevant", "features")
+    few = [e.copy({e.maxIter: 5, **p}) if e.hasParam("maxIter") else e.copy(p) for e, p in search.candidates()[:6]]
+    fitted = [e.fit(data) for e in few]
+    each = [models.BalancedAccuracy(labelCol="irrelevant").evaluate(m.transform(data)) for m in fitted]
+    jobs, got = [], []
+    for group, some in (("one", fitted[:1]), ("six", fitted)):
+        spark.sparkContext.setJobGroup(f"scores of {group}", "")
+        got.append(search.scores(some, data))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"scores of {group}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [each[:1], each] and len(set(each)) > 2 and jobs[0] == jobs[1]
+    assert search.scores(fitted, data.limit(0)) == [0.0] * 6
+
+
+@pytest.mark.parametrize("ring_rule", [False, True])
+def test_ruled_vectors_sum_a_row_once(spark, tmp_path, ring_rule):
+    """The length of a vector is not summed again for each of its components."""
+    from postwatch.plans import queries
+
+    rows = [(1, [3.0, -4.0], 0), (2, [-6.0, 8.0], 1), (3, None, 2), (None, [1.0, None], 3), (5, [], 4)]
+    spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").write.parquet(f"{tmp_path}/embeddings.parquet")
+    frame = queries._ruled_vectors(spark, str(tmp_path), ring_rule)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan[plan.index("transform("):plan.index("aggregate(")]
+    got = {r["id_str"]: (list(r["features"]), r["irrelevant"]) for r in frame.where("id_str in (1, 2, 5)").collect()}
+    want = {"1": ([.6, -.8], 1.0), "2": ([-2.4, 3.2], 0.0), "5": ([], None)} if ring_rule else {"1": ([2.0, .75], 1.0), "2": ([-2.0, -.75], 0.0), "5": ([], None)}
+    assert {k: (pytest.approx(v), y) for k, (v, y) in want.items()} == got
+
+
 def test_model_search_budgets():
     search = models.build_model("tpot", {"max_time_mins": 0.003, "max_eval_time_mins": 0.001})
     plan = search.shares(15, 10_000)
