@@ -222,7 +222,7 @@ def test_model_search_deals_samples_by_rows(spark):
     search = models.build_model("tpot", {"population_size": 4})
     search.candidates = lambda: [(Watched(models.RandomForestClassifier(labelCol="irrelevant", seed=s, numTrees=2), seen), {}) for s in range(4)]
     assert accuracy(search.fit(data).transform(data)) > .7
-    assert len(seen) == 5 and {tasks for tasks, _ in seen[:4]} == {2} and len({n for _, n in seen[:4]}) == 1
+    assert len(seen) == 5 and {tasks for tasks, _ in seen[:4]} == {1} and len({n for _, n in seen[:4]}) == 1
     assert 120 < seen[0][1] < 190 and seen[4] == (24, 200)
 
 
