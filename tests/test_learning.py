@@ -182,6 +182,18 @@ def test_gamma(spark):
     assert dim == 2 and gamma == pytest.approx(1 / (2 * x.var()))
 
 
+def test_both_halves_are_scored_in_one_table(spark, tmp_path):
+    """Vectors made by nested lambdas, each half scored by a model of the other, in a union; vectors may come twice."""
+    from postwatch.plans import queries
+
+    rng = np.random.RandomState(4)
+    rows = [(i % 110, rng.normal(size=3).astype(float).tolist(), i % 10) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").write.parquet(f"{tmp_path}/embeddings.parquet")
+    scored = queries._ml_scores(spark, str(tmp_path), "svm", {"max_iter": 10}, ring=True).collect()
+    assert sorted(r["id_str"] for r in scored) == sorted(str(i) for i, *_ in rows)
+    assert np.mean([r["irrelevant"] == r["predicted_irrelevant"] for r in scored]) > .9
+
+
 def test_model_search_is_bounded(spark):
     search = models.build_model("tpot", {"population_size": 2})
     assert len(search.candidates()) == 2 and len({type(e) for e, _ in search.candidates()}) == 2
