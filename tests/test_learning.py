@@ -238,6 +238,24 @@ def test_model_search_deals_samples_by_rows(spark):
     assert 120 < seen[0][1] < 190 and seen[4] == (24, 200)
 
 
+def test_model_search_fits_every_candidate_on_all_training_rows(spark):
+    """As many rows for each of nine candidates, whatever time is configured: all but the hold-out, and all for the best one. Halving is only for who asks."""
+    data = ring(spark)
+    for halve in (False, True):
+        seen = []
+        search = models.build_model("tpot", {"population_size": 9, "max_time_mins": 1e-4, "max_eval_time_mins": 2e-5})
+        search.candidates = lambda: [(Watched(models.RandomForestClassifier(labelCol="irrelevant", seed=s, numTrees=1, maxDepth=2), seen), {}) for s in range(9)]
+        search.halve = search.halve or halve
+        search.fit(data)
+        sizes = [n for _, n in seen]
+        if halve:
+            assert max(sizes[:-1]) < 40 and sizes[-1] == 200
+        else:
+            held = 200 - sizes[0]
+            assert len(sizes) == 10 and sizes == [200 - held] * 9 + [200] and 10 < held < 80
+            assert {(turn, share) for turn, share, _, _ in search.tried} == {(0, 1.0)} and [i for _, _, i, _ in search.tried] == list(range(9))
+
+
 def test_model_search_scores_a_round_in_one_pass(spark):
     """As the evaluator scores each model, in as many jobs for six models as for one."""
     data = ring(spark)
