@@ -194,6 +194,20 @@ def test_both_halves_are_scored_in_one_table(spark, tmp_path):
     assert np.mean([r["irrelevant"] == r["predicted_irrelevant"] for r in scored]) > .9
 
 
+def test_all_families_are_scored_in_one_table(spark, tmp_path, monkeypatch):
+    """Rows of three families, each of two models, in one union."""
+    from postwatch.plans import queries
+
+    rng = np.random.RandomState(5)
+    rows = [(i, rng.normal(size=3).astype(float).tolist(), i % 10) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").write.parquet(f"{tmp_path}/embeddings.parquet")
+    given = models.model_parameters
+    monkeypatch.setattr(models, "model_parameters", lambda name: {**given(name), **({} if name == "randomforest" else {"max_iter": 5})})
+    scored = queries.build_model(spark, str(tmp_path)).collect()
+    assert sorted((r["family"], int(r["id_str"])) for r in scored) == [(f, i) for f in ("linear", "randomforest", "svm") for i in range(80)]
+    assert np.mean([r["irrelevant"] == r["predicted_irrelevant"] for r in scored]) > .9
+
+
 def test_model_search_is_bounded(spark):
     search = models.build_model("tpot", {"population_size": 2})
     assert len(search.candidates()) == 2 and len({type(e) for e, _ in search.candidates()}) == 2
