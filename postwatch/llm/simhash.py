@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postwatch.functions.lookup import never_broadcast
 from postwatch.llm.common import small_batches, store, utf8
 from postwatch.llm.components import components
 
@@ -117,7 +118,7 @@ def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chunk: int =
     units = F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                         lambda d: F.struct(F.least(d, F.col("own")).alias("lo"), F.greatest(d, F.col("own")).alias("hi")))
     members = store(
-        spread.join(shared, ["k", "v"]).withColumn("parts", parts).withColumn("own", own)
+        spread.join(never_broadcast(shared), ["k", "v"]).withColumn("parts", parts).withColumn("own", own)
         .select("k", "v", "node", "fp", F.explode(units).alias("u")).select("k", "v", "node", "fp", "u.*"), "blocks",
     )
     slices = members.count() // SLICE_ROWS + 1
@@ -138,8 +139,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chu
     base = store(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = store(base.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     roots = components(links(nodes, bits, blocks, chunk))
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return base.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = nodes.join(never_broadcast(roots), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return base.join(never_broadcast(classes), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -154,9 +155,9 @@ def first_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     found = store(found, "components")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    single = docs.join(kept.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
+    single = docs.join(never_broadcast(kept.where("_n = 1").select("doc_id")), "doc_id", "left_semi")
     nameless = docs.where("doc_id IS NULL")
-    repeated = docs.join(kept.where("_n > 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(never_broadcast(kept.where("_n > 1").select("doc_id")), "doc_id", "left_semi")
     one = repeated.select("*", F.struct(F.xxhash64("text"), F.col("text")).alias("_t"))
     one = one.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.col("_t")).alias("_r")).select("_r.*")
     return single.unionByName(nameless).unionByName(one).select(*docs.columns)

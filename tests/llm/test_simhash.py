@@ -84,3 +84,20 @@ def test_edges(spark, edges, nothing, edge_rows):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.drop_near_duplicates(nothing).count() == 0
     only_null = simhash.near_duplicates(make(spark, [(None, "a b c d e", "aa", "s")])).collect()
     assert [r.component_id for r in only_null] == [None]
+
+
+def test_no_table_of_documents_or_their_keys_is_broadcast(spark, docs, monkeypatch):
+    """Spark takes the keys of a fingerprint, 35 to each, for as small as the table that they are exploded from."""
+    from postwatch.llm import components
+
+    plans, write = [], simhash.store
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, name):
+        plans.append(plan_of(df))
+        return write(df, name)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "store", noted)
+    plans.append(plan_of(simhash.drop_near_duplicates(docs)))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
