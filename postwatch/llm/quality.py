@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postwatch.functions.lookup import never_broadcast
 from postwatch.llm.common import BLANKS, store, word_array, word_count
 
 SYMBOLS = "#*$%&|<>"
@@ -109,12 +110,12 @@ def judge(docs: DataFrame, most_texts: int = MOST_TEXTS, most_share: float = MOS
         F.col("host").alias("_host"), F.col("h").alias("_h"), "first_id")
     small = frequent.count() <= SMALL_LINES
     held = lines.select("doc_id", "host", "text_hash", F.explode("lines").alias("line"))
-    cut = (held.join(F.broadcast(frequent) if small else frequent, (F.col("line.h") == F.col("_h")) & F.col("host").eqNullSafe(F.col("_host")))
+    cut = (held.join(F.broadcast(frequent) if small else never_broadcast(frequent), (F.col("line.h") == F.col("_h")) & F.col("host").eqNullSafe(F.col("_host")))
            .where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
            .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"))
            .agg(F.collect_set(F.struct("line.pos", "line.words")).alias("cut")))
     judged = lines.drop("lines").join(
-        cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & F.col("host").eqNullSafe(F.col("_host")), "left")
+        never_broadcast(cut), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & F.col("host").eqNullSafe(F.col("_host")), "left")
     gone = F.aggregate(F.coalesce("cut", F.array().cast("array<struct<pos:int,words:int>>")), F.lit(0), lambda a, x: a + x["words"])
     left = F.col("n_words") - gone
     kept = ~F.col("base_failed") & (left >= LEAST_WORDS) & (left >= F.col("n_words") * F.lit(least_left))
@@ -125,7 +126,7 @@ def clean_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that are kept, without their frequent lines; the columns of ``docs``, ``n_chars`` follows the text."""
     judged = store(judge(docs, **options), "judged").where("kept").groupBy(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host")).agg(F.first("cut").alias("_cut"))
-    joined = docs.join(judged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text", F.length("text")) == F.col("_hash"))
+    joined = docs.join(never_broadcast(judged), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text", F.length("text")) == F.col("_hash"))
                        & F.col("source").eqNullSafe(F.col("_host")))
     stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_cut")), lambda i: F.get(x, i))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(let(F.split("text", "\n"), stay), "\n"))
