@@ -54,3 +54,16 @@ def test_tokens_of_an_id_with_two_texts_are_numbered_together(spark):
     rows = [(1, "a b", []), (1, "c", []), (2, "d e", [(2, 3, "T")])]
     found = spans.token_table(spark.createDataFrame(rows, SPANS), "id").select("id", "pos", "label").collect()
     assert sorted((tuple(r) for r in found)) == [(1, 0, "O"), (1, 1, "O"), (1, 2, "O"), (2, 0, "O"), (2, 1, "T")]
+
+
+def test_a_dictionary_that_is_repeated_for_each_salt_is_not_broadcast(spark, monkeypatch):
+    """Spark takes it for as small as its file; the join gives each row its entry, and drops or keeps the others."""
+    from postwatch.functions import lookup
+
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", 2 * 128)
+    dictionary = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "token STRING, value INT")
+    facts = spark.createDataFrame([("k1", "a"), ("k2", "a"), ("k1", "b"), ("k3", "x"), ("k4", None), ("k1", "a")], f"{lookup.KEY} STRING, token STRING")
+    for how, want in (("inner", [("a", 1)] * 3 + [("b", 2)]), ("left", [("a", 1)] * 3 + [("b", 2), ("x", None), (None, None)])):
+        joined = lookup.salted_join(facts, dictionary, "token", how=how)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, joined.select("token", "value").collect())) == sorted(map(str, [f"Row(token={t!r}, value={v!r})" for t, v in want]))
