@@ -252,3 +252,51 @@ def test_chain_sums_of_scores_far_apart():
     want = tagger._expected_counts_by_logs(scores, sizes, transitions, gold)
     assert fast < 0.7 * (time.process_time() - began)
     assert found[0] == pytest.approx(want[0]) and np.allclose(found[1], want[1]) and np.allclose(found[2], want[2])
+
+
+def test_texts_are_trained_on_where_they_are(spark):
+    """Rows of tokens and lists of the same texts give one model, whether texts are longer than a piece, empty or have few tokens of a kind."""
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    words = ["kilo", "more", "tide", "of", "Ärger", "x1"]
+    posts = posts_of(spark, *[" ".join(rng.choice(words, n)) for n in (0, 1, 6, 7, 8, 40, 70, 15)], None)
+    label = lambda t: F.when(t == "kilo", "B-unit").when(t == "more", None).otherwise("O")
+    rows = tagger.token_context(posts, "id_str").withColumn("label", label(F.col("token")))
+    texts = tagger.listed_context(posts, "id_str").select("id_str", F.transform("tokens", lambda t: t.withField("label", label(t["token"]))).alias("tokens"))
+    assert sorted(map(str, texts.select("id_str", F.inline("tokens")).collect())) == sorted(map(str, rows.collect()))
+    few = {"num_features": 1 << 6, "max_iter": 4, "piece": 7}
+    models = [tagger.train_tagger(rows, "id_str", **few), tagger.train_tagger(rows.limit(0), "id_str", texts=texts, **few),
+              tagger.train_tagger(rows.where("id_str < '4'"), "id_str", texts=texts.where("id_str >= '4'"), **few)]
+    for model in models[1:]:
+        assert model.labels == models[0].labels == ["O", "B-unit"]
+        assert np.allclose(model.emissions, models[0].emissions, atol=1e-6) and np.allclose(model.transitions, models[0].transitions, atol=1e-6)
+
+
+def test_a_pass_leaves_few_slopes_behind(spark):
+    """As many tasks add up slopes as there are cores, however many partitions the texts have."""
+    posts = posts_of(spark, *["kilo of more"] * 60).repartition(30)
+    texts = tagger.listed_context(posts, "id_str").select("id_str", F.transform("tokens", lambda t: t.withField(
+        "label", F.when(t["token"] == "kilo", "B-unit").otherwise("O"))).alias("tokens"))
+    rows = tagger.token_context(posts.limit(0), "id_str").withColumn("label", F.lit("O"))
+    spark.sparkContext.setJobGroup("slopes", "")
+    tagger.train_tagger(rows, "id_str", num_features=16, max_iter=2, texts=texts)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    last = [tracker.getStageInfo(i) for j in sorted(tracker.getJobIdsForGroup("slopes"))[-3:] for i in tracker.getJobInfo(j).stageIds]
+    assert last and max(s.numTasks for s in last if s) <= spark.sparkContext.defaultParallelism
+
+
+def test_ruled_texts_as_ruled_tokens(spark):
+    """Posts with an id of their own are labelled where they are, as the window labels them; ids of several posts are kept apart."""
+    from postwatch.plans import queries
+
+    texts = ["Station the and of", "the der nation ing beau les x", "", None, "la la", "ION die EAU und que las the", "bureau the"]
+    posts = spark.createDataFrame([(str(i), t, "en", "s") for i, t in enumerate(texts)] + [("9", "nation the", "en", "s"), ("9", "the nation", "en", "s"), (None, "beau des", "en", "s")],
+                                  "id_str STRING, full_text STRING, lang STRING, source STRING")
+    single, repeated = queries._by_id(posts)
+    assert sorted(r["full_text"] for r in repeated.collect()) == ["nation the", "the nation"] and single.count() == 8
+    columns = ["id_str", "pos", "token", "previous", "following", "label"]
+    of = lambda df: sorted(map(str, df.select(*columns).collect()))
+    got = of(queries._ruled_texts(single).select("id_str", F.inline("tokens")))
+    assert got == of(queries._ruled_tokens(single)) and len(got) == 24 and sum("I-" in r for r in got) == 11
