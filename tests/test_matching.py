@@ -148,7 +148,7 @@ def test_hits_of_many_tokens_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", 0)
     stems = spark.createDataFrame([("trigger", "k1", 0, "ab"), ("term", "k2", 1, "bc"), ("unit", "k3", 2, "zz")], "kind STRING, keyword STRING, pos INT, stem STRING")
     posts = spark.createDataFrame([("1", "abc xab", "q1"), ("1", "abc xab", "q2"), ("2", "none", "q1"), ("3", None, "q1"), ("4", "bcd abc", "q1")], "id_str STRING, full_text STRING, query STRING")
-    ways = [matching.keyword_match(posts, stems, max_literal=most) for most in (100, 0)]
+    ways = [m.keyword_match(posts, stems, max_literal=most) for most in (100, 0)]
     literal, joined = (sorted(map(str, df.select("id_str", "query", "trigger", "term", "unit").collect())) for df in ways)
     assert literal == joined and len(joined) == 5
     assert "Broadcast" not in ways[1]._jdf.queryExecution().executedPlan().toString()
